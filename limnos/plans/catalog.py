@@ -211,3 +211,168 @@ def q_global_fill(spark, sf):
     g = g.withColumn("o_totalprice", F.when(F.col("o_totalprice") < K_NULL_BELOW, F.lit(None).cast("double"))
                      .otherwise(F.col("o_totalprice")))
     return rounded(ts.ffill_bfill(g, None, "timestamp", ["o_totalprice"]))
+
+
+# =====================================================================
+# Feed E: events by event_type — schema, filters, profiles, paging
+# =====================================================================
+from limnos.operators import index as ix  # noqa: E402
+from limnos.operators import joins as jn  # noqa: E402
+from limnos.operators import profile as pf  # noqa: E402
+from limnos.operators import schema as sc  # noqa: E402
+from limnos.sources.tables import feed_e, feed_kl, table  # noqa: E402
+
+E_GAP_K = 90.0  # E measures with gaps: k >= 90 blanks k_low and value_gap
+
+
+def e_gappy(spark, sf):
+    e = feed_e(spark, sf)
+    return e.select("event_id", "ts", "location", "value", "k",
+                    F.when(F.col("k") < E_GAP_K, F.col("k")).alias("k_low"),
+                    F.when(F.col("k") >= E_GAP_K, F.lit(None).cast("double")).otherwise(F.col("value")).alias("value_gap"),
+                    F.when(F.col("value") < 0, F.col("value")).alias("neg_value"))
+
+
+E_GAPPY_SQL = f"""e as (select event_id, ts, event_type as location, value,
+  try_cast(json_extract_string(props, '$.k') as double) as k from events),
+eg as (select *, case when k < {E_GAP_K} then k end as k_low,
+  case when k >= {E_GAP_K} then null else value end as value_gap,
+  case when value < 0 then value end as neg_value from e)"""
+
+
+@query("numeric_coercion", """select event_id, ts, try_cast(user_id as double) as user_id,
+  try_cast(event_type as double) as event_type, try_cast(value as double) as value,
+  try_cast(json_extract_string(props, '$.k') as double) as k from events""")
+def q_numeric_coercion(spark, sf):
+    ev = table(spark, sf, "events")
+    raw = ev.select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").alias("k"))
+    return sc.select_numeric(sc.coerce_numeric(raw, keys=("event_id", "ts")), keep=("event_id", "ts"))
+
+
+@query("location_filter", """select event_id, event_type as location, ts, round(value, 6) as value
+from events where event_type in ('click', 'purchase')""")
+def q_location_filter(spark, sf):
+    e = feed_e(spark, sf)
+    return rounded(flt.location_filter(e, ["click", "purchase"]).select("event_id", "location", "ts", "value"))
+
+
+@query("location_list", "select distinct event_type as location from events where event_type is not null")
+def q_location_list(spark, sf):
+    return flt.key_list(feed_e(spark, sf))
+
+
+@query("location_counts", "select event_type as location, count(*) as records from events group by 1")
+def q_location_counts(spark, sf):
+    return pf.location_counts(feed_e(spark, sf))
+
+
+@query("avg_records_per_location", """select count(*) as n_records, count(distinct event_type) as n_locations,
+  round(count(*) / count(distinct event_type), 6) as avg_records from events""")
+def q_avg_records(spark, sf):
+    return rounded(pf.avg_records_per_location(feed_e(spark, sf)))
+
+
+@query("drop_all_null_columns", f"""with {E_GAPPY_SQL}
+select event_id, location, round(value, 6) as value, round(k, 6) as k, round(k_low, 6) as k_low from eg""")
+def q_drop_all_null_columns(spark, sf):
+    e = e_gappy(spark, sf).select("event_id", "location", "value", "k", "k_low", "neg_value")
+    kept, _ = flt.drop_all_null_columns(e, keep=["event_id", "location"])
+    return rounded(kept)
+
+
+@query("dropna_any", f"""with {E_GAPPY_SQL}
+select event_id, location, round(value, 6) as value, round(k_low, 6) as k_low from eg where k_low is not null""")
+def q_dropna_any(spark, sf):
+    e = e_gappy(spark, sf).select("event_id", "location", "value", "k_low", "neg_value")
+    kept, _ = flt.drop_all_null_columns(e, keep=["event_id", "location"])  # C06 before C05
+    return rounded(flt.drop_any_null(kept))
+
+
+@query("one_hot", """select event_id, round(value, 6) as value,
+  case when event_type = 'click' then 1 else 0 end as location_click,
+  case when event_type = 'error' then 1 else 0 end as location_error,
+  case when event_type = 'purchase' then 1 else 0 end as location_purchase,
+  case when event_type = 'signup' then 1 else 0 end as location_signup,
+  case when event_type = 'view' then 1 else 0 end as location_view from events""")
+def q_one_hot(spark, sf):
+    e = feed_e(spark, sf).select("event_id", "value", "location")
+    return rounded(ix.one_hot(e, "location"))
+
+
+@query("mean_impute", f"""with {E_GAPPY_SQL}
+select event_id, round(coalesce(value_gap, avg(value_gap) over ()), 6) as value_gap,
+  round(coalesce(k_low, avg(k_low) over ()), 6) as k_low from eg""")
+def q_mean_impute(spark, sf):
+    e = e_gappy(spark, sf).select("event_id", "value_gap", "k_low")
+    return rounded(ix.mean_impute(e, ["value_gap", "k_low"]))
+
+
+@query("round_upper", """select event_id, upper(event_type) as location, round(value / 3, 6) as value_third from events""")
+def q_round_upper(spark, sf):
+    e = feed_e(spark, sf).select("event_id", "location", (F.col("value") / 3).alias("value_third"))
+    return ix.round_upper(e, ["value_third"], "location")
+
+
+E_PROFILE_COLS = ["location", "value", "k", "k_low", "value_gap", "neg_value"]
+
+
+def _profile_sql(kind: str) -> str:
+    parts = []
+    for c in E_PROFILE_COLS:
+        if kind == "null":
+            parts.append(f"select '{c}' as \"column\", count({c}) as non_null, count(*) - count({c}) as nulls from eg")
+        else:
+            parts.append(f"select '{c}' as \"column\", count(*) - count({c}) as missing_count, "
+                         f"round((count(*) - count({c})) * 100.0 / count(*), 2) as missing_pct from eg")
+    body = " union all ".join(parts)
+    where = " where missing_count > 0" if kind == "missing" else ""
+    return f"with {E_GAPPY_SQL} select * from ({body}){where}"
+
+
+@query("null_profile", _profile_sql("null"))
+def q_null_profile(spark, sf):
+    return pf.null_profile(e_gappy(spark, sf), E_PROFILE_COLS)
+
+
+@query("missing_profile", _profile_sql("missing"))
+def q_missing_profile(spark, sf):
+    return rounded(pf.missing_profile(e_gappy(spark, sf), E_PROFILE_COLS))
+
+
+E_DESCRIBE_COLS = ["value", "k", "value_gap"]
+
+
+@query("describe", f"with {E_GAPPY_SQL} " + " union all ".join(
+    f"""select '{c}' as "column", count({c}) as count, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std,
+  round(min({c}), 6) as min, round(quantile_cont({c}, 0.25), 6) as p25, round(quantile_cont({c}, 0.5), 6) as p50,
+  round(quantile_cont({c}, 0.75), 6) as p75, round(max({c}), 6) as max from eg""" for c in E_DESCRIBE_COLS))
+def q_describe(spark, sf):
+    return rounded(pf.describe(e_gappy(spark, sf), E_DESCRIBE_COLS))
+
+
+@query("preview", """select event_id, ts, event_type as location, round(value, 6) as value from events
+order by ts, event_id limit 10""")
+def q_preview(spark, sf):
+    e = feed_e(spark, sf).select("event_id", "ts", "location", "value")
+    return rounded(e.orderBy("ts", "event_id").limit(10))
+
+
+PAGE, PAGE_SIZE = 3, 25
+
+
+@query("page", f"""select event_id, ts, event_type as location, round(value, 6) as value from events
+order by event_id limit {PAGE_SIZE} offset {(PAGE - 1) * PAGE_SIZE}""")
+def q_page(spark, sf):
+    e = feed_e(spark, sf).select("event_id", "ts", "location", "value")
+    return rounded(e.orderBy("event_id").offset((PAGE - 1) * PAGE_SIZE).limit(PAGE_SIZE))
+
+
+@query("latest_per_location", """select location, event_id, ts, round(value, 6) as value from (
+  select event_type as location, event_id, ts, value,
+  row_number() over (partition by event_type order by ts desc, event_id desc) as rn from events) where rn = 1""")
+def q_latest_per_location(spark, sf):
+    e = feed_e(spark, sf)
+    # per-group arg-max is a partial aggregate: a hot location is combined map-side
+    best = e.groupBy("location").agg(F.max_by(F.struct("event_id", "ts", "value"),
+                                              F.struct("ts", "event_id")).alias("r"))
+    return rounded(best.select("location", "r.event_id", "r.ts", "r.value"))
