@@ -376,3 +376,299 @@ def q_latest_per_location(spark, sf):
     best = e.groupBy("location").agg(F.max_by(F.struct("event_id", "ts", "value"),
                                               F.struct("ts", "event_id")).alias("r"))
     return rounded(best.select("location", "r.event_id", "r.ts", "r.value"))
+
+
+# =====================================================================
+# Feed W (continued): canonical reading, rollups, calendars
+# =====================================================================
+def w_raw_padded(spark, sf):
+    """Lineitem dressed as a raw water feed: padded / aliased names, YEAR and
+    MONTH parts, text measures. Rows with l_linenumber 7 carry an invalid
+    month, rows with l_linenumber 3 no site, rows with l_linenumber 5 the
+    text 'n/a' as quantity."""
+    li = table(spark, sf, "lineitem")
+    return li.select(
+        F.when(F.col("l_linenumber") == 3, F.lit(None)).otherwise(F.col("l_linestatus")).alias(" Site "),
+        F.year("l_shipdate").alias(" YEAR"),
+        F.when(F.col("l_linenumber") == 7, F.lit(13)).otherwise(F.month("l_shipdate")).alias("MONTH  "),
+        F.when(F.col("l_linenumber") == 5, F.lit("n/a")).otherwise(F.col("l_quantity").cast("string")).alias("  quantity "),
+        F.col("l_tax").alias("tax   "))
+
+
+@query("canonical_reading", """select l_linestatus as location, make_date(year(l_shipdate), month(l_shipdate), 1) as "timestamp",
+  case when l_linenumber = 5 then null else l_quantity end as quantity, round(l_tax, 6) as tax
+from lineitem where l_linenumber <> 7 and l_linenumber <> 3""")
+def q_canonical_reading(spark, sf):
+    df = sc.canonical_names(w_raw_padded(spark, sf))
+    df = sc.canonical_location(df)
+    df = sc.canonical_time(df, as_date=True)
+    df = flt.drop_null_location(flt.drop_null_time(df))
+    return rounded(sc.coerce_numeric(df).select("location", "timestamp", "quantity", "tax"))
+
+
+def _rollup_sql(unit: str) -> str:
+    return f"""select l_linestatus as location, cast(date_trunc('{unit}', l_shipdate) as date) as period, count(*) as n,
+  round(avg(l_quantity), 6) as avg_l_quantity, round(min(l_quantity), 6) as min_l_quantity, round(max(l_quantity), 6) as max_l_quantity,
+  round(avg(l_extendedprice), 6) as avg_l_extendedprice, round(min(l_extendedprice), 6) as min_l_extendedprice,
+  round(max(l_extendedprice), 6) as max_l_extendedprice
+from lineitem group by 1, 2"""
+
+
+def _rollup(unit):
+    def run(spark, sf):
+        return rounded(ts.period_rollup(feed_w(spark, sf), "location", "ts", ["l_quantity", "l_extendedprice"], unit))
+    return run
+
+
+for _unit in ("week", "month", "year"):
+    query(f"period_rollup_{_unit}", _rollup_sql(_unit))(_rollup(_unit))
+
+
+@query("month_end_dates", """select location, step, last_day(last_d + to_months(step)) as forecast_date from
+  (select l_linestatus as location, max(cast(l_shipdate as date)) as last_d from lineitem group by 1),
+  (select unnest(generate_series(1, 12)) as step)""")
+def q_month_end_dates(spark, sf):
+    return ts.month_end_dates(feed_w(spark, sf), "location", "ts", 12)
+
+
+# =====================================================================
+# Joins and unions: W (located water) with K / KL (climate-like)
+# =====================================================================
+def k_clean(spark, sf):
+    g = ts.daily_resample(feed_k(spark, sf), None, "ts", ["o_totalprice"])
+    return ts.ffill_bfill(g, None, "timestamp", ["o_totalprice"])
+
+
+K_FILL_SQL = f"""{S.daily('orders', None, 'o_orderdate', {'o_totalprice': 'o_totalprice'}, 'k_grid')},
+{S.fill('k_grid', None, ['o_totalprice'], 'k_fill')}"""
+
+
+@query("join_global_climate", f"""with {W_CLEAN_SQL}, {K_FILL_SQL}
+select w.location, w."timestamp", {', '.join(S.r6('w.' + m, m) for m in W_MEASURES)}, {S.r6('k.o_totalprice', 'o_totalprice')},
+  case when k."timestamp" is not null then 'water_climate_combined' else 'water_only' end as data_source
+from w_clean w left join k_fill k on w."timestamp" = k."timestamp\"""")
+def q_join_global_climate(spark, sf):
+    return rounded(jn.left_join_tagged(w_clean(spark, sf), k_clean(spark, sf), ["timestamp"]))
+
+
+@query("join_by_location", f"""with {W_CLEAN_SQL},
+{S.daily('orders', 'o_orderstatus', 'o_orderdate', {'o_totalprice': 'o_totalprice'}, 'kl_grid')}
+select w.location, w."timestamp", {', '.join(S.r6('w.' + m, m) for m in W_MEASURES)}, {S.r6('k.o_totalprice', 'o_totalprice')},
+  case when k."timestamp" is not null then 'water_climate_combined' else 'water_only' end as data_source
+from w_clean w left join kl_grid k on w.location = k.location and w."timestamp" = k."timestamp\"""")
+def q_join_by_location(spark, sf):
+    kl = ts.daily_resample(feed_kl(spark, sf), "location", "ts", ["o_totalprice"])
+    return rounded(jn.left_join_tagged(w_clean(spark, sf), kl, ["location", "timestamp"], broadcast_right=False))
+
+
+@query("join_means_broadcast", f"""with {W_CLEAN_SQL}, {K_FILL_SQL}
+select location, "timestamp", {W_OUT}, round((select avg(o_totalprice) from k_fill), 6) as o_totalprice_climate from w_clean""")
+def q_join_means_broadcast(spark, sf):
+    return rounded(jn.attach_means(w_clean(spark, sf), k_clean(spark, sf), ["o_totalprice"]))
+
+
+@query("join_positional", f"""with {S.daily('lineitem', None, 'l_shipdate', {'l_quantity': 'l_quantity'}, 'wg_grid')}, {K_FILL_SQL},
+a as (select row_number() over (order by "timestamp") - 1 as row_pos, "timestamp" as w_timestamp, l_quantity from wg_grid),
+b as (select row_number() over (order by "timestamp") - 1 as row_pos, "timestamp" as k_timestamp, o_totalprice from k_fill)
+select coalesce(a.row_pos, b.row_pos) as row_pos, w_timestamp, {S.r6('l_quantity')}, k_timestamp, {S.r6('o_totalprice')}
+from a full join b on a.row_pos = b.row_pos""")
+def q_join_positional(spark, sf):
+    wg = ts.daily_resample(feed_w(spark, sf), None, "ts", ["l_quantity"])
+    a = wg.select(F.col("timestamp").alias("w_timestamp"), "l_quantity", F.year("timestamp").alias("_ya"))
+    b = k_clean(spark, sf).select(F.col("timestamp").alias("k_timestamp"), "o_totalprice",
+                                  F.year("timestamp").alias("_yb"))
+    z = jn.zip_by_position(a, b, ["w_timestamp"], ["k_timestamp"], "_ya", "_yb")
+    return rounded(z.select("row_pos", "w_timestamp", "l_quantity", "k_timestamp", "o_totalprice"))
+
+
+@query("join_suffixes", f"""with {W_CLEAN_SQL}, {K_FILL_SQL}
+select w.location, w."timestamp", {S.r6('w.l_extendedprice', 'value_water')}, {S.r6('k.o_totalprice', 'value_climate')},
+  case when k."timestamp" is not null then 'water_climate_combined' else 'water_only' end as data_source
+from w_clean w left join k_fill k on w."timestamp" = k."timestamp\"""")
+def q_join_suffixes(spark, sf):
+    w = w_clean(spark, sf).select("location", "timestamp", F.col("l_extendedprice").alias("value"))
+    k = k_clean(spark, sf).select("timestamp", F.col("o_totalprice").alias("value"))
+    return rounded(jn.left_join_tagged(w, k, ["timestamp"]))
+
+
+@query("join_passthrough", f"""with {W_CLEAN_SQL},
+{S.daily('events', None, 'ts', {'value': 'value'}, 'ev_grid')}
+select w.location, w."timestamp", {S.r6('w.l_quantity', 'l_quantity')}, {S.r6('e.value', 'value')},
+  case when e."timestamp" is not null then 'water_climate_combined' else 'water_only' end as data_source
+from w_clean w left join ev_grid e on w."timestamp" = e."timestamp\"""")
+def q_join_passthrough(spark, sf):
+    ev = ts.daily_resample(table(spark, sf, "events"), None, "ts", ["value"])
+    return rounded(jn.left_join_tagged(w_clean(spark, sf).select("location", "timestamp", "l_quantity"), ev, ["timestamp"]))
+
+
+def w_variants(spark, sf):
+    clean = w_clean(spark, sf)
+    norm = ts.minmax_per_key(clean, "location", W_MEASURES)
+    return jn.union_variants(clean, norm).withColumn("processing_stage", F.col("data_type"))
+
+
+W_VARIANTS_SQL = f"""{W_CLEAN_SQL},
+{S.minmax('w_clean', 'location', W_MEASURES, 'w_norm')},
+w_var as (select location, "timestamp", {', '.join(W_MEASURES)}, 'cleaned' as data_type from w_clean
+  union all select location, "timestamp", {', '.join(W_MEASURES)}, 'normalized' as data_type from w_norm)"""
+
+
+@query("union_variants", f"""with {W_VARIANTS_SQL}
+select location, "timestamp", {W_OUT}, data_type, data_type as processing_stage from w_var""")
+def q_union_variants(spark, sf):
+    return rounded(w_variants(spark, sf))
+
+
+@query("union_by_name", f"""with {W_CLEAN_SQL}
+select location, "timestamp", {S.r6('l_quantity')}, {S.r6('l_extendedprice')}, cast(null as double) as l_tax from w_clean where location = 'F'
+union all
+select location, "timestamp", {S.r6('l_quantity')}, cast(null as double) as l_extendedprice, {S.r6('l_tax')} from w_clean where location = 'O'""")
+def q_union_by_name(spark, sf):
+    c = w_clean(spark, sf)
+    f = c.where(F.col("location") == "F").select("location", "timestamp", "l_quantity", "l_extendedprice")
+    o = c.where(F.col("location") == "O").select("location", "timestamp", "l_quantity", "l_tax")
+    return rounded(jn.union_by_name([f, o]))
+
+
+SEQ_SQL = f"""with {W_VARIANTS_SQL},
+seq as (select location, "timestamp", data_type, {', '.join(W_MEASURES)},
+  row_number() over (order by location, "timestamp", data_type) - 1 as sequence_id,
+  true as sliding_window_ready, 30 as window_size_recommended, count(*) over () as total_sequences from w_var)"""
+
+
+@query("sequence_metadata", f"""{SEQ_SQL}
+select location, "timestamp", data_type, {W_OUT}, sequence_id, sliding_window_ready, window_size_recommended, total_sequences from seq""")
+def q_sequence_metadata(spark, sf):
+    v = w_variants(spark, sf).drop("processing_stage")
+    return rounded(sc.sequence_metadata(v, "location", ("timestamp", "data_type")))
+
+
+@query("scaling_metadata", f"""{SEQ_SQL}
+select location, "timestamp", data_type, {W_OUT}, sequence_id, sliding_window_ready, window_size_recommended, total_sequences,
+  {len(W_MEASURES) + 3} as numeric_columns_count, 'MinMaxScaler_0_to_1' as scaling_method from seq""")
+def q_scaling_metadata(spark, sf):
+    v = w_variants(spark, sf).drop("processing_stage")
+    return rounded(sc.scaling_metadata(sc.sequence_metadata(v, "location", ("timestamp", "data_type"))))
+
+
+@query("feature_set_projection", f"""with {W_CLEAN_SQL}
+select location, "timestamp", {S.r6('l_tax', 'tax')}, {S.r6('l_quantity', 'quantity')} from w_clean""")
+def q_feature_set_projection(spark, sf):
+    p = sc.project_features(w_clean(spark, sf), ["l_tax", "l_quantity", "not_in_table"], keep=["location", "timestamp"])
+    return rounded(sc.rename(p, {"l_tax": "tax", "l_quantity": "quantity"}))
+
+
+@query("missing_feature_default", f"""with {W_CLEAN_SQL}
+select location, "timestamp", {S.r6('l_quantity')}, 0.0 as rainfall, 0.0 as tmax from w_clean""")
+def q_missing_feature_default(spark, sf):
+    p = sc.project_features(w_clean(spark, sf), ["l_quantity"], keep=["location", "timestamp"])
+    return rounded(sc.backfill_columns(p, ["l_quantity", "rainfall", "tmax"], mode="zero"))
+
+
+# ---------------------------------------------------------------- index
+W_WEIGHTS = {"l_quantity": 0.4, "l_extendedprice": 0.3, "l_discount": 0.2, "l_tax": 0.1}
+
+
+def w_index(spark, sf):
+    norm = ts.minmax_per_key(w_clean(spark, sf), "location", W_MEASURES)
+    pct = norm.withColumns({m: F.col(m) * 100.0 for m in W_MEASURES})
+    return ix.weighted_index(pct, W_WEIGHTS, out="WQI").select("location", "timestamp", "WQI")
+
+
+W_INDEX_SQL = f"""{W_CLEAN_SQL},
+{S.minmax('w_clean', 'location', W_MEASURES, 'w_norm')},
+w_idx as (select location, "timestamp", {' + '.join(f'coalesce({m} * 100.0, 0.0) * {w}' for m, w in W_WEIGHTS.items())} as WQI from w_norm)"""
+
+
+@query("weighted_index", f"""with {W_INDEX_SQL} select location, "timestamp", {S.r6('WQI')} from w_idx""")
+def q_weighted_index(spark, sf):
+    return rounded(w_index(spark, sf))
+
+
+@query("index_range", f"""with {W_INDEX_SQL} select {S.r6('min(WQI)', 'min_WQI')}, {S.r6('max(WQI)', 'max_WQI')} from w_idx""")
+def q_index_range(spark, sf):
+    return rounded(pf.value_range(w_index(spark, sf), "WQI"))
+
+
+def _advice_case(col):
+    from limnos.functions.constants import WQI_ADVICE
+    arms = " ".join(f"when '{k}' then '{v}'" for k, v in WQI_ADVICE.items())
+    return f"case {col} {arms} end"
+
+
+@query("index_class", f"""with {W_INDEX_SQL},
+c as (select location, "timestamp", WQI, case when WQI < 50 then 'Excellent' when WQI < 75 then 'Good'
+  when WQI < 90 then 'Fair' else 'Poor' end as wqi_class from w_idx)
+select location, "timestamp", {S.r6('WQI')}, wqi_class, {_advice_case('wqi_class')} as advice from c""")
+def q_index_class(spark, sf):
+    return rounded(ix.index_class(w_index(spark, sf), "WQI"))
+
+
+@query("clamp", f"""with {W_INDEX_SQL}
+select location, "timestamp", {S.r6('greatest(0.0, least(100.0, WQI * 1.5 - 10.0))', 'wqi_clamped')} from w_idx""")
+def q_clamp(spark, sf):
+    d = w_index(spark, sf).withColumn("wqi_clamped", F.col("WQI") * 1.5 - 10.0)
+    return rounded(ix.clamp_col(d, "wqi_clamped").select("location", "timestamp", "wqi_clamped"))
+
+
+@query("format_value", """select l_orderkey, l_linenumber,
+  case when l_discount = 0 then 'N/A' else printf('%.2f', round(l_extendedprice, 2)) end as price_text from lineitem""")
+def q_format_value(spark, sf):
+    li = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        F.when(F.col("l_discount") == 0, F.lit(None).cast("double")).otherwise(F.col("l_extendedprice")).alias("price_text"))
+    return ix.format_col(li, "price_text")
+
+
+# ---------------------------------------------------------------- distributions
+@query("box_stats", """with s as (select l_linestatus as location, min(l_extendedprice) as min,
+  quantile_cont(l_extendedprice, 0.25) as q1, quantile_cont(l_extendedprice, 0.5) as median,
+  quantile_cont(l_extendedprice, 0.75) as q3, max(l_extendedprice) as max from lineitem group by 1),
+f as (select *, q1 - 1.5 * (q3 - q1) as lower_fence, q3 + 1.5 * (q3 - q1) as upper_fence from s),
+o as (select f.location, count(*) filter (where l_extendedprice < lower_fence or l_extendedprice > upper_fence) as outliers
+  from lineitem l join f on l.l_linestatus = f.location group by 1)
+select f.location, round(min, 6) as min, round(q1, 6) as q1, round(median, 6) as median, round(q3, 6) as q3,
+  round(max, 6) as max, round(lower_fence, 6) as lower_fence, round(upper_fence, 6) as upper_fence, o.outliers
+from f join o on f.location = o.location""")
+def q_box_stats(spark, sf):
+    return rounded(pf.box_stats(feed_w(spark, sf), "location", "l_extendedprice"))
+
+
+@query("histogram30", """with r as (select min(l_extendedprice) as lo, max(l_extendedprice) as hi from lineitem),
+b as (select case when hi = lo then 0 else least(floor((l_extendedprice - lo) / ((hi - lo) / 30)), 29) end as bin, lo, hi
+  from lineitem, r where l_extendedprice is not null)
+select cast(bin as int) as bin, round(lo + bin * ((hi - lo) / 30), 6) as lower, round(lo + (bin + 1) * ((hi - lo) / 30), 6) as upper,
+  count(*) as count from b group by bin, lo, hi""")
+def q_histogram30(spark, sf):
+    return rounded(pf.histogram(feed_w(spark, sf), "l_extendedprice", 30))
+
+
+CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def _corr_sql(top: bool) -> str:
+    parts = []
+    for i, a in enumerate(CORR_COLS):
+        for j, b in enumerate(CORR_COLS):
+            if top and not i < j:
+                continue
+            if i == j:
+                r = f"case when stddev_pop({a}) > 0 then 1.0 end"
+            else:
+                r = f"covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)"
+            parts.append(f"select '{a}' as col_a, '{b}' as col_b, cast({r} as double) as r from lineitem")
+    body = " union all ".join(parts)
+    if top:
+        return f"select col_a, col_b, round(r, 6) as r from ({body}) where r is not null order by abs(r) desc, col_a, col_b limit 10"
+    return f"select col_a, col_b, round(r, 6) as r from ({body})"
+
+
+@query("corr_matrix", _corr_sql(False))
+def q_corr_matrix(spark, sf):
+    return rounded(pf.corr_matrix(table(spark, sf, "lineitem"), CORR_COLS))
+
+
+@query("top_correlations", _corr_sql(True))
+def q_top_correlations(spark, sf):
+    corr = pf.corr_matrix(table(spark, sf, "lineitem"), CORR_COLS)
+    return rounded(pf.top_correlations(corr, CORR_COLS, 10))
