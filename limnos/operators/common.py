@@ -38,6 +38,23 @@ def checked_broadcast(small: DataFrame, max_rows: int | None = None) -> DataFram
     return F.broadcast(small) if n <= limit else small
 
 
+def stats_join(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Attach a per-key aggregate back to the rows it was computed from.
+
+    * No key: the aggregate is one row — a proven size bound — so it is
+      broadcast and cross-joined.
+    * Keyed: a plain equi-join. The broadcast decision is left to the
+      runtime: AQE measures the materialised aggregate and turns the join
+      into a broadcast hash join only when it is below
+      ``spark.sql.adaptive.autoBroadcastJoinThreshold``; above that it stays
+      a shuffle join whose skewed partitions AQE splits. No extra job, and
+      nothing is broadcast on an estimate.
+    """
+    if not keys:
+        return df.crossJoin(F.broadcast(stats))
+    return df.join(stats, keys, how)
+
+
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     """Names of numeric-typed columns, in schema order."""
     from pyspark.sql.types import NumericType

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from limnos.functions.constants import HIST_BINS, TOP_PAIRS
 from limnos.functions.exprs import col_of
-from limnos.operators.common import as_list, checked_broadcast
+from limnos.operators.common import as_list, stats_join
 
 
 def _stack(wide: DataFrame, keys: list[str], groups: list[tuple[str, list[str]]], names: list[str]) -> DataFrame:
@@ -97,8 +97,7 @@ def box_stats(df: DataFrame, key: str, col: str, exact: bool = True, accuracy: i
                     F.col("_q")[2].alias("q3"), "max"))
     st = st.withColumns({"lower_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                          "upper_fence": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
-    st = checked_broadcast(st)
-    out = (df.select(key, x.alias("_x")).join(st.select(key, "lower_fence", "upper_fence"), [key])
+    out = (stats_join(df.select(key, x.alias("_x")), st.select(key, "lower_fence", "upper_fence"), [key], "inner")
              .groupBy(key).agg(F.count_if((F.col("_x") < F.col("lower_fence")) |
                                           (F.col("_x") > F.col("upper_fence"))).alias("outliers")))
     return st.join(out, [key], "left").withColumn("outliers", F.coalesce("outliers", F.lit(0)).cast("bigint"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from limnos.functions.constants import (FEATURE_SETS, LOCATION_CANDIDATES, TIME_CANDIDATES,
                                         WINDOW_SIZE_RECOMMENDED)
 from limnos.functions.exprs import col_of, to_double
-from limnos.operators.common import checked_broadcast, numeric_columns
+from limnos.operators.common import numeric_columns
 from limnos.operators.timeseries import number_rows_global
 
 
@@ -91,11 +91,9 @@ def sequence_metadata(df: DataFrame, part: str = "location", order=("timestamp",
     """Dense 0-based ``sequence_id`` over (part, *order), plus
     ``sliding_window_ready``, ``window_size_recommended`` and ``total_sequences``
     (the row count, attached from a one-row aggregate)."""
-    numbered = number_rows_global(df, part, list(order), "sequence_id")
-    total = numbered.agg(F.count(F.lit(1)).alias("total_sequences"))
-    return (numbered.withColumns({"sliding_window_ready": F.lit(True),
-                                  "window_size_recommended": F.lit(window_size)})
-                    .crossJoin(F.broadcast(total)))
+    numbered = number_rows_global(df, part, list(order), "sequence_id", total="total_sequences")
+    return numbered.withColumns({"sliding_window_ready": F.lit(True),
+                                 "window_size_recommended": F.lit(window_size)})
 
 
 def scaling_metadata(df: DataFrame, method: str = "MinMaxScaler_0_to_1") -> DataFrame:
@@ -128,4 +126,4 @@ def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 def attach_count(df: DataFrame, out: str = "n_rows") -> DataFrame:
     """Row count as a column through a one-row broadcast aggregate."""
     total = df.agg(F.count(F.lit(1)).alias(out))
-    return df.crossJoin(checked_broadcast(total))
+    return df.crossJoin(F.broadcast(total))  # one row

@@ -1,14 +1,19 @@
 """Time-series operators (D01-D14): daily grid, fill, outliers, scaling,
 look-back windows, splits, calendars, shape fitting and period rollups.
 
-Scale notes
------------
-* Nothing here puts a whole series into one task. Per-series work that needs
-  order (fill, numbering, windows) is split into time buckets: a tiny summary
-  row per (series, bucket) carries the state across bucket borders, so a
-  series holding a third of all rows is still spread over many tasks.
-* Per-series statistics (z-score, min-max) are partial aggregates
-  (map-side combine) joined back through a size-checked broadcast.
+Execution model
+---------------
+* Raw readings -> daily grid (D01) is a partial aggregate: a key holding a
+  third of all raw rows is combined map-side before the shuffle.
+* After D01 a series holds at most one row per calendar day, so per-key work
+  that needs order (fill, statistics, numbering, look-back windows) runs as
+  window functions partitioned by the key. They all share ONE
+  ``hash(key)`` exchange, there are no self-joins (so the raw scan is never
+  repeated), and a task's window buffer is bounded by the calendar span, not
+  by data volume.
+* Series without a key, or long raw series, use the two-phase bucketed forms
+  (``bucket=`` / ``block=``): a tiny summary row per (series, bucket) carries
+  state across bucket borders so no task ever holds a whole series.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.sql import functions as F
 
 from limnos.functions.constants import LOOK_BACK, TEST_FRACTION, VALIDATION_FRACTION, Z_LIMIT
 from limnos.functions.exprs import col_of, hash_percent
-from limnos.operators.common import as_list, checked_broadcast
+from limnos.operators.common import as_list, stats_join
 
 DAY = "timestamp"
 
@@ -27,24 +32,33 @@ def _month_bucket(order: str) -> Column:
     return F.trunc(F.col(order).cast("date"), "month")
 
 
+def _kw(keys: list[str]) -> Window:
+    return Window.partitionBy(*keys)
+
+
 # ---------------------------------------------------------------- D01 / D02
 def daily_resample(df: DataFrame, key: str | None, ts: str, measures: list[str],
                    out: str = DAY) -> DataFrame:
     """One row per (key, calendar day) from the key's first to last day;
     each measure is the mean of that day's non-null readings, empty day = NULL.
 
-    The day aggregate is partial (map-side) so hot keys are combined before
-    the shuffle; the calendar is generated per key from min/max and joined on
-    (key, day), which is unique, so that join is skew-free.
+    Single pass: the day aggregate is partial (map-side combine); then each
+    present day emits itself plus the empty days up to the key's next present
+    day (``lead`` over the key's days + ``sequence``/``explode``). No calendar
+    table is joined back, so the input is scanned once.
     """
     keys = as_list(key)
     day = F.to_date(col_of(ts)).alias(out)
     daily = (df.where(col_of(ts).isNotNull())
                .groupBy(*[col_of(k) for k in keys], day)
                .agg(*[F.avg(col_of(m).cast("double")).alias(m) for m in measures]))
-    span = daily.groupBy(*keys).agg(F.min(out).alias("_lo"), F.max(out).alias("_hi"))
-    grid = span.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 day"))).alias(out))
-    return grid.join(daily, keys + [out], "left")
+    w = Window.partitionBy(*keys).orderBy(out)
+    with_next = daily.withColumn("_next", F.lead(out).over(w))
+    span = F.sequence(F.col(out), F.coalesce(F.date_sub("_next", 1), F.col(out)))
+    expanded = with_next.select(*keys, F.col(out).alias("_d0"), *[col_of(m) for m in measures],
+                                F.explode(span).alias(out))
+    same = F.col(out) == F.col("_d0")
+    return expanded.select(*keys, out, *[F.when(same, col_of(m)).alias(m) for m in measures])
 
 
 def gap_count(grid: DataFrame, key: str | None, measures: list[str],
@@ -62,19 +76,30 @@ def ffill_bfill(df: DataFrame, key: str | None, order: str, measures: list[str],
                 bucket: Column | None = None, suffix: str = "") -> DataFrame:
     """Forward fill then backward fill of each measure, per key, in
     ``order``. After a forward fill only leading nulls remain, so the
-    backward fill is the first non-null value of the series.
-
-    Two-phase, bucketed by month of ``order`` (or ``bucket``):
-      1. per (key, bucket): last and first non-null value of each measure
-         (partial aggregate);
-      2. a window over those summary rows gives each bucket its carry-in
-         (last non-null before it) and the series head (first non-null);
-      3. inside each (key, bucket) a running ``last(ignorenulls)`` fills,
-         falling back to carry-in, then head.
-    No frame ever spans a whole series, and no ``[current, unbounded
-    following]`` frame is used (that one is quadratic).
+    backward fill is the first non-null value of the series:
+    ``coalesce(last(x, ignorenulls) over running, first(x, ignorenulls) over
+    whole series)`` — never a ``[current, unbounded following]`` frame
+    (quadratic).
+
+    Keyed series use one window per key. Without a key (one global series)
+    or with ``bucket`` given, the two-phase bucketed form is used.
     """
     keys = as_list(key)
+    if keys and bucket is None:
+        w = Window.partitionBy(*keys).orderBy(order)
+        run = w.rowsBetween(Window.unboundedPreceding, 0)
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return df.withColumns({
+            m + suffix: F.coalesce(F.last(col_of(m), True).over(run), F.first(col_of(m), True).over(whole))
+            for m in measures})
+    return _ffill_bfill_bucketed(df, keys, order, measures, bucket, suffix)
+
+
+def _ffill_bfill_bucketed(df, keys, order, measures, bucket, suffix):
+    """Two-phase fill: (1) per (key, bucket) last/first non-null value
+    (partial aggregate); (2) a window over those few summary rows gives each
+    bucket its carry-in and the series head; (3) a running fill inside each
+    (key, bucket), falling back to carry-in, then head."""
     b = bucket if bucket is not None else _month_bucket(order)
     d = df.withColumn("_b", b)
     o = F.col(order)
@@ -91,7 +116,7 @@ def ffill_bfill(df: DataFrame, key: str | None, order: str, measures: list[str],
         *keys, "_b",
         *[F.last(f"`_last{m}`", True).over(before).alias(f"_in{m}") for m in measures],
         *[F.first(f"`_first{m}`", True).over(whole).alias(f"_head{m}") for m in measures])
-    joined = d.join(carry, keys + ["_b"], "left")
+    joined = stats_join(d, carry, keys + ["_b"])
     run = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     filled = {
         m + suffix: F.coalesce(F.last(col_of(m), True).over(run), F.col(f"`_in{m}`"), F.col(f"`_head{m}`"))
@@ -109,19 +134,26 @@ def fill_count(before_after: DataFrame, key: str | None, pairs: list[tuple[str,
     return before_after.groupBy(*keys).agg(expr.cast("bigint").alias(out))
 
 
-# ---------------------------------------------------------------- D06
-def zscore_stats(df: DataFrame, key: str | None, measures: list[str]) -> DataFrame:
-    keys = as_list(key)
-    aggs = []
-    for m in measures:
-        aggs += [F.avg(col_of(m)).alias(f"_mu{m}"), F.stddev_pop(col_of(m)).alias(f"_sd{m}")]
-    if keys:
-        return df.groupBy(*keys).agg(*aggs)
-    return df.agg(*aggs)
+# ---------------------------------------------------------------- per-key statistics
+def _with_stats(df: DataFrame, keys: list[str], aggs: dict[str, Column], method: str) -> DataFrame:
+    """Attach per-key aggregates to every row.
 
+    ``method="window"`` (default for keyed series): whole-partition window
+    aggregates on the key's partition — no join, no second scan.
+    ``method="join"``: partial aggregate + join back (for raw, unbounded
+    series where one key may hold a third of the rows).
+    Without a key: a one-row aggregate, broadcast.
+    """
+    if keys and method == "window":
+        w = _kw(keys)
+        return df.withColumns({n: a.over(w) for n, a in aggs.items()})
+    stats = (df.groupBy(*keys) if keys else df).agg(*[a.alias(n) for n, a in aggs.items()])
+    return stats_join(df, stats, keys)
 
+
+# ---------------------------------------------------------------- D06
 def zscore_filter(df: DataFrame, key: str | None, measures: list[str],
-                  limit: float = Z_LIMIT, constant: str = "keep") -> DataFrame:
+                  limit: float = Z_LIMIT, constant: str = "keep", method: str = "window") -> DataFrame:
     """Keep a row only if |z| < limit for every measure, z being the
     population z-score within its key. A measure that is NULL on the row (a
     column absent for that key) does not vote. A constant measure has no
@@ -129,18 +161,17 @@ def zscore_filter(df: DataFrame, key: str | None, measures: list[str],
     (the literal behaviour: NaN < 3 is false).
     """
     keys = as_list(key)
-    stats = checked_broadcast(zscore_stats(df, key, measures))
-    j = df.join(stats, keys, "left") if keys else df.crossJoin(stats)
-    conds = []
+    aggs = {}
+    for m in measures:
+        aggs[f"_mu{m}"] = F.avg(col_of(m))
+        aggs[f"_sd{m}"] = F.stddev_pop(col_of(m))
+    j = _with_stats(df, keys, aggs, method)
+    keep = None
     for m in measures:
         x, mu, sd = col_of(m), F.col(f"`_mu{m}`"), F.col(f"`_sd{m}`")
-        z_ok = F.abs((x - mu) / sd) < F.lit(limit)
-        const = F.lit(constant == "keep")
-        conds.append(x.isNull() | F.when(sd == 0, const).otherwise(z_ok))
-    keep = conds[0]
-    for c in conds[1:]:
-        keep = keep & c
-    return j.where(keep).drop(*[f"_mu{m}" for m in measures], *[f"_sd{m}" for m in measures])
+        ok = x.isNull() | F.when(sd == 0, F.lit(constant == "keep")).otherwise(F.abs((x - mu) / sd) < F.lit(limit))
+        keep = ok if keep is None else keep & ok
+    return j.where(keep).drop(*aggs.keys())
 
 
 # ---------------------------------------------------------------- D07 / D08
@@ -158,14 +189,18 @@ def _scaled(x: Column, lo: Column, hi: Column) -> Column:
     return F.when(hi == lo, F.when(x.isNotNull(), F.lit(0.0))).otherwise((x - lo) / (hi - lo))
 
 
-def minmax_per_key(df: DataFrame, key: str | None, measures: list[str], suffix: str = "") -> DataFrame:
+def minmax_per_key(df: DataFrame, key: str | None, measures: list[str], suffix: str = "",
+                   method: str = "window") -> DataFrame:
     """Min-max to [0, 1] within each key; constant column -> 0."""
     keys = as_list(key)
-    stats = checked_broadcast(minmax_stats(df, key, measures))
-    j = df.join(stats, keys, "left") if keys else df.crossJoin(stats)
+    aggs = {}
+    for m in measures:
+        aggs[f"_lo{m}"] = F.min(col_of(m).cast("double"))
+        aggs[f"_hi{m}"] = F.max(col_of(m).cast("double"))
+    j = _with_stats(df, keys, aggs, method)
     out = {m + suffix: _scaled(col_of(m).cast("double"), F.col(f"`_lo{m}`"), F.col(f"`_hi{m}`"))
            for m in measures}
-    return j.withColumns(out).drop(*[f"_lo{m}" for m in measures], *[f"_hi{m}" for m in measures])
+    return j.withColumns(out).drop(*aggs.keys())
 
 
 def fit_minmax(df: DataFrame, measures: list[str]) -> DataFrame:
@@ -205,65 +240,76 @@ def invert_minmax(df: DataFrame, stats: DataFrame, measures: list[str], suffix:
 # ---------------------------------------------------------------- numbering
 def number_rows(df: DataFrame, key: str | None, order: list[str], out: str = "rn",
                 bucket: Column | None = None) -> DataFrame:
-    """0-based dense row number per key (or over the whole table when
-    ``key`` is None) in ``order`` — two-phase, so no task sees a whole key:
-    count per (key, bucket) -> prefix sum over the small summary -> row
-    number inside the bucket + offset."""
+    """0-based dense row number per key in ``order``. Keyed: one window per
+    key. Without a key or with ``bucket``: two-phase — count per (key,
+    bucket) -> prefix sum over the small summary -> row number inside the
+    bucket + offset, so no task sees a whole series."""
     keys = as_list(key)
+    if keys and bucket is None:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
     b = bucket if bucket is not None else _month_bucket(order[0])
     d = df.withColumn("_nb", b)
     counts = d.groupBy(*keys, "_nb").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_nb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_nb", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     inner = Window.partitionBy(*keys, "_nb").orderBy(*order)
-    return (d.join(offsets, keys + ["_nb"], "left")
+    return (stats_join(d, offsets, keys + ["_nb"])
              .withColumn(out, F.col("_off") + F.row_number().over(inner) - 1)
              .drop("_nb", "_off"))
 
 
 def number_rows_global(df: DataFrame, part: str, order: list[str], out: str = "rn",
-                       bucket: Column | None = None) -> DataFrame:
+                       bucket: Column | None = None, total: str | None = None) -> DataFrame:
     """Dense 0-based row number over the whole table ordered by
-    ``[part] + order`` (H02). Offsets come from one row per ``part`` value
-    (a global window over that small table) plus per-bucket offsets inside
-    each part, so the data itself is never pulled into one task."""
+    ``[part] + order`` (H02). Each row gets its number inside its part (a
+    window per part) plus the part's offset; offsets are a prefix sum over
+    one row per part (a small global window), joined back. ``total`` also
+    attaches the table's row count from the same small table."""
     numbered = number_rows(df, part, order, "_local", bucket)
     sizes = df.groupBy(part).agg(F.count(F.lit(1)).alias("_pn"))
-    w = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    poff = checked_broadcast(sizes.select(part, F.coalesce(F.sum("_pn").over(w), F.lit(0)).alias("_poff")))
-    return (numbered.join(poff, [part], "left")
-                    .withColumn(out, F.col("_poff") + F.col("_local"))
-                    .drop("_poff", "_local"))
+    w = Window.orderBy(part)
+    cols = [part, F.coalesce(F.sum("_pn").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_poff")]
+    if total:
+        cols.append(F.sum("_pn").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(total))
+    poff = sizes.select(*cols)
+    return (stats_join(numbered, poff, [part])
+            .withColumn(out, F.col("_poff") + F.col("_local"))
+            .drop("_poff", "_local"))
 
 
 # ---------------------------------------------------------------- D09
 def sliding_windows(df: DataFrame, key: str | None, order: str, features: list[str],
-                    target: str, look_back: int = LOOK_BACK, block: int = 4096,
-                    rn_bucket: Column | None = None) -> DataFrame:
+                    target: str, look_back: int = LOOK_BACK, block: int | None = None) -> DataFrame:
     """For every row with at least ``look_back`` predecessors in its key,
     x = the previous ``look_back`` rows (all features, in order) and y = the
     row's target. Samples per key = max(0, n - look_back).
 
-    Rows are numbered (two-phase), cut into blocks of ``block`` rows, and the
-    last ``look_back`` rows of each block are copied into the next block, so
-    every block holds all history its rows need; the trailing frame is then
-    a bounded window per (key, block).
+    Keyed (default): a ``rowsBetween(-look_back, -1)`` frame per key.
+    Without a key or with ``block``: rows are numbered (two-phase), cut into
+    blocks of ``block`` rows, and the last ``look_back`` rows of each block are
+    copied into the next one, so every block holds the history its rows need
+    and the frame is a bounded window per (key, block).
     """
     keys = as_list(key)
-    numbered = number_rows(df, key, [order], "_rn", rn_bucket)
+    step = F.array(*[col_of(f).cast("double") for f in features])
+    if keys and block is None:
+        w = Window.partitionBy(*keys).orderBy(order)
+        return (df.withColumn("sample_pos", F.row_number().over(w) - 1)
+                  .withColumn("x", F.collect_list(step).over(w.rowsBetween(-look_back, -1)))
+                  .where(F.col("sample_pos") >= look_back)
+                  .withColumn("y", col_of(target).cast("double")))
+    block = block or 4096
+    numbered = number_rows(df, key, [order], "_rn", _month_bucket(order) if not keys else None)
     home = F.floor(F.col("_rn") / block)
     copies = F.when((F.col("_rn") % block) >= block - look_back,
                     F.array(home, home + 1)).otherwise(F.array(home))
     exploded = numbered.withColumn("_home", home).withColumn("_blk", F.explode(copies))
     w = Window.partitionBy(*keys, "_blk").orderBy("_rn").rowsBetween(-look_back, -1)
-    step = F.array(*[col_of(f).cast("double") for f in features])
-    x = F.collect_list(step).over(w)
-    res = (exploded.withColumn("x", x)
-                   .where((F.col("_blk") == F.col("_home")) & (F.col("_rn") >= look_back))
-                   .withColumn("y", col_of(target).cast("double"))
-                   .withColumnRenamed("_rn", "sample_pos")
-                   .drop("_home", "_blk"))
-    return res
+    return (exploded.withColumn("x", F.collect_list(step).over(w))
+                    .where((F.col("_blk") == F.col("_home")) & (F.col("_rn") >= look_back))
+                    .withColumn("y", col_of(target).cast("double"))
+                    .withColumnRenamed("_rn", "sample_pos")
+                    .drop("_home", "_blk"))
 
 
 # ---------------------------------------------------------------- D10 / D11
@@ -281,8 +327,7 @@ def time_split(df: DataFrame, key: str | None, order: str, test_fraction: float
     """D10 ``mode="time"``: the last ``test_fraction`` of each key's rows are test."""
     keys = as_list(key)
     numbered = number_rows(df, key, [order], "_rn")
-    sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    j = numbered.join(checked_broadcast(sizes), keys, "left") if keys else numbered.crossJoin(sizes)
+    j = _with_stats(numbered, keys, {"_n": F.count(F.lit(1))}, "window")
     return (j.withColumn(out, F.when(F.col("_rn") >= F.ceil(F.col("_n") * (1 - test_fraction)), "test")
                                .otherwise("train"))
              .drop("_rn", "_n"))
@@ -293,9 +338,7 @@ def validation_tail(df: DataFrame, part: str, order: list[str], fraction: float
     """The last ``fraction`` of the rows in stored order (``[part] +
     order``) are validation rows: percent_rank >= 1 - fraction, computed from
     a distributed dense row number and the total count."""
-    numbered = number_rows_global(df, part, order, "_grn")
-    total = numbered.agg(F.count(F.lit(1)).alias("_total"))
-    j = numbered.crossJoin(F.broadcast(total))
+    j = number_rows_global(df, part, order, "_grn", total="_total")
     pr = F.when(F.col("_total") > 1, F.col("_grn") / (F.col("_total") - 1)).otherwise(F.lit(0.0))
     return j.withColumn(out, pr >= F.lit(1 - fraction)).drop("_grn", "_total")
 

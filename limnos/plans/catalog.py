@@ -672,3 +672,39 @@ def q_corr_matrix(spark, sf):
 def q_top_correlations(spark, sf):
     corr = pf.corr_matrix(table(spark, sf, "lineitem"), CORR_COLS)
     return rounded(pf.top_correlations(corr, CORR_COLS, 10))
+
+
+# =====================================================================
+# Flagship: stage 1 end to end (W located feed ⟕ K global side feed)
+# =====================================================================
+from limnos.plans.prepare import prepare  # noqa: E402
+
+
+def prepared_table(spark, sf):
+    return prepare(feed_w(spark, sf), feed_k(spark, sf), "location", "ts", W_MEASURES,
+                   climate_ts="ts", climate_measures=["o_totalprice"])
+
+
+_PT_COLS = f'location, "timestamp", {", ".join(W_MEASURES)}, o_totalprice, data_source, processing_stage, data_type'
+PREPARED_SQL = f"""{W_CLEAN_SQL},
+{S.minmax('w_clean', 'location', W_MEASURES, 'w_norm')},
+{K_FILL_SQL},
+{S.zfilter('k_fill', None, ['o_totalprice'], 'k_clean')},
+{S.minmax('k_clean', None, ['o_totalprice'], 'k_norm')},
+cj as (select w.location, w."timestamp", {', '.join('w.' + m for m in W_MEASURES)}, k.o_totalprice,
+  case when k."timestamp" is not null then 'water_climate_combined' else 'water_only' end as data_source,
+  'cleaned' as processing_stage, 'cleaned' as data_type from w_clean w left join k_clean k on w."timestamp" = k."timestamp"),
+nj as (select w.location, w."timestamp", {', '.join('w.' + m for m in W_MEASURES)}, k.o_totalprice,
+  case when k."timestamp" is not null then 'water_climate_combined' else 'water_only' end as data_source,
+  'normalized' as processing_stage, 'normalized' as data_type from w_norm w left join k_norm k on w."timestamp" = k."timestamp"),
+pt_u as (select {_PT_COLS} from cj union all select {_PT_COLS} from nj),
+pt as (select *, row_number() over (order by location, "timestamp", data_type) - 1 as sequence_id,
+  true as sliding_window_ready, 30 as window_size_recommended, count(*) over () as total_sequences,
+  {len(W_MEASURES) + 1 + 3} as numeric_columns_count, 'MinMaxScaler_0_to_1' as scaling_method from pt_u)"""
+
+
+@query("prepared_table", f"""with {PREPARED_SQL}
+select location, "timestamp", {W_OUT}, {S.r6('o_totalprice')}, data_source, processing_stage, data_type, sequence_id,
+  sliding_window_ready, window_size_recommended, total_sequences, numeric_columns_count, scaling_method from pt""")
+def q_prepared_table(spark, sf):
+    return rounded(prepared_table(spark, sf))
