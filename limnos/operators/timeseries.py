@@ -152,14 +152,13 @@ def _with_stats(df: DataFrame, keys: list[str], aggs: dict[str, Column], method:
 
 
 # ---------------------------------------------------------------- D06
-def zscore_filter(df: DataFrame, key: str | None, measures: list[str],
-                  limit: float = Z_LIMIT, constant: str = "keep", method: str = "window") -> DataFrame:
-    """Keep a row only if |z| < limit for every measure, z being the
-    population z-score within its key. A measure that is NULL on the row (a
-    column absent for that key) does not vote. A constant measure has no
-    z-score: ``constant="keep"`` keeps those rows, ``"drop"`` drops them
-    (the literal behaviour: NaN < 3 is false).
-    """
+def zscore_mark(df: DataFrame, key: str | None, measures: list[str], limit: float = Z_LIMIT,
+                constant: str = "keep", method: str = "window", out: str = "_keep") -> DataFrame:
+    """D06 as a flag column ``out``: True when |z| < limit for every measure,
+    z being the population z-score within its key. A measure that is NULL on
+    the row (a column absent for that key) does not vote. A constant measure
+    has no z-score: ``constant="keep"`` keeps those rows, ``"drop"`` drops
+    them (the literal behaviour: NaN < 3 is false)."""
     keys = as_list(key)
     aggs = {}
     for m in measures:
@@ -171,7 +170,13 @@ def zscore_filter(df: DataFrame, key: str | None, measures: list[str],
         x, mu, sd = col_of(m), F.col(f"`_mu{m}`"), F.col(f"`_sd{m}`")
         ok = x.isNull() | F.when(sd == 0, F.lit(constant == "keep")).otherwise(F.abs((x - mu) / sd) < F.lit(limit))
         keep = ok if keep is None else keep & ok
-    return j.where(keep).drop(*aggs.keys())
+    return j.withColumn(out, F.coalesce(keep, F.lit(False))).drop(*aggs.keys())
+
+
+def zscore_filter(df: DataFrame, key: str | None, measures: list[str],
+                  limit: float = Z_LIMIT, constant: str = "keep", method: str = "window") -> DataFrame:
+    """Keep only rows with |z| < limit in every measure (see zscore_mark)."""
+    return zscore_mark(df, key, measures, limit, constant, method, "_keep").where("_keep").drop("_keep")
 
 
 # ---------------------------------------------------------------- D07 / D08

@@ -708,3 +708,184 @@ select location, "timestamp", {W_OUT}, {S.r6('o_totalprice')}, data_source, proc
   sliding_window_ready, window_size_recommended, total_sequences, numeric_columns_count, scaling_method from pt""")
 def q_prepared_table(spark, sf):
     return rounded(prepared_table(spark, sf))
+
+
+# =====================================================================
+# Splits, shape fitting, cleaning report (U windows, embeddings)
+# =====================================================================
+from limnos.operators import forecast as fc  # noqa: E402
+from limnos.plans.prepare import cleaning_report  # noqa: E402
+
+
+def u_samples(spark, sf):
+    """U look-back windows with the deterministic hash split."""
+    return ts.hash_split(u_windows(spark, sf), ["location", "timestamp"])
+
+
+SPLIT_SQL = """case when (('0x' || substr(md5('42|' || location || '|' || cast("timestamp" as varchar)), 1, 8))::bigint) % 100 < 20
+  then 'test' else 'train' end"""
+U_SAMPLES_SQL = f"""{U_CLEAN_SQL},
+us_lag as (select location, "timestamp", value_scaled as y,
+  lag(value_scaled, 1) over w as x_last,
+  avg(value_scaled) over (partition by location order by "timestamp" rows between 12 preceding and 1 preceding) as x_mean,
+  row_number() over w - 1 as sample_pos
+  from uc_clean window w as (partition by location order by "timestamp")),
+us as (select *, {SPLIT_SQL} as split from us_lag where sample_pos >= 12)"""
+
+
+@query("train_test_split", f"""with {U_SAMPLES_SQL} select location, "timestamp", split from us""")
+def q_train_test_split(spark, sf):
+    return u_samples(spark, sf).select("location", "timestamp", "split")
+
+
+@query("validation_tail", f"""with {U_SAMPLES_SQL}
+select location, "timestamp", percent_rank() over (order by location, "timestamp") >= 0.8 as is_validation
+from us where split = 'train'""")
+def q_validation_tail(spark, sf):
+    tr = u_samples(spark, sf).where(F.col("split") == "train").select("location", "timestamp")
+    return ts.validation_tail(tr, "location", ["timestamp"])
+
+
+@query("shape_fit", """select vec_id, 12 as n_steps, 40 as n_feats,
+  round(12 * list_sum(cast(list_slice(embedding, 1, 40) as double[])), 6) as x_sum,
+  round(cast(embedding[1] as double), 6) as x_first, round(cast(embedding[40] as double), 6) as x_last,
+  80 as n_padded, round(list_sum(cast(embedding as double[])), 6) as padded_sum from embeddings""")
+def q_shape_fit(spark, sf):
+    e = table(spark, sf, "embeddings")
+    x = ts.fit_shape(F.col("embedding"), 12, 40)
+    p = ts.fit_shape(F.col("embedding"), 1, 80)
+    total = F.aggregate(F.flatten(x), F.lit(0.0), lambda a, v: a + v)
+    return rounded(e.select(
+        "vec_id", F.size(x).alias("n_steps"), F.size(F.element_at(x, 1)).alias("n_feats"), total.alias("x_sum"),
+        F.element_at(F.element_at(x, 1), 1).alias("x_first"), F.element_at(F.element_at(x, -1), -1).alias("x_last"),
+        F.size(F.element_at(p, 1)).alias("n_padded"),
+        F.aggregate(F.element_at(p, 1), F.lit(0.0), lambda a, v: a + v).alias("padded_sum")))
+
+
+@query("cleaning_report", f"""with {S.daily('events', 'cast(user_id as varchar)', 'ts', {'value': 'value'}, 'cr_grid')},
+{S.fill('cr_grid', 'location', ['value'], 'cr_fill', keep_raw=True)},
+cr_z as (select *, coalesce(abs((value - avg(value) over (partition by location))
+    / nullif(stddev_pop(value) over (partition by location), 0)) < 3, false) as keep from cr_fill)
+select location, cast(count(*) - count(value_raw) as bigint) as gaps,
+  cast(count(*) filter (where value_raw is null and value is not null) as bigint) as filled,
+  cast(count(*) filter (where not keep) as bigint) as outliers_removed,
+  cast(count(*) filter (where keep) as bigint) as rows_left from cr_z group by location""")
+def q_cleaning_report(spark, sf):
+    return cleaning_report(feed_u(spark, sf), "location", "ts", ["value"], constant="drop")
+
+
+# =====================================================================
+# Forecast baselines and model comparison
+# =====================================================================
+def u_predictions(spark, sf):
+    return fc.baseline_predictions(u_samples(spark, sf), "location", ["location", "timestamp", "split"])
+
+
+AR1_SQL = """(case when var_pop(case when split = 'train' then x_last end) over (partition by location) > 0
+  then avg(case when split = 'train' then y end) over (partition by location)
+     - covar_pop(case when split = 'train' then x_last end, case when split = 'train' then y end) over (partition by location)
+       / var_pop(case when split = 'train' then x_last end) over (partition by location)
+       * avg(case when split = 'train' then x_last end) over (partition by location)
+     + covar_pop(case when split = 'train' then x_last end, case when split = 'train' then y end) over (partition by location)
+       / var_pop(case when split = 'train' then x_last end) over (partition by location) * x_last
+  end)"""
+PRED_SQL = f"""{U_SAMPLES_SQL},
+preds as (select 'last_value' as model, location, "timestamp", split, y, x_last as prediction from us
+  union all select 'mean12', location, "timestamp", split, y, x_mean from us
+  union all select 'ar1', location, "timestamp", split, y, coalesce({AR1_SQL}, x_last) from us)"""
+
+
+def _forecast_sql(model: str) -> str:
+    return f"""with {PRED_SQL}
+select location, "timestamp", split, {S.r6('y')}, {S.r6('prediction')} from preds where model = '{model}'"""
+
+
+def _forecast_q(model):
+    def run(spark, sf):
+        s = u_samples(spark, sf)
+        return rounded(fc.BASELINES[model](s, "location").select("location", "timestamp", "split", "y", "prediction"))
+    return run
+
+
+for _m, _name in (("last_value", "forecast_last_value"), ("mean12", "forecast_mean12"), ("ar1", "forecast_ar1")):
+    query(_name, _forecast_sql(_m))(_forecast_q(_m))
+
+
+METRICS_SQL = f"""{PRED_SQL},
+m as (select model, count(*) as n, avg((prediction - y) * (prediction - y)) as mse, avg(abs(prediction - y)) as mae,
+  sum((prediction - y) * (prediction - y)) as sse, count(*) * var_pop(y) as sst from preds
+  where split = 'test' and y is not null and prediction is not null group by model)"""
+
+
+def u_metrics(spark, sf):
+    p = u_predictions(spark, sf).where(F.col("split") == "test")
+    return pf.regression_metrics(p, "y", "prediction", ("model",))
+
+
+@query("error_metrics", f"""with {METRICS_SQL}
+select model, n, {S.r6('mse')}, {S.r6('sqrt(mse)', 'rmse')}, {S.r6('mae')},
+  {S.r6('case when sst > 0 then 1 - sse / sst end', 'r2')} from m""")
+def q_error_metrics(spark, sf):
+    return rounded(u_metrics(spark, sf))
+
+
+@query("best_model", f"""with {METRICS_SQL}
+select model as best_model, {S.r6('mse', 'best_mse')} from m order by mse, model limit 1""")
+def q_best_model(spark, sf):
+    return rounded(pf.pick_best(u_metrics(spark, sf), "mse"))
+
+
+def comparison_document(metrics: DataFrame) -> DataFrame:
+    """The nested comparison document as one row: ``models`` maps each model
+    to its metrics struct; ``best_model`` is the lowest-MSE model (A09 layout).
+    Bounded by the number of models."""
+    entry = F.struct(F.col("model"), F.struct("mse", "rmse", "mae", "r2").alias("metrics"))
+    return metrics.agg(F.map_from_entries(F.collect_list(entry)).alias("models"),
+                       F.min_by("model", F.struct("mse", "model")).alias("best_model"))
+
+
+def flatten_document(doc: DataFrame) -> DataFrame:
+    """One row per model with its metrics; ``best_model`` is not a model."""
+    ex = doc.select(F.explode("models").alias("model", "m"))
+    return ex.select("model", "m.mse", "m.rmse", "m.mae", "m.r2")
+
+
+@query("metrics_flat", f"""with {METRICS_SQL}
+select upper(model) as model, {S.r6('mse')}, {S.r6('sqrt(mse)', 'rmse')}, {S.r6('mae')},
+  {S.r6('case when sst > 0 then 1 - sse / sst end', 'r2')} from m""")
+def q_metrics_flat(spark, sf):
+    flat = flatten_document(comparison_document(u_metrics(spark, sf)))
+    return rounded(ix.round_upper(flat, ["mse", "rmse", "mae", "r2"], "model"))
+
+
+@query("forecast_pivot", f"""with {PRED_SQL}
+select location,
+  round(max_by(prediction, "timestamp") filter (where model = 'last_value'), 6) as last_value,
+  round(max_by(prediction, "timestamp") filter (where model = 'mean12'), 6) as mean12,
+  round(max_by(prediction, "timestamp") filter (where model = 'ar1'), 6) as ar1
+from preds group by location""")
+def q_forecast_pivot(spark, sf):
+    p = u_predictions(spark, sf)
+    latest = p.groupBy("location", "model").agg(F.max_by("prediction", "timestamp").alias("prediction"))
+    return rounded(pf.pivot_wide(latest, "location", "model", "prediction", ["last_value", "mean12", "ar1"]))
+
+
+@query("model_overview", f"""with {METRICS_SQL}
+select count(*) as n_models, string_agg(model, ',' order by model) as models,
+  string_agg(model || '=' || case when mse is null then 'N/A' else printf('%.2f', round(mse, 2)) end, ',' order by model) as mse_text
+from m""")
+def q_model_overview(spark, sf):
+    m = u_metrics(spark, sf)
+    m = ix.format_col(m, "mse", "mse_text")
+    return m.agg(F.count(F.lit(1)).alias("n_models"),
+                 F.array_join(F.sort_array(F.collect_list("model")), ",").alias("models"),
+                 F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("model", "mse_text"))),
+                                          lambda s: F.concat(s["model"], F.lit("="), s["mse_text"])), ",").alias("mse_text"))
+
+
+@query("mean_prediction", f"""with {PRED_SQL}
+select model, {S.r6('greatest(0.0, least(100.0, coalesce(avg(prediction * 100.0), 60.0)))', 'mean_prediction')}
+from preds group by model""")
+def q_mean_prediction(spark, sf):
+    p = u_predictions(spark, sf).withColumn("prediction", F.col("prediction") * 100.0)
+    return rounded(ix.mean_prediction(p))

@@ -50,3 +50,19 @@ def prepare(water: DataFrame, climate: DataFrame | None, key: str, ts_col: str,
     both = jn.union_variants(cleaned, normalized)
     seq = sc.sequence_metadata(both, key, ("timestamp", "data_type"))
     return sc.scaling_metadata(seq)
+
+
+def cleaning_report(df: DataFrame, key: str, ts_col: str, measures: list[str],
+                    constant: str = "keep") -> DataFrame:
+    """Per key — null cells in the daily grid (D02), cells filled (D04),
+    outlier rows removed (D06) and rows left. One aggregation pass over the
+    grid with the fill and the outlier flag computed as window columns."""
+    g = ts.daily_resample(df, key, ts_col, measures)
+    f = ts.ffill_bfill(g, key, "timestamp", measures, suffix="_filled")
+    filled_names = [m + "_filled" for m in measures]
+    z = ts.zscore_mark(f, key, filled_names, constant=constant)
+    gaps = sum((F.count(F.lit(1)) - F.count(F.col(m)) for m in measures), F.lit(0))
+    fills = sum((F.count_if(F.col(m).isNull() & F.col(m + "_filled").isNotNull()) for m in measures), F.lit(0))
+    return z.groupBy(key).agg(gaps.cast("bigint").alias("gaps"), fills.cast("bigint").alias("filled"),
+                              F.count_if(~F.col("_keep")).cast("bigint").alias("outliers_removed"),
+                              F.count_if(F.col("_keep")).cast("bigint").alias("rows_left"))
