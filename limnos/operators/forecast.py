@@ -93,9 +93,9 @@ FAMILIES = {
 SPACES = {
     "linear": {"regParam": ("logfloat", 1e-4, 1.0), "elasticNetParam": ("float", 0.0, 1.0),
                "fitIntercept": ("bool", 0, 1)},
-    "random_forest": {"numTrees": ("int", 10, 60), "maxDepth": ("int", 2, 8),
+    "random_forest": {"numTrees": ("int", 10, 40), "maxDepth": ("int", 2, 6),
                       "subsamplingRate": ("float", 0.5, 1.0)},
-    "gbt": {"maxIter": ("int", 10, 60), "maxDepth": ("int", 2, 6), "stepSize": ("logfloat", 0.01, 0.3)},
+    "gbt": {"maxIter": ("int", 5, 30), "maxDepth": ("int", 2, 5), "stepSize": ("logfloat", 0.01, 0.3)},
 }
 
 
@@ -146,8 +146,9 @@ def random_search(train: DataFrame, family: str, n_trials: int = 5, seed: int =
                   validation_col: str = "is_validation", parallelism: int = 2) -> tuple[list[Trial], dict]:
     """Fit ``n_trials`` seeded parameter draws on the training rows
     that are not validation rows, score each on the validation rows (MSE).
-    The fits are distributed Spark ML jobs; ``fitMultiple`` runs up to
-    ``parallelism`` of them concurrently. A failing draw is recorded as a
+    Each fit is a distributed Spark ML job; up to ``parallelism`` fits are
+    submitted concurrently from driver threads (Spark schedules their tasks
+    side by side). A failing draw is recorded as a
     FAILED trial instead of stopping the search."""
     from concurrent.futures import ThreadPoolExecutor
     est = make_estimator(family, seed)

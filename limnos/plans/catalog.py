@@ -889,3 +889,120 @@ from preds group by model""")
 def q_mean_prediction(spark, sf):
     p = u_predictions(spark, sf).withColumn("prediction", F.col("prediction") * 100.0)
     return rounded(ix.mean_prediction(p))
+
+
+# =====================================================================
+# Spark ML forecasting on W windows (rows-only: not SQL-expressible)
+# =====================================================================
+from limnos.plans import training as tr  # noqa: E402
+
+
+def w_samples(spark, sf):
+    norm = ts.minmax_per_key(w_clean(spark, sf), "location", W_MEASURES)
+    win = ts.sliding_windows(norm, "location", "timestamp", W_MEASURES, "l_quantity", 12)
+    return ts.hash_split(win, ["location", "timestamp"])
+
+
+@query("forecast_ml")
+def q_forecast_ml(spark, sf):
+    """Linear, random forest and GBT on the W windows;
+    test-set metrics per family."""
+    metrics, _ = tr.train_and_compare(tr.training_table(w_samples(spark, sf)))
+    return rounded(metrics)
+
+
+@query("search_trials")
+def q_search_trials(spark, sf):
+    """Seeded random search, 3 draws per family, scored on the
+    validation tail."""
+    return tr.search(tr.training_table(w_samples(spark, sf)), n_trials=3)
+
+
+@query("multi_target")
+def q_multi_target(spark, sf):
+    """Next-day forecast of every W measure per location."""
+    norm = ts.minmax_per_key(w_clean(spark, sf), "location", W_MEASURES)
+    return rounded(tr.multi_target(norm, "location", "timestamp", W_MEASURES, W_MEASURES))
+
+
+# =====================================================================
+# Sources and sinks: write what Spark derived from the tables, read it back
+# =====================================================================
+from limnos.session import scratch_path  # noqa: E402
+from limnos.sources import files as io  # noqa: E402
+
+W_CSV_SCHEMA = "timestamp string, location string, " + ", ".join(f"{m} double" for m in W_MEASURES)
+
+
+@query("csv_roundtrip", f"""with {W_CLEAN_SQL}
+select location, "timestamp", {W_OUT} from w_clean""")
+def q_csv_roundtrip(spark, sf):
+    """A06 write (CSV, header, time index first) -> A01/A02 read with a
+    declared schema and the first column parsed as the time index."""
+    path = scratch_path(spark, "w_clean_csv")
+    clean = w_clean(spark, sf).select(F.col("timestamp").cast("string").alias("timestamp"), "location", *W_MEASURES)
+    io.write_table(clean, path, fmt="csv")
+    back = io.read_csv_indexed(spark, path, W_CSV_SCHEMA)
+    return rounded(back.select("location", F.col("timestamp").cast("date").alias("timestamp"), *W_MEASURES))
+
+
+@query("json_roundtrip", f"""with {METRICS_SQL}
+select model, {S.r6('mse')}, {S.r6('sqrt(mse)', 'rmse')}, {S.r6('mae')},
+  {S.r6('case when sst > 0 then 1 - sse / sst end', 'r2')}, (select model from m order by mse, model limit 1) as best_model from m""")
+def q_json_roundtrip(spark, sf):
+    """A09 write of the comparison document -> A05 multi-line JSON read ->
+    G17 flatten (``models`` read back as a map of metric structs)."""
+    path = scratch_path(spark, "comparison_json")
+    io.write_json_doc(comparison_document(u_metrics(spark, sf)), path)
+    schema = ("models map<string, struct<mse: double, rmse: double, mae: double, r2: double>>, "
+              "best_model string")
+    doc = io.read_json_docs(spark, path, schema, multiline=False)
+    flat = doc.select("best_model", F.explode("models").alias("model", "m"))
+    return rounded(flat.select("model", "m.mse", "m.rmse", "m.mae", "m.r2", "best_model"))
+
+
+@query("tensor_roundtrip", f"""with {U_SAMPLES_SQL}
+select location, "timestamp", split, round(cast(cast(y as float) as double), 6) as y,
+  round(cast(cast(x_last as float) as double), 6) as x_last from us""")
+def q_tensor_roundtrip(spark, sf):
+    """Windows written as float32 tensors partitioned by split, read back."""
+    path = scratch_path(spark, "u_samples")
+    io.write_samples(u_samples(spark, sf), path)
+    back = io.read_samples(spark, path)
+    return rounded(back.select("location", "timestamp", "split", "y",
+                               F.element_at(F.element_at("x", -1), 1).alias("x_last")))
+
+
+@query("scaler_roundtrip", f"""with {W_CLEAN_SQL},
+{S.minmax('w_clean', None, W_MEASURES, 'w_gnorm')}
+select location, "timestamp", {W_OUT} from w_gnorm""")
+def q_scaler_roundtrip(spark, sf):
+    """Fit the scaler, persist its stats table, reload it and apply."""
+    clean = w_clean(spark, sf)
+    path = scratch_path(spark, "scaler")
+    io.write_stats(ts.fit_minmax(clean, W_MEASURES), path)
+    return rounded(ts.apply_minmax(clean, io.read_stats(spark, path), W_MEASURES))
+
+
+@query("file_catalogue")
+def q_file_catalogue(spark, sf):
+    """Write the cleaned W table as CSV partitioned by location, then
+    list every CSV below the root with directory, size and time."""
+    root = scratch_path(spark, "catalogue")
+    io.write_table(w_clean(spark, sf), root, fmt="csv", partition_by="location")
+    cat = io.file_catalogue(spark, root)
+    return cat.select(F.regexp_extract("dir", r"([^/]*)$", 1).alias("dir"), "file", "size_bytes", "size")
+
+
+@query("trial_log")
+def q_trial_log(spark, sf):
+    """Trial logs written by a search over the W windows, read back as a
+    table (one row per trial: values, score, status, error text)."""
+    trials = tr.search(tr.training_table(w_samples(spark, sf)), families=("linear",), n_trials=3)
+    root = scratch_path(spark, "trials")
+    logs = trials.select("model", "trial_id", "status", "score", F.lit(0).cast("long").alias("best_step"),
+                         F.struct(F.from_json("hyperparameters", "map<string,string>").alias("values"))
+                          .alias("hyperparameters"), "message")
+    logs.write.mode("overwrite").partitionBy("model").json(root)
+    back = io.read_trials(spark, root, glob="*.json", multiline=False)
+    return back.select("trial_id", "status", "score", F.to_json("values").alias("values"), "message")
