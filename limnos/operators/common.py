@@ -19,13 +19,16 @@ def broadcast_max_rows(spark: SparkSession) -> int:
     return int(v) if v else DEFAULT_BROADCAST_MAX_ROWS
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint into ``spark.checkpoint.dir``
-    (shared storage on a cluster), so a lost executor never forces the
-    upstream aggregation to be recomputed."""
-    from limnos.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage by writing the table (Parquet) under the shared
+    ``spark.checkpoint.dir`` and reading it back: one job, the upstream is
+    computed once, later readers get column pruning and filter pushdown, and
+    a lost executor re-reads files instead of recomputing the lineage."""
+    from limnos.session import scratch_path
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def checked_broadcast(small: DataFrame, max_rows: int | None = None) -> DataFrame:

@@ -82,6 +82,23 @@ def keep_alive(cleaned: DataFrame, source: DataFrame, key: str, measures: list[s
     return kept.unionByName(lost, allowMissingColumns=True)
 
 
+def keep_alive_marked(df: DataFrame, key: str, keep_col: str, measures: list[str],
+                      ts: str = "timestamp") -> DataFrame:
+    """C08 on a frame whose rows carry a keep flag (e.g. the z-score flag):
+    rows with the flag and a value are kept; a location with no such row
+    yields one row holding only the location. Computed with window
+    aggregates on the location's partition — no join, no second scan."""
+    from pyspark.sql import Window
+    any_value = reduce(lambda a, b: a | b, [col_of(m).isNotNull() for m in measures])
+    ok = col_of(keep_col) & any_value
+    w = Window.partitionBy(key)
+    d = df.withColumns({"_ok": ok, "_alive": F.max(ok.cast("int")).over(w) == 1,
+                        "_first": F.row_number().over(w.orderBy(ts)) == 1})
+    out = d.where(F.col("_ok") | (~F.col("_alive") & F.col("_first")))
+    blank = {c: F.when(F.col("_alive"), col_of(c)) for c in df.columns if c not in (key, keep_col)}
+    return out.withColumns(blank).drop("_ok", "_alive", "_first", keep_col)
+
+
 def key_list(df: DataFrame, key: str = "location") -> DataFrame:
     """Sorted distinct non-null locations."""
     return df.select(key).where(col_of(key).isNotNull()).distinct().orderBy(key)

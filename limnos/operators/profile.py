@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from limnos.functions.constants import HIST_BINS, TOP_PAIRS
 from limnos.functions.exprs import col_of
-from limnos.operators.common import as_list, stats_join
+from limnos.operators.common import as_list, q, stats_join
 
 
 def _stack(wide: DataFrame, keys: list[str], groups: list[tuple[str, list[str]]], names: list[str]) -> DataFrame:
@@ -118,31 +118,61 @@ def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson r for every column pair over rows where both are set
-    (pairwise-complete), in one aggregation pass; a constant column gives
-    NULL (never a division error). Long form (col_a, col_b, r), full matrix."""
-    aggs = []
-    pairs = list(combinations(range(len(cols)), 2))
-    for i, j in pairs:
-        a, b = col_of(cols[i]).cast("double"), col_of(cols[j]).cast("double")
-        both = a.isNotNull() & b.isNotNull()
-        sa = F.stddev_pop(F.when(both, a))
-        sb = F.stddev_pop(F.when(both, b))
-        aggs.append(F.when((sa == 0) | (sb == 0), F.lit(None).cast("double"))
-                     .otherwise(F.covar_pop(a, b) / (sa * sb)).alias(f"r{i}_{j}"))
-    for i, c in enumerate(cols):
-        s = F.stddev_pop(col_of(c).cast("double"))
-        aggs.append(F.when(s > 0, F.lit(1.0)).alias(f"r{i}_{i}"))
-    wide = df.agg(*aggs)
-
-    def lit(x: str) -> str:
-        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """Pearson r for every column pair over the rows where both are set
+    (pairwise-complete); a constant column gives NULL (never a division
+    error). Long form (col_a, col_b, r), full matrix incl. the diagonal.
+
+    Two passes of plain sums (fast, codegen'd; no per-row divisions):
+      1. one-row aggregate: count, mean, min, max per column;
+      2. sums of mean-shifted values and their products (the shifted-data
+         formulas, numerically stable). Null-free input needs only the
+         Gram sums; with nulls each pair gets its own pairwise-complete sums.
+    The k² expressions are built as SQL text (one JVM call each).
+    """
+    k = len(cols)
+    x = [f"cast({q(c)} as double)" for c in cols]
+    r1 = df.selectExpr(*[f"{x[i]} as c{i}" for i in range(k)]).agg(
+        F.expr("count(1)").alias("n"),
+        *[F.expr(f"count(c{i})").alias(f"n{i}") for i in range(k)],
+        *[F.expr(f"avg(c{i})").alias(f"m{i}") for i in range(k)],
+        *[F.expr(f"min(c{i}) = max(c{i})").alias(f"k{i}") for i in range(k)]).first()
+    mean = [r1[f"m{i}"] if r1[f"m{i}"] is not None else 0.0 for i in range(k)]
+    const = [r1[f"k{i}"] is None or bool(r1[f"k{i}"]) for i in range(k)]
+    null_free = all(r1[f"n{i}"] == r1["n"] for i in range(k))
+    d = [f"(c{i} - {mean[i]!r})" for i in range(k)]
+    pairs = list(combinations(range(k), 2))
+    if null_free:
+        aggs = ([f"sum({d[i]}) as s{i}" for i in range(k)] + [f"sum({d[i]} * {d[i]}) as q{i}" for i in range(k)]
+                + [f"sum({d[i]} * {d[j]}) as p{i}_{j}" for i, j in pairs])
+    else:
+        aggs = []
+        for i, j in pairs:
+            both = f"(c{i} is not null and c{j} is not null)"
+            aggs += [f"count_if({both}) as n{i}_{j}", f"sum(if({both}, {d[i]}, null)) as sa{i}_{j}",
+                     f"sum(if({both}, {d[j]}, null)) as sb{i}_{j}", f"sum(if({both}, {d[i]} * {d[i]}, null)) as qa{i}_{j}",
+                     f"sum(if({both}, {d[j]} * {d[j]}, null)) as qb{i}_{j}", f"sum({d[i]} * {d[j]}) as p{i}_{j}"]
+    sums = df.selectExpr(*[f"{x[i]} as c{i}" for i in range(k)]).agg(*[F.expr(a.rsplit(" as ", 1)[0]).alias(a.rsplit(" as ", 1)[1]) for a in aggs])
+
+    def r_sql(i, j):
+        if const[i] or const[j]:
+            return "cast(null as double)"
+        if null_free:
+            n, sa, sb, qa, qb = f"{float(r1['n'])!r}", f"s{i}", f"s{j}", f"q{i}", f"q{j}"
+        else:
+            n, sa, sb, qa, qb = f"cast(n{i}_{j} as double)", f"sa{i}_{j}", f"sb{i}_{j}", f"qa{i}_{j}", f"qb{i}_{j}"
+        cov, va, vb = f"(p{i}_{j} - {sa} * {sb} / {n})", f"({qa} - {sa} * {sa} / {n})", f"({qb} - {sb} * {sb} / {n})"
+        return f"case when {n} > 0 and {va} > 0 and {vb} > 0 then {cov} / sqrt({va} * {vb}) end"
+
+    def lit(v: str) -> str:
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
     entries = []
     for i, j in pairs:
-        entries += [f"{lit(cols[i])}, {lit(cols[j])}, r{i}_{j}", f"{lit(cols[j])}, {lit(cols[i])}, r{i}_{j}"]
-    entries += [f"{lit(c)}, {lit(c)}, r{i}_{i}" for i, c in enumerate(cols)]
-    long = wide.selectExpr(f"stack({len(entries)}, {', '.join(entries)}) as (col_a, col_b, r)")
-    return long.select("col_a", "col_b", F.col("r").cast("double").alias("r"))
+        r = r_sql(i, j)
+        entries += [f"({lit(cols[i])}, {lit(cols[j])}, {r})", f"({lit(cols[j])}, {lit(cols[i])}, {r})"]
+    entries += [f"({lit(c)}, {lit(c)}, {'cast(null as double)' if const[i] else '1.0D'})" for i, c in enumerate(cols)]
+    body = ", ".join(f"named_struct('col_a', {e[1:-1].split(', ', 2)[0]}, 'col_b', {e[1:-1].split(', ', 2)[1]}, "
+                     f"'r', cast({e[1:-1].split(', ', 2)[2]} as double))" for e in entries)
+    return sums.selectExpr(f"inline(array({body}))")
 
 
 def top_correlations(corr: DataFrame, cols: list[str], k: int = TOP_PAIRS) -> DataFrame:

@@ -15,6 +15,7 @@ from limnos.operators import filters as flt
 from limnos.operators import joins as jn
 from limnos.operators import schema as sc
 from limnos.operators import timeseries as ts
+from limnos.operators.common import materialize
 
 
 def clean_series(df: DataFrame, key: str | None, ts_col: str, measures: list[str],
@@ -23,10 +24,12 @@ def clean_series(df: DataFrame, key: str | None, ts_col: str, measures: list[str
     keys left without values keep one row holding only the key (C08)."""
     g = ts.daily_resample(df, key, ts_col, measures)
     f = ts.ffill_bfill(g, key, "timestamp", measures)
-    z = ts.zscore_filter(f, key, measures, constant=constant)
     if key is not None and keep_empty:
-        z = flt.keep_alive(z, df, key, measures)
-    return z
+        # every location that reached the grid stays visible (C01 runs first);
+        # flag + window keep-alive share the key partitioning of the fill
+        z = ts.zscore_mark(f, key, measures, constant=constant, out="_keep")
+        return flt.keep_alive_marked(z, key, "_keep", measures)
+    return ts.zscore_filter(f, key, measures, constant=constant)
 
 
 def prepare(water: DataFrame, climate: DataFrame | None, key: str, ts_col: str,
@@ -35,10 +38,14 @@ def prepare(water: DataFrame, climate: DataFrame | None, key: str, ts_col: str,
     """The prepared table: cleaned and normalised variants of the located
     feed, each joined to the matching variant of the global side feed on the
     day, tagged, unioned, numbered and annotated."""
-    wc = clean_series(water, key, ts_col, measures, constant, keep_empty)
+    # The cleaned daily tables feed several branches (normalised variant,
+    # joins, union, numbering): each is materialised once into the
+    # checkpoint folder, so the raw scans run once and lineage is cut.
+    wc = materialize(clean_series(water, key, ts_col, measures, constant, keep_empty), "cleaned")
     wn = ts.minmax_per_key(wc, key, measures)
     if climate is not None and climate_measures:
-        cc = clean_series(climate, None, climate_ts or ts_col, climate_measures, constant, keep_empty=False)
+        cc = materialize(clean_series(climate, None, climate_ts or ts_col, climate_measures, constant,
+                                      keep_empty=False), "side_cleaned")
         cn = ts.minmax_per_key(cc, None, climate_measures)
         cleaned = jn.left_join_tagged(wc, cc, ["timestamp"])
         normalized = jn.left_join_tagged(wn, cn, ["timestamp"])
