@@ -57,44 +57,49 @@ def missing_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                      F.round(F.col("nulls") * 100.0 / (F.col("nulls") + F.col("non_null")), 2).alias("missing_pct")))
 
 
-def _quantiles(c: Column, probs: list[float], exact: bool, accuracy: int) -> Column:
-    arr = F.array(*[F.lit(p) for p in probs])
-    if exact:
-        return F.percentile(c, arr)
-    return F.percentile_approx(c, arr, accuracy)
-
-
 def describe(df: DataFrame, cols: list[str], exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Count, mean, sample std, min, 25/50/75 % (linear interpolation)
-    and max per column, long form, in one aggregation pass.
+    and max per column, long form.
 
-    ``exact=True`` uses the exact ``percentile`` aggregate (matches the
-    reference's interpolated quartiles). ``exact=False`` uses
-    ``percentile_approx`` with bounded memory per group, for columns with
-    very many distinct values.
+    Moments come from one aggregation pass over the wide table. Quartiles:
+    ``exact=True`` runs the bounded exact selection of
+    ``limnos.operators.quantiles`` over the stacked (column, value) table;
+    ``exact=False`` uses ``percentile_approx`` (one pass, bounded sketch).
     """
+    from limnos.operators.quantiles import exact_quantiles
     aggs = []
     for i, c in enumerate(cols):
         x = col_of(c).cast("double")
-        q = _quantiles(x, [0.25, 0.5, 0.75], exact, accuracy)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-                 F.min(x).alias(f"min{i}"), q.alias(f"q{i}"), F.max(x).alias(f"max{i}")]
+                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
+        if not exact:
+            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"q{i}"))
     wide = df.agg(*aggs)
-    long = _stack(wide, [], [(c, [f"n{i}", f"mean{i}", f"std{i}", f"min{i}", f"q{i}", f"max{i}"])
-                             for i, c in enumerate(cols)],
-                  ["column", "count", "mean", "std", "min", "q", "max"])
-    return long.select("column", F.col("count").cast("bigint").alias("count"), "mean", "std", "min",
-                       F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    names = ["n", "mean", "std", "min", "max"] + ([] if exact else ["q"])
+    moments = _stack(wide, [], [(c, [f"{nm}{i}" for nm in names]) for i, c in enumerate(cols)],
+                     ["column", "count", "mean", "std", "min", "max"] + ([] if exact else ["q"]))
+    if exact:
+        long = _stack(df.select(*[col_of(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]), [],
+                      [(c, [f"v{i}"]) for i, c in enumerate(cols)], ["column", "x"])
+        qs = exact_quantiles(long, ["column"], "x", [0.25, 0.5, 0.75]).drop("n")
+        moments = moments.join(qs, ["column"], "left")
+    return moments.select("column", F.col("count").cast("bigint").alias("count"), "mean", "std", "min",
+                          F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
 def box_stats(df: DataFrame, key: str, col: str, exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """Five-number summary per location, 1.5·IQR fences and the count of
-    points outside them (second pass: per-row test against broadcast stats)."""
+    """Five-number summary per location (exact, bounded memory; or
+    approximate), 1.5·IQR fences and the count of points outside them
+    (second pass: per-row test against the per-location fences)."""
+    from limnos.operators.quantiles import exact_quantiles
     x = col_of(col).cast("double")
-    q = _quantiles(x, [0.25, 0.5, 0.75], exact, accuracy)
-    st = (df.groupBy(key).agg(F.min(x).alias("min"), q.alias("_q"), F.max(x).alias("max"))
-            .select(key, "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                    F.col("_q")[2].alias("q3"), "max"))
+    if exact:
+        q = exact_quantiles(df, [key], col, [0.0, 0.25, 0.5, 0.75, 1.0]).drop("n")
+    else:
+        q = df.groupBy(key).agg(F.array(F.min(x), *[F.percentile_approx(x, p, accuracy) for p in (0.25, 0.5, 0.75)],
+                                        F.max(x)).alias("q"))
+    st = q.select(key, F.col("q")[0].alias("min"), F.col("q")[1].alias("q1"), F.col("q")[2].alias("median"),
+                  F.col("q")[3].alias("q3"), F.col("q")[4].alias("max"))
     st = st.withColumns({"lower_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                          "upper_fence": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     out = (stats_join(df.select(key, x.alias("_x")), st.select(key, "lower_fence", "upper_fence"), [key], "inner")
