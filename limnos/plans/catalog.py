@@ -1006,3 +1006,23 @@ def q_trial_log(spark, sf):
     logs.write.mode("overwrite").partitionBy("model").json(root)
     back = io.read_trials(spark, root, glob="*.json", multiline=False)
     return back.select("trial_id", "status", "score", F.to_json("values").alias("values"), "message")
+
+
+# =====================================================================
+# Streaming: daily means of the event feed (D01 as a stream)
+# =====================================================================
+from limnos.streaming import daily as sd  # noqa: E402
+
+
+@query("stream_daily_means", """select cast(user_id as varchar) as location, cast(ts as date) as "timestamp",
+  round(avg(value), 6) as value from events where ts is not null group by 1, 2""")
+def q_stream_daily_means(spark, sf):
+    """The events file read as a stream (two micro-batches at most one file
+    each), per-user daily means kept in the state store and drained into a
+    Parquet table; the current means are read back from it."""
+    base = scratch_path(spark, "stream")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    s = sd.daily_stream(spark, sf, schema, "user_id", "ts", ["value"], glob="events.parquet",
+                        watermark="2 days", max_files_per_trigger=1)
+    sd.run_to_table(s, base + "/table", base + "/checkpoint")
+    return rounded(sd.current_means(spark, base + "/table", ["value"]))
