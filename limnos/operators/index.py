@@ -61,6 +61,26 @@ def one_hot(df: DataFrame, col: str, max_values: int = 1000, values: list[str] |
     return res.drop(col) if drop_source else res
 
 
+def one_hot_many(df: DataFrame, cols: list[str], max_values: int = 1000, keep: tuple = ()) -> DataFrame:
+    """B13 for several label columns: the distinct (column, value) pairs of
+    all of them come from ONE bounded distinct pass (at most ``max_values``
+    per column, checked); sources are dropped except those in ``keep``."""
+    if not cols:
+        return df
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), col_of(c).cast("string").alias("v")) for c in cols]))
+    found = (df.select(pairs.alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull()).distinct()
+               .limit(max_values * len(cols) + 1).collect())
+    by_col: dict[str, list[str]] = {c: [] for c in cols}
+    for r in found:
+        by_col[r["c"]].append(r["v"])
+    res = df
+    for c in cols:
+        if len(by_col[c]) > max_values:
+            raise ValueError(f"{c}: more than {max_values} distinct values")
+        res = one_hot(res, c, values=sorted(by_col[c]), drop_source=c not in keep)
+    return res
+
+
 def mean_impute(df: DataFrame, cols: list[str]) -> DataFrame:
     """Fill NULLs with the column mean over the (already filtered) rows;
     the means are a one-row aggregate, broadcast."""

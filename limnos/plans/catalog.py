@@ -1026,3 +1026,67 @@ def q_stream_daily_means(spark, sf):
                         watermark="2 days", max_files_per_trigger=1)
     sd.run_to_table(s, base + "/table", base + "/checkpoint")
     return rounded(sd.current_means(spark, base + "/table", ["value"]))
+
+
+# =====================================================================
+# Stage 2: model table (fill, index, one-hot, global min-max) and samples
+# =====================================================================
+from limnos.plans.features import model_samples, model_table  # noqa: E402
+
+MT_MEASURES = W_MEASURES + ["o_totalprice"]
+MT_INTS = ["sequence_id", "window_size_recommended", "total_sequences", "numeric_columns_count"]
+MT_ONEHOT = {"data_source": ["water_climate_combined", "water_only"],
+             "processing_stage": ["cleaned", "normalized"], "data_type": ["cleaned", "normalized"],
+             "scaling_method": ["MinMaxScaler_0_to_1"]}
+MT_NUM = MT_MEASURES + MT_INTS + ["WQI"] + [f"{c}_{v}" for c, vs in MT_ONEHOT.items() for v in vs]
+
+
+def _mt_sql() -> str:
+    w = 'over (partition by location, data_type order by "timestamp" rows between unbounded preceding and current row)'
+    wa = 'over (partition by location, data_type order by "timestamp" rows between unbounded preceding and unbounded following)'
+    fill = ", ".join(f"coalesce(last_value({m} ignore nulls) {w}, first_value({m} ignore nulls) {wa}) as {m}"
+                     for m in MT_MEASURES)
+    idx = " + ".join(f"coalesce({m}, 0.0) * {wt}" for m, wt in W_WEIGHTS.items())
+    nn = " and ".join(f"{c} is not null" for c in MT_MEASURES + MT_INTS + ["WQI"])
+    oh = ", ".join(f"case when {c} = '{v}' then 1 else 0 end as {c}_{v}" for c, vs in MT_ONEHOT.items() for v in vs)
+    scaled = ", ".join(
+        f"round(case when max({c}) over () = min({c}) over () then 0.0 else "
+        f"({c} - min({c}) over ()) / (max({c}) over () - min({c}) over ()) end, 6) as {c}" for c in MT_NUM)
+    return f"""{PREPARED_SQL},
+mt_fill as (select location, "timestamp", data_type, data_source, processing_stage, scaling_method, sliding_window_ready,
+  {', '.join(MT_INTS)}, {fill} from pt),
+mt_idx as (select *, {idx} as WQI from mt_fill),
+mt_oh as (select *, {oh} from mt_idx where {nn}),
+mt as (select location, "timestamp", data_type, sliding_window_ready, {scaled} from mt_oh)"""
+
+
+MT_SQL = _mt_sql()
+
+
+def q_model_table_df(spark, sf):
+    table, _stats = model_table(prepared_table(spark, sf), W_WEIGHTS)
+    return table
+
+
+@query("model_table", f"with {MT_SQL} select * from mt")
+def q_model_table(spark, sf):
+    return rounded(q_model_table_df(spark, sf))
+
+
+@query("model_samples", f"""with {MT_SQL},
+ms as (select location, data_type, "timestamp", WQI as y,
+  lag(WQI, 12) over w as x_first, lag(WQI, 1) over w as x_last, row_number() over w - 1 as sample_pos
+  from mt window w as (partition by location, data_type order by "timestamp"))
+select location, data_type, "timestamp", sample_pos, {S.r6('y')}, {S.r6('x_first')}, {S.r6('x_last')},
+  {len(MT_NUM)} as n_features,
+  case when (('0x' || substr(md5('42|' || location || '|' || data_type || '|' || cast("timestamp" as varchar)), 1, 8))::bigint) % 100 < 20
+  then 'test' else 'train' end as split
+from ms where sample_pos >= 12""")
+def q_model_samples(spark, sf):
+    samples, feats = model_samples(q_model_table_df(spark, sf), "WQI")
+    k = feats.index("WQI") + 1
+    return rounded(samples.select(
+        "location", "data_type", "timestamp", "sample_pos", "y",
+        F.element_at(F.element_at("x", 1), k).alias("x_first"),
+        F.element_at(F.element_at("x", -1), k).alias("x_last"),
+        F.size(F.element_at("x", 1)).alias("n_features"), "split"))
