@@ -41,11 +41,19 @@ def prepare(water: DataFrame, climate: DataFrame | None, key: str, ts_col: str,
     # The cleaned daily tables feed several branches (normalised variant,
     # joins, union, numbering): each is materialised once into the
     # checkpoint folder, so the raw scans run once and lineage is cut.
-    wc = materialize(clean_series(water, key, ts_col, measures, constant, keep_empty), "cleaned")
+    # The two are independent jobs and are submitted side by side.
+    from concurrent.futures import ThreadPoolExecutor
+    has_side = climate is not None and bool(climate_measures)
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        fw = pool.submit(lambda: materialize(clean_series(water, key, ts_col, measures, constant, keep_empty),
+                                             "cleaned"))
+        fc = pool.submit(lambda: materialize(clean_series(climate, None, climate_ts or ts_col, climate_measures,
+                                                          constant, keep_empty=False), "side_cleaned")) \
+            if has_side else None
+        wc = fw.result()
+        cc = fc.result() if fc is not None else None
     wn = ts.minmax_per_key(wc, key, measures)
-    if climate is not None and climate_measures:
-        cc = materialize(clean_series(climate, None, climate_ts or ts_col, climate_measures, constant,
-                                      keep_empty=False), "side_cleaned")
+    if has_side:
         cn = ts.minmax_per_key(cc, None, climate_measures)
         cleaned = jn.left_join_tagged(wc, cc, ["timestamp"])
         normalized = jn.left_join_tagged(wn, cn, ["timestamp"])
