@@ -481,6 +481,16 @@ def q_join_positional(spark, sf):
     return rounded(z.select("row_pos", "w_timestamp", "l_quantity", "k_timestamp", "o_totalprice"))
 
 
+@query("join_global_global", f"""with {S.daily('lineitem', None, 'l_shipdate', {'l_quantity': 'l_quantity'}, 'wg_grid')}, {K_FILL_SQL}
+select w."timestamp", {S.r6('w.l_quantity', 'l_quantity')}, {S.r6('k.o_totalprice', 'o_totalprice')},
+  case when k."timestamp" is not null then 'water_climate_combined' else 'water_only' end as data_source
+from wg_grid w left join k_fill k on w."timestamp" = k."timestamp\"""")
+def q_join_global_global(spark, sf):
+    """A global (unlocated) daily series joined to the global side series."""
+    wg = ts.daily_resample(feed_w(spark, sf), None, "ts", ["l_quantity"])
+    return rounded(jn.left_join_tagged(wg, k_clean(spark, sf), ["timestamp"]))
+
+
 @query("join_suffixes", f"""with {W_CLEAN_SQL}, {K_FILL_SQL}
 select w.location, w."timestamp", {S.r6('w.l_extendedprice', 'value_water')}, {S.r6('k.o_totalprice', 'value_climate')},
   case when k."timestamp" is not null then 'water_climate_combined' else 'water_only' end as data_source

@@ -32,8 +32,12 @@ def model_table(prepared: DataFrame, weights: dict[str, float], key: str = "loca
                 if isinstance(f.dataType, NumericType) and f.name in weights]
     others = [f.name for f in prepared.schema.fields
               if isinstance(f.dataType, NumericType) and f.name not in weights]
-    d = prepared.withColumn("_series", F.concat_ws("|", F.col(key), F.col(variant)))
-    d = ts.ffill_bfill(d, "_series", order, measures + others).drop("_series")
+    if fill_mode == "row_order":
+        d = ts.ffill_bfill(prepared, None, "sequence_id", measures + others,
+                           bucket=F.floor(F.col("sequence_id") / 4096))
+    else:
+        d = prepared.withColumn("_series", F.concat_ws("|", F.col(key), F.col(variant)))
+        d = ts.ffill_bfill(d, "_series", order, measures + others).drop("_series")
     d = ix.weighted_index(d, weights, out="WQI")
     d, _ = flt.drop_all_null_columns(d, keep=[key, order])
     d = flt.drop_any_null(d)

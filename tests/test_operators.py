@@ -200,3 +200,35 @@ def test_regression_metrics_and_best(spark):
     assert pf.pick_best(pf.regression_metrics(df), "r2").first()["best_model"] == "m2"
     aliased = pf.regression_metrics(df).withColumnRenamed("mse", "mean_squared_error")
     assert pf.pick_best(aliased, "mse").first()["best_model"] == "m2"
+
+
+def test_model_reuse_or_retrain(spark, tmp_path):
+    from limnos.operators import forecast as fc
+    from pyspark.ml.linalg import Vectors
+    df = spark.createDataFrame([(Vectors.dense([float(i)]), 2.0 * i) for i in range(20)], ["features", "y"])
+    calls = []
+
+    def build():
+        calls.append(1)
+        return fc.fit_final(df, "linear", {}, validation_col=None)
+    path = str(tmp_path / "m")
+    m1 = fc.save_or_reuse(path, build, mode="reuse")     # nothing saved yet -> train
+    m2 = fc.save_or_reuse(path, build, mode="reuse")     # loads
+    m3 = fc.save_or_reuse(path, build, mode="replace")   # retrains
+    assert len(calls) == 2
+    p1, p2 = (m.transform(df).agg(F.sum("prediction")).first()[0] for m in (m1, m2))
+    assert math.isclose(p1, p2) and m3 is not None
+
+
+def test_streaming_daily_means(spark, tmp_path):
+    from limnos.streaming import daily as sd
+    src = tmp_path / "src"
+    data = [(1, dt.datetime(2024, 1, 1, 3), 7, "x", 2.0, "{}"), (2, dt.datetime(2024, 1, 1, 9), 7, "x", 4.0, "{}"),
+            (3, dt.datetime(2024, 1, 2, 1), 7, "x", None, "{}"), (4, dt.datetime(2024, 1, 2, 1), 8, "x", 1.0, "{}")]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(data[:2], schema).write.parquet(str(src / "a"))
+    spark.createDataFrame(data[2:], schema).write.parquet(str(src / "b"))
+    s = sd.daily_stream(spark, str(src) + "/*", schema, "user_id", "ts", ["value"], max_files_per_trigger=1)
+    sd.run_to_table(s, str(tmp_path / "t"), str(tmp_path / "c"))
+    got = rows(sd.current_means(spark, str(tmp_path / "t"), ["value"]), "location", "timestamp", "value")
+    assert got == [("7", D(2024, 1, 1), 3.0), ("7", D(2024, 1, 2), None), ("8", D(2024, 1, 2), 1.0)]
