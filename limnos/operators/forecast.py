@@ -48,13 +48,16 @@ def baseline_ar1(samples: DataFrame, key: str | None, split: str = "split", feat
     usable fit (constant x, no training rows) fall back to the last value.
     The fit is a window aggregate per key (no join back)."""
     keys = as_list(key)
-    w = Window.partitionBy(*keys)
     x_last = _step_value(-1, feature)
     tr = F.col(split) == "train"
     xt, yt = F.when(tr, F.col("_xl")), F.when(tr, F.col("y"))
     d = samples.withColumn("_xl", x_last)
-    d = d.withColumns({"_cov": F.covar_pop(xt, yt).over(w), "_var": F.var_pop(xt).over(w),
-                       "_mx": F.avg(xt).over(w), "_my": F.avg(yt).over(w)})
+    fit = {"_cov": F.covar_pop(xt, yt), "_var": F.var_pop(xt), "_mx": F.avg(xt), "_my": F.avg(yt)}
+    if keys:
+        w = Window.partitionBy(*keys)
+        d = d.withColumns({k: v.over(w) for k, v in fit.items()})
+    else:  # one global fit: a one-row aggregate, broadcast
+        d = d.crossJoin(F.broadcast(d.agg(*[v.alias(k) for k, v in fit.items()])))
     b = F.when(F.col("_var") > 0, F.col("_cov") / F.col("_var"))
     pred = F.coalesce(F.col("_my") - b * F.col("_mx") + b * F.col("_xl"), F.col("_xl"))
     return d.withColumn("prediction", pred).drop("_xl", "_cov", "_var", "_mx", "_my")

@@ -52,6 +52,12 @@ def daily_resample(df: DataFrame, key: str | None, ts: str, measures: list[str],
     daily = (df.where(col_of(ts).isNotNull())
                .groupBy(*[col_of(k) for k in keys], day)
                .agg(*[F.avg(col_of(m).cast("double")).alias(m) for m in measures]))
+    if not keys:
+        # one global series: the calendar (one row per day of the span) is
+        # generated from a one-row min/max and joined to the day means
+        span = daily.agg(F.min(out).alias("_lo"), F.max(out).alias("_hi"))
+        grid = span.select(F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 day"))).alias(out))
+        return grid.join(daily, [out], "left")
     w = Window.partitionBy(*keys).orderBy(out)
     with_next = daily.withColumn("_next", F.lead(out).over(w))
     span = F.sequence(F.col(out), F.coalesce(F.date_sub("_next", 1), F.col(out)))
