@@ -29,17 +29,25 @@ def daily_stream(spark: SparkSession, source_dir: str, schema: str, key: str, ts
         r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    # event time must be TIMESTAMP (session zone; UTC keeps wall-clock days)
-    s = r.parquet(source_dir).where(F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp"))
+    # Event time must be TIMESTAMP. Readings are wall-clock (timestamp_ntz):
+    # take the instant whose UTC clock shows that wall-clock, so the 1-day
+    # windows (aligned to UTC midnight) are exactly the calendar days in any
+    # session time zone.
+    ntz = F.col(ts).cast("timestamp_ntz")
+    sod = F.hour(ntz) * 3600 + F.minute(ntz) * 60 + F.second(ntz)
+    evt = F.timestamp_seconds(F.unix_date(F.to_date(ntz)).cast("long") * 86400 + sod)
+    s = r.parquet(source_dir).where(F.col(ts).isNotNull()).withColumn("_evt", evt)
     if watermark:
-        s = s.withWatermark(ts, watermark)
-    day = F.window(F.col(ts), "1 day")
+        s = s.withWatermark("_evt", watermark)
+    day = F.window(F.col("_evt"), "1 day")
     aggs = []
     for m in measures:
         x = F.col(m).try_cast("double")
         aggs += [F.sum(x).alias(f"sum_{m}"), F.count(x).alias(f"n_{m}")]
     return (s.groupBy(F.col(key).cast("string").alias("location"), day.alias("w")).agg(*aggs)
-             .select("location", F.to_date(F.col("w.start")).alias("timestamp"),
+             .select("location",
+                     F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
+                      .alias("timestamp"),
                      *[c for m in measures for c in (f"sum_{m}", f"n_{m}")]))
 
 
