@@ -20,11 +20,14 @@ from limnos.operators.common import materialize
 
 
 def model_table(prepared: DataFrame, weights: dict[str, float], key: str = "location",
-                variant: str = "data_type", order: str = "timestamp",
-                one_hot_max: int = 1000) -> tuple[DataFrame, DataFrame]:
+                variant: str = "data_type", order: str = "timestamp", one_hot_max: int = 1000,
+                fill_mode: str = "series") -> tuple[DataFrame, DataFrame]:
     """Returns (scaled model table, scaler stats). The fill is per location
-    and variant (cleaned and normalised rows are never mixed in a series);
-    min-max is global over every numeric column, WQI and one-hot included."""
+    and variant by default (cleaned and normalised rows are never mixed in a
+    series); ``fill_mode="row_order"`` is the literal D05: one fill over the
+    whole table in ``sequence_id`` order (two-phase, bucketed by
+    sequence_id, so it is not a single-task window). Min-max is global over
+    every numeric column, WQI and one-hot included."""
     # stage boundary: the prepared table is written once (the reference
     # hands it over as a file) and every pass below reads that copy
     prepared = materialize(prepared, "prepared")

@@ -173,3 +173,10 @@ def test_month_end_dates_and_rollup(spark):
     assert [r["forecast_date"] for r in m.orderBy("step").collect()] == [D(2024, 2, 29), D(2024, 3, 31), D(2024, 4, 30)]
     r = ts.period_rollup(df, "location", "ts", ["v"], "month").first()
     assert (r["period"], r["n"], r["avg_v"], r["min_v"], r["max_v"]) == (D(2024, 1, 1), 2, 2.0, 1.0, 3.0)
+
+
+def test_row_order_fill_bucketed_by_sequence(spark):
+    vals = [None, None, 2.0, None, None, None, None, 5.0, None, None, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "sequence_id long, v double")
+    f = ts.ffill_bfill(df, None, "sequence_id", ["v"], bucket=F.floor(F.col("sequence_id") / 3))
+    assert [r[1] for r in rows(f, "sequence_id", "v")] == [2.0, 2.0, 2.0, 2.0, 2.0, 2.0, 2.0, 5.0, 5.0, 5.0, 5.0]
