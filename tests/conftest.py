@@ -19,4 +19,9 @@ def spark():
 def rows(df, *cols):
     """Collect selected columns as a sorted list of tuples."""
     out = [tuple(r[c] for c in cols) for r in df.collect()]
-    return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
+
+    def k(x):
+        if x is None:
+            return (1, 0)
+        return (0, x if isinstance(x, (int, float, str, bytes)) or hasattr(x, "isoformat") else str(x))
+    return sorted(out, key=lambda t: tuple(k(x) for x in t))
