@@ -71,11 +71,16 @@ BASELINES = {
 
 
 def baseline_predictions(samples: DataFrame, key: str | None, keep: list[str]) -> DataFrame:
-    """I04 for the baselines: one long table (model, keys…, y, prediction)."""
-    from functools import reduce
-    parts = [fn(samples, key).select(F.lit(name).alias("model"), *keep, "y", "prediction")
-             for name, fn in BASELINES.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """I04 for the baselines: one long table (model, keys…, y, prediction).
+    All baselines are computed as columns of ONE pass over the samples (the
+    AR(1) fit is a window on the same key partitioning), then unpivoted."""
+    d = samples
+    for name, fn in BASELINES.items():
+        d = fn(d, key).withColumnRenamed("prediction", f"_p_{name}")
+    names = list(BASELINES)
+    return d.select(*keep, "y", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("model"), F.col(f"_p_{n}").alias("prediction")) for n in names]))) \
+            .select("model", *keep, "y", "prediction")
 
 
 # ----------------------------------------------------------------- Spark ML

@@ -53,8 +53,12 @@ def daily_resample(df: DataFrame, key: str | None, ts: str, measures: list[str],
                .groupBy(*[col_of(k) for k in keys], day)
                .agg(*[F.avg(col_of(m).cast("double")).alias(m) for m in measures]))
     if not keys:
-        # one global series: the calendar (one row per day of the span) is
-        # generated from a one-row min/max and joined to the day means
+        # One global series: its day means (one row per day, bounded by the
+        # calendar) are written once under the checkpoint folder, so the raw
+        # table is scanned once however many passes follow (grid, two-phase
+        # fill, statistics). The calendar comes from a one-row min/max.
+        from limnos.operators.common import materialize
+        daily = materialize(daily, "daily_global")
         span = daily.agg(F.min(out).alias("_lo"), F.max(out).alias("_hi"))
         grid = span.select(F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 day"))).alias(out))
         return grid.join(daily, [out], "left")
