@@ -261,7 +261,7 @@ def number_rows(df: DataFrame, key: str | None, order: list[str], out: str = "rn
     bucket + offset, so no task sees a whole series."""
     keys = as_list(key)
     if keys and bucket is None:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+        return df.withColumn(out, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
     b = bucket if bucket is not None else _month_bucket(order[0])
     d = df.withColumn("_nb", b)
     counts = d.groupBy(*keys, "_nb").agg(F.count(F.lit(1)).alias("_n"))
@@ -309,7 +309,7 @@ def sliding_windows(df: DataFrame, key: str | None, order: str, features: list[s
     step = F.array(*[col_of(f).cast("double") for f in features])
     if keys and block is None:
         w = Window.partitionBy(*keys).orderBy(order)
-        return (df.withColumn("sample_pos", F.row_number().over(w) - 1)
+        return (df.withColumn("sample_pos", (F.row_number().over(w) - 1).cast("long"))
                   .withColumn("x", F.collect_list(step).over(w.rowsBetween(-look_back, -1)))
                   .where(F.col("sample_pos") >= look_back)
                   .withColumn("y", col_of(target).cast("double")))

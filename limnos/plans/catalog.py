@@ -426,7 +426,7 @@ for _unit in ("week", "month", "year"):
 
 @query("month_end_dates", """select location, step, last_day(last_d + to_months(step)) as forecast_date from
   (select l_linestatus as location, max(cast(l_shipdate as date)) as last_d from lineitem group by 1),
-  (select unnest(generate_series(1, 12)) as step)""")
+  (select cast(unnest(generate_series(1, 12)) as integer) as step)""")
 def q_month_end_dates(spark, sf):
     return ts.month_end_dates(feed_w(spark, sf), "location", "ts", 12)
 
@@ -569,7 +569,7 @@ def q_feature_set_projection(spark, sf):
 
 
 @query("missing_feature_default", f"""with {W_CLEAN_SQL}
-select location, "timestamp", {S.r6('l_quantity')}, 0.0 as rainfall, 0.0 as tmax from w_clean""")
+select location, "timestamp", {S.r6('l_quantity')}, cast(0.0 as double) as rainfall, cast(0.0 as double) as tmax from w_clean""")
 def q_missing_feature_default(spark, sf):
     p = sc.project_features(w_clean(spark, sf), ["l_quantity"], keep=["location", "timestamp"])
     return rounded(sc.backfill_columns(p, ["l_quantity", "rainfall", "tmax"], mode="zero"))

@@ -46,11 +46,20 @@ def _sql_names():
     return sorted(oracle_sql())
 
 
+SPARK_T = {"bigint": "i64", "int": "i32", "double": "f64", "string": "str", "date": "date",
+           "timestamp_ntz": "ts", "timestamp": "ts", "boolean": "bool", "float": "f32"}
+DUCK_T = {"BIGINT": "i64", "INTEGER": "i32", "DOUBLE": "f64", "VARCHAR": "str", "DATE": "date",
+          "TIMESTAMP": "ts", "BOOLEAN": "bool", "FLOAT": "f32"}
+
+
 @pytest.mark.parametrize("name", _sql_names())
 def test_oracle_parity(spark, duck, name):
     from __spark_entry__ import oracle_sql, queries
     df = queries()[name](spark, SF_SMALL)
     s_cols, s_rows = df.columns, [tuple(r) for r in df.collect()]
+    rel = duck.sql(oracle_sql()[name])
+    d_types = {c: DUCK_T.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    assert {c: SPARK_T.get(t, t) for c, t in df.dtypes} == d_types
     cur = duck.execute(oracle_sql()[name])
     d_cols, d_rows = [d[0] for d in cur.description], cur.fetchall()
     assert sorted(s_cols) == sorted(d_cols)
