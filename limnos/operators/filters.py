@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.functions.exprs import col_of
-from limnos.operators.common import as_list
 
 
 def drop_null_time(df: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -103,5 +102,3 @@ def key_list(df: DataFrame, key: str = "location") -> DataFrame:
     """Sorted distinct non-null locations."""
     return df.select(key).where(col_of(key).isNotNull()).distinct().orderBy(key)
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "reduce", "DataFrame", "F", "col_of", "as_list")]

@@ -6,8 +6,6 @@ metric is a distributed Spark job over the (checkpointed) sample table.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,8 +90,6 @@ def best(metrics: DataFrame) -> DataFrame:
     return pick_best(metrics, "mse")
 
 
-__all__ = ["training_table", "train_and_compare", "search", "multi_target", "comparison_json", "best", "json"]
-
 
 def trials_to_json(spark: SparkSession, trials: DataFrame, root: str) -> str:
     """Write the trial table as JSON lines, one folder per model."""

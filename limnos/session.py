@@ -20,6 +20,24 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for a large cluster (applied by the submitter, e.g. spark-submit
+# --conf): many shuffle partitions that AQE coalesces towards the advisory
+# size, 256 MB input splits, skew splitting for joins and a shared
+# checkpoint folder. Local runs use build_session() below.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+    "spark.sql.files.maxPartitionBytes": "256MB",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
+    "spark.sql.session.timeZone": "UTC",
+    # "spark.checkpoint.dir": "<shared storage URI>",  set by the cluster
+}
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "limnos", extra: dict | None = None) -> SparkSession:
     """Local/test session. On a cluster the submitter's session is used as is."""
