@@ -273,20 +273,53 @@ def number_rows(df: DataFrame, key: str | None, order: list[str], out: str = "rn
              .drop("_nb", "_off"))
 
 
+SINGLE_TASK_PARTS = 200_000  # parts whose offsets one task may prefix-sum
+
+
+def part_offsets(sizes: DataFrame, part: str, n_col: str = "_pn", total: str | None = None) -> DataFrame:
+    """Offset of each part (rows of all smaller parts) from a table of one
+    row per part. The sizes table is computed once (persisted); up to
+    ``SINGLE_TASK_PARTS`` parts the prefix sum is one small window. Beyond
+    that the parts are range-partitioned (``repartitionByRange`` keeps their
+    order across partition ids), each range is prefix-summed by its own task,
+    and only one row per range goes through the small global window."""
+    from limnos.operators.common import materialize
+    # one row per part: kept in memory for the size check and the prefix
+    # (a lost block is recomputed from lineage; nothing large is cached)
+    sizes = sizes.select(part, n_col).persist()
+    n_parts = sizes.count()
+    if n_parts <= SINGLE_TASK_PARTS:
+        w = Window.orderBy(part)
+        cols = [part, F.coalesce(F.sum(n_col).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_poff")]
+        if total:
+            cols.append(F.sum(n_col).over(Window.partitionBy()).alias(total))
+        return sizes.select(*cols)
+    buckets = int(n_parts // (SINGLE_TASK_PARTS // 4)) + 1
+    ranged = materialize(sizes.repartitionByRange(buckets, part).withColumn("_pb", F.spark_partition_id()),
+                         "part_ranges")
+    per_range = ranged.groupBy("_pb").agg(F.sum(n_col).alias("_bn"))
+    wb = Window.orderBy("_pb")
+    bcols = ["_pb", F.coalesce(F.sum("_bn").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_boff")]
+    if total:
+        bcols.append(F.sum("_bn").over(Window.partitionBy()).alias(total))
+    range_off = per_range.select(*bcols)           # one row per range: bounded, broadcast
+    wi = Window.partitionBy("_pb").orderBy(part)
+    inner = ranged.withColumn("_ioff", F.coalesce(F.sum(n_col).over(wi.rowsBetween(Window.unboundedPreceding, -1)),
+                                                  F.lit(0)))
+    out = inner.join(F.broadcast(range_off), ["_pb"])
+    return out.select(part, (F.col("_boff") + F.col("_ioff")).alias("_poff"), *([total] if total else []))
+
+
 def number_rows_global(df: DataFrame, part: str, order: list[str], out: str = "rn",
                        bucket: Column | None = None, total: str | None = None) -> DataFrame:
     """Dense 0-based row number over the whole table ordered by
     ``[part] + order`` (H02). Each row gets its number inside its part (a
-    window per part) plus the part's offset; offsets are a prefix sum over
-    one row per part (a small global window), joined back. ``total`` also
-    attaches the table's row count from the same small table."""
+    window per part) plus the part's offset (``part_offsets``: a prefix sum
+    over one row per part, range-split when there are very many parts).
+    ``total`` also attaches the table's row count from the same small table."""
     numbered = number_rows(df, part, order, "_local", bucket)
     sizes = df.groupBy(part).agg(F.count(F.lit(1)).alias("_pn"))
-    w = Window.orderBy(part)
-    cols = [part, F.coalesce(F.sum("_pn").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_poff")]
-    if total:
-        cols.append(F.sum("_pn").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(total))
-    poff = sizes.select(*cols)
+    poff = part_offsets(sizes, part, "_pn", total)
     return (stats_join(numbered, poff, [part])
             .withColumn(out, F.col("_poff") + F.col("_local"))
             .drop("_poff", "_local"))

@@ -180,3 +180,13 @@ def test_row_order_fill_bucketed_by_sequence(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "sequence_id long, v double")
     f = ts.ffill_bfill(df, None, "sequence_id", ["v"], bucket=F.floor(F.col("sequence_id") / 3))
     assert [r[1] for r in rows(f, "sequence_id", "v")] == [2.0, 2.0, 2.0, 2.0, 2.0, 2.0, 2.0, 5.0, 5.0, 5.0, 5.0]
+
+
+def test_part_offsets_range_split_equals_single(spark, monkeypatch):
+    sizes = spark.range(0, 3000).select(F.format_string("p%05d", F.col("id")).alias("part"),
+                                        (F.col("id") % 5 + 1).alias("n"))
+    single = rows(ts.part_offsets(sizes, "part", "n", "total"), "part", "_poff", "total")
+    monkeypatch.setattr(ts, "SINGLE_TASK_PARTS", 80)
+    ranged = rows(ts.part_offsets(sizes, "part", "n", "total"), "part", "_poff", "total")
+    assert single == ranged
+    assert single[0][1] == 0 and single[-1][2] == sum(i % 5 + 1 for i in range(3000))
