@@ -265,8 +265,11 @@ def number_rows(df: DataFrame, key: str | None, order: list[str], out: str = "rn
     b = bucket if bucket is not None else _month_bucket(order[0])
     d = df.withColumn("_nb", b)
     counts = d.groupBy(*keys, "_nb").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_nb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_nb", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    if keys:
+        w = Window.partitionBy(*keys).orderBy("_nb").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select(*keys, "_nb", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    else:  # one series: bucket offsets by the (range-split when large) prefix sum
+        offsets = part_offsets(counts, "_nb", "_n").withColumnRenamed("_poff", "_off")
     inner = Window.partitionBy(*keys, "_nb").orderBy(*order)
     return (stats_join(d, offsets, keys + ["_nb"])
              .withColumn(out, F.col("_off") + F.row_number().over(inner) - 1)
