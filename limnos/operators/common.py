@@ -44,8 +44,7 @@ def checked_broadcast(small: DataFrame, max_rows: int | None = None) -> DataFram
 def stats_join(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Attach a per-key aggregate back to the rows it was computed from.
 
-    * No key: the aggregate is one row — a proven size bound — so it is
-      broadcast and cross-joined.
+    * No key: the aggregate is one row — attached as a scalar subquery.
     * Keyed: a plain equi-join. The broadcast decision is left to the
       runtime: AQE measures the materialised aggregate and turns the join
       into a broadcast hash join only when it is below
@@ -54,10 +53,18 @@ def stats_join(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "lef
       nothing is broadcast on an estimate.
     """
     if not keys:
-        return df.crossJoin(F.broadcast(stats))
+        return attach_row(df, stats)
     return df.join(stats, keys, how)
 
 
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row as a scalar
+    subquery (computed once, its value shipped to the tasks) — no join."""
+    cols = one_row.columns
+    r = one_row.select(F.struct(*[F.col(q(c)) for c in cols]).alias("_r")).scalar()
+    return df.withColumns({c: r.getField(c) for c in cols})
+
+
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     """Names of numeric-typed columns, in schema order."""
     from pyspark.sql.types import NumericType

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from limnos.functions.exprs import col_of
-from limnos.operators.common import as_list
+from limnos.operators.common import as_list, attach_row
 from limnos.operators.profile import regression_metrics
 
 # ----------------------------------------------------------------- baselines
@@ -56,8 +56,8 @@ def baseline_ar1(samples: DataFrame, key: str | None, split: str = "split", feat
     if keys:
         w = Window.partitionBy(*keys)
         d = d.withColumns({k: v.over(w) for k, v in fit.items()})
-    else:  # one global fit: a one-row aggregate, broadcast
-        d = d.crossJoin(F.broadcast(d.agg(*[v.alias(k) for k, v in fit.items()])))
+    else:  # one global fit: a one-row aggregate (scalar subquery)
+        d = attach_row(d, d.agg(*[v.alias(k) for k, v in fit.items()]))
     b = F.when(F.col("_var") > 0, F.col("_cov") / F.col("_var"))
     pred = F.coalesce(F.col("_my") - b * F.col("_mx") + b * F.col("_xl"), F.col("_xl"))
     return d.withColumn("prediction", pred).drop("_xl", "_cov", "_var", "_mx", "_my")

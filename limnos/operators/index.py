@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from limnos.functions.constants import FALLBACK_INDEX, WQI_ADVICE, WQI_WEIGHTS
 from limnos.functions.exprs import classify, clamp, col_of, format_2dp, weighted_sum
+from limnos.operators.common import attach_row
 
 
 def weighted_index(df: DataFrame, weights: dict[str, float] | None = None, out: str = "WQI",
@@ -83,9 +84,9 @@ def one_hot_many(df: DataFrame, cols: list[str], max_values: int = 1000, keep: t
 
 def mean_impute(df: DataFrame, cols: list[str]) -> DataFrame:
     """Fill NULLs with the column mean over the (already filtered) rows;
-    the means are a one-row aggregate, broadcast."""
+    the means are a one-row aggregate attached as a scalar subquery."""
     means = df.agg(*[F.avg(col_of(c)).alias(f"_m{i}") for i, c in enumerate(cols)])
-    j = df.crossJoin(F.broadcast(means))
+    j = attach_row(df, means)
     return j.withColumns({c: F.coalesce(col_of(c), F.col(f"_m{i}")) for i, c in enumerate(cols)}) \
             .drop(*[f"_m{i}" for i in range(len(cols))])
 

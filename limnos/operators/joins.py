@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.functions.exprs import col_of
-from limnos.operators.common import as_list, checked_broadcast, stats_join
+from limnos.operators.common import as_list, attach_row, checked_broadcast, stats_join
 from limnos.operators.timeseries import number_rows_global
 
 MATCH = "_matched"
@@ -48,9 +48,9 @@ def left_join_tagged(left: DataFrame, right: DataFrame, keys: list[str], broadca
 
 def attach_means(left: DataFrame, right: DataFrame, measures: list[str], suffix: str = "_climate") -> DataFrame:
     """No common time key — attach the right side's column means as
-    constant columns ``{col}{suffix}`` (a one-row aggregate, broadcast)."""
+    constant columns ``{col}{suffix}`` (a one-row aggregate, scalar subquery)."""
     means = right.agg(*[F.avg(col_of(m)).alias(m + suffix) for m in measures])
-    return left.crossJoin(F.broadcast(means))
+    return attach_row(left, means)
 
 
 def zip_by_position(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str],

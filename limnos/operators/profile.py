@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from limnos.functions.constants import HIST_BINS, TOP_PAIRS
 from limnos.functions.exprs import col_of
-from limnos.operators.common import as_list, q, stats_join
+from limnos.operators.common import as_list, attach_row, q, stats_join
 
 
 def _stack(wide: DataFrame, keys: list[str], groups: list[tuple[str, list[str]]], names: list[str]) -> DataFrame:
@@ -113,7 +113,7 @@ def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
     bin. Output: bin (0-based), lower/upper edge, count."""
     x = col_of(col).cast("double")
     rng = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    j = df.select(x.alias("_x")).where(F.col("_x").isNotNull()).crossJoin(F.broadcast(rng))
+    j = attach_row(df.select(x.alias("_x")).where(F.col("_x").isNotNull()), rng)
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1)))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.operators.common import as_list, stats_join
+from limnos.operators.common import as_list, attach_row, stats_join
 
 GRID = 1000            # probability grid of the narrowing sketch
 ACCURACY = 20000       # sketch accuracy (rank error <= n / ACCURACY)
@@ -71,7 +71,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: list[float],
             F.array(*[F.count_if(in_range(i)) for i in range(P)]).alias("_in"),
             F.array(*[F.count_if(F.col("_lo")[i].isNotNull() & (F.col("_x") < F.col("_lo")[i]))
                       for i in range(P)]).alias("_below"))
-        st = state.join(counts, keys, "left") if keys else state.crossJoin(counts)
+        st = state.join(counts, keys, "left") if keys else attach_row(state, counts)
         big = st.agg(F.max(F.array_max("_in")).alias("m")).first()["m"] or 0
         if big <= max_bracket:
             break
@@ -82,7 +82,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: list[float],
             F.array(*[F.percentile_approx(F.when(in_range(i), F.col("_x")),
                                           [k / GRID for k in range(GRID + 1)], ACCURACY)
                       for i in range(P)]).alias("_grid"))
-        st = st.join(grids, keys, "left") if keys else st.crossJoin(grids)
+        st = st.join(grids, keys, "left") if keys else attach_row(st, grids)
         new_lo, new_hi = [], []
         for i in range(P):
             n_in = F.col("_in")[i]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from limnos.functions.constants import (FEATURE_SETS, LOCATION_CANDIDATES, TIME_CANDIDATES,
                                         WINDOW_SIZE_RECOMMENDED)
 from limnos.functions.exprs import col_of, to_double
-from limnos.operators.common import numeric_columns
+from limnos.operators.common import attach_row, numeric_columns
 from limnos.operators.timeseries import number_rows_global
 
 
@@ -126,4 +126,4 @@ def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 def attach_count(df: DataFrame, out: str = "n_rows") -> DataFrame:
     """Row count as a column through a one-row broadcast aggregate."""
     total = df.agg(F.count(F.lit(1)).alias(out))
-    return df.crossJoin(F.broadcast(total))  # one row
+    return attach_row(df, total)

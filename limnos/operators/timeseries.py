@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from limnos.functions.constants import LOOK_BACK, TEST_FRACTION, VALIDATION_FRACTION, Z_LIMIT
 from limnos.functions.exprs import col_of, hash_percent
-from limnos.operators.common import as_list, stats_join
+from limnos.operators.common import as_list, attach_row, stats_join
 
 DAY = "timestamp"
 
@@ -232,13 +232,13 @@ def _stats_row(stats: DataFrame, measures: list[str]) -> DataFrame:
     for m in measures:
         aggs += [F.max(F.when(F.col("column") == m, F.col("lo"))).alias(f"_lo{m}"),
                  F.max(F.when(F.col("column") == m, F.col("hi"))).alias(f"_hi{m}")]
-    return F.broadcast(stats.agg(*aggs))
+    return stats.agg(*aggs)
 
 
 def apply_minmax(df: DataFrame, stats: DataFrame, measures: list[str], suffix: str = "") -> DataFrame:
     """D08 apply: scale with a fitted stats table (one row per column, so the
     broadcast is bounded by the schema width)."""
-    j = df.crossJoin(_stats_row(stats, measures))
+    j = attach_row(df, _stats_row(stats, measures))
     out = {m + suffix: _scaled(col_of(m).cast("double"), F.col(f"`_lo{m}`"), F.col(f"`_hi{m}`"))
            for m in measures}
     return j.withColumns(out).drop(*[f"_lo{m}" for m in measures], *[f"_hi{m}" for m in measures])
@@ -246,7 +246,7 @@ def apply_minmax(df: DataFrame, stats: DataFrame, measures: list[str], suffix: s
 
 def invert_minmax(df: DataFrame, stats: DataFrame, measures: list[str], suffix: str = "") -> DataFrame:
     """A08/D08 inverse: x * (hi - lo) + lo."""
-    j = df.crossJoin(_stats_row(stats, measures))
+    j = attach_row(df, _stats_row(stats, measures))
     out = {m + suffix: col_of(m) * (F.col(f"`_hi{m}`") - F.col(f"`_lo{m}`")) + F.col(f"`_lo{m}`")
            for m in measures}
     return j.withColumns(out).drop(*[f"_lo{m}" for m in measures], *[f"_hi{m}" for m in measures])
