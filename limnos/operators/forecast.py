@@ -159,8 +159,10 @@ def random_search(train: DataFrame, family: str, n_trials: int = 5, seed: int =
     side by side). A failing draw is recorded as a
     FAILED trial instead of stopping the search."""
     from concurrent.futures import ThreadPoolExecutor
-    est = make_estimator(family, seed)
-    fit_rows = train.where(~F.col(validation_col))
+    # GBT trains on the non-validation rows and stops early on the validation
+    # rows itself (I03); the other families are fitted on the non-validation rows
+    est = make_estimator(family, seed, validation_col=validation_col if family == "gbt" else None)
+    fit_rows = train if family == "gbt" else train.where(~F.col(validation_col))
     val_rows = train.where(F.col(validation_col))
     draws = sample_params(SPACES[family], n_trials, seed)
 

@@ -1100,3 +1100,12 @@ def q_model_samples(spark, sf):
         F.element_at(F.element_at("x", 1), k).alias("x_first"),
         F.element_at(F.element_at("x", -1), k).alias("x_last"),
         F.size(F.element_at("x", 1)).alias("n_features"), "split"))
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf):
+    """Search every family (2 seeded draws each), refit each with
+    its best draw, score the test windows and name the winner (lowest MSE)."""
+    from limnos.operators.common import attach_row
+    metrics, _trials, _best = tr.tune_and_compare(tr.training_table(w_samples(spark, sf)), n_trials=2)
+    return rounded(attach_row(metrics, pf.pick_best(metrics, "mse").select("best_model")))

@@ -60,6 +60,27 @@ def search(table: DataFrame, families=("linear", "random_forest", "gbt"), n_tria
     return out
 
 
+def tune_and_compare(table: DataFrame, families=("linear", "random_forest", "gbt"), n_trials: int = 3,
+                     seed: int = 42, key: str = "location", order: str = "timestamp"):
+    """I02 → I06 → I08: search each family, refit it with its best draw on
+    the training rows, score the test rows, compare. Returns (metrics,
+    trials, best params per family)."""
+    spark = table.sparkSession
+    train = table.where(F.col("split") == "train")
+    test = table.where(F.col("split") == "test")
+    models, parts, best = {}, [], {}
+    for fam in families:
+        trials, params = fc.random_search(train, fam, n_trials=n_trials, seed=seed)
+        parts.append(fc.trials_table(spark, fam, trials))
+        best[fam] = params
+        models[fam] = fc.fit_final(train, fam, params or DEFAULT_PARAMS.get(fam, {}), seed)
+    metrics = regression_metrics(fc.score(models, test, [key, order]), "y", "prediction", ("model",))
+    trials_df = parts[0]
+    for p in parts[1:]:
+        trials_df = trials_df.unionByName(p)
+    return metrics, trials_df, best
+
+
 def multi_target(norm: DataFrame, key: str, order: str, features: list[str], targets: list[str],
                  family: str = "linear", look_back: int = 12) -> DataFrame:
     """One regressor per target over the same windows; each location's

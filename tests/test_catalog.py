@@ -87,3 +87,11 @@ def test_ml_forecast_rows(spark):
     rows_ = queries()["forecast_ml"](spark, SF_SMALL).collect()
     assert {r["model"] for r in rows_} == {"linear", "random_forest", "gbt"}
     assert all(r["mse"] is not None and math.isfinite(r["mse"]) and r["mse"] >= 0 for r in rows_)
+
+
+def test_model_comparison_names_a_winner(spark):
+    from __spark_entry__ import queries
+    rows_ = queries()["model_comparison"](spark, SF_SMALL).collect()
+    assert {r["model"] for r in rows_} == {"linear", "random_forest", "gbt"}
+    best = min(rows_, key=lambda r: (r["mse"], r["model"]))
+    assert {r["best_model"] for r in rows_} == {best["model"]}
