@@ -81,3 +81,23 @@ def cleaning_report(df: DataFrame, key: str, ts_col: str, measures: list[str],
     return z.groupBy(key).agg(gaps.cast("bigint").alias("gaps"), fills.cast("bigint").alias("filled"),
                               F.count_if(~F.col("_keep")).cast("bigint").alias("outliers_removed"),
                               F.count_if(F.col("_keep")).cast("bigint").alias("rows_left"))
+
+
+def canonicalise(raw: DataFrame, ts_col: str | None = None, sentinels: list[float] | None = None,
+                 as_date: bool = False) -> DataFrame:
+    """Raw feed -> canonical reading table: trimmed names (B01), ``location``
+    (B02, NULL when the feed has none), ``timestamp`` (B03), rows without a
+    time or (when located) a location dropped (C01, C02), every other column
+    coerced to DOUBLE (B04). ``sentinels`` (e.g. [-999]) become NULL."""
+    df = sc.canonical_names(raw)
+    located = sc.detect_location(df) is not None
+    df = sc.canonical_location(df)
+    df = flt.drop_null_time(sc.canonical_time(df, ts_col=ts_col, as_date=as_date))
+    if located:
+        df = flt.drop_null_location(df)
+    df = sc.coerce_numeric(df, keys=("timestamp", "location"))
+    if sentinels:
+        vals = [float(v) for v in sentinels]
+        df = df.withColumns({c: F.when(F.col(f"`{c}`").isin(vals), F.lit(None).cast("double"))
+                             .otherwise(F.col(f"`{c}`")) for c in df.columns if c not in ("timestamp", "location")})
+    return df
