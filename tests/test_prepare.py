@@ -66,3 +66,13 @@ def test_model_table_and_samples(spark):
     # 29 rows per variant -> 17 windows each
     assert samples.count() == 2 * (29 - 12)
     assert len(samples.first()["x"][0]) == len(feats)
+
+
+def test_canonicalise_sentinel_and_bad_rows(spark):
+    from limnos.plans.prepare import canonicalise
+    raw = spark.createDataFrame([("2013", "1", "46.2", "-999"), ("2013", "2", "-999", "29.2"), ("x", "3", "1", "2")],
+                                "` YEAR` string, `MONTH ` string, `RAINFALL` string, `TMAX` string")
+    out = canonicalise(raw, sentinels=[-999], as_date=True)
+    got = sorted((str(r["timestamp"]), r["RAINFALL"], r["TMAX"]) for r in out.collect())
+    assert got == [("2013-01-01", 46.2, None), ("2013-02-01", None, 29.2)]
+    assert out.first()["location"] is None
