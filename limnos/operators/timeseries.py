@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from limnos.functions.constants import LOOK_BACK, TEST_FRACTION, VALIDATION_FRACTION, Z_LIMIT
 from limnos.functions.exprs import col_of, hash_percent
-from limnos.operators.common import as_list, attach_row, stats_join
+from limnos.operators.common import as_list, attach_row, q, stats_join
 
 DAY = "timestamp"
 
@@ -32,10 +32,6 @@ def _month_bucket(order: str) -> Column:
     return F.trunc(F.col(order).cast("date"), "month")
 
 
-def _kw(keys: list[str]) -> Window:
-    return Window.partitionBy(*keys)
-
-
 # ---------------------------------------------------------------- D01 / D02
 def daily_resample(df: DataFrame, key: str | None, ts: str, measures: list[str],
                    out: str = DAY) -> DataFrame:
@@ -96,11 +92,11 @@ def ffill_bfill(df: DataFrame, key: str | None, order: str, measures: list[str],
     """
     keys = as_list(key)
     if keys and bucket is None:
-        w = Window.partitionBy(*keys).orderBy(order)
-        run = w.rowsBetween(Window.unboundedPreceding, 0)
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        spec = f"partition by {', '.join(q(k) for k in keys)} order by {q(order)}"
         return df.withColumns({
-            m + suffix: F.coalesce(F.last(col_of(m), True).over(run), F.first(col_of(m), True).over(whole))
+            m + suffix: F.expr(
+                f"coalesce(last({q(m)}, true) over ({spec} rows between unbounded preceding and current row), "
+                f"first({q(m)}, true) over ({spec} rows between unbounded preceding and unbounded following))")
             for m in measures})
     return _ffill_bfill_bucketed(df, keys, order, measures, bucket, suffix)
 
@@ -145,19 +141,20 @@ def fill_count(before_after: DataFrame, key: str | None, pairs: list[tuple[str,
 
 
 # ---------------------------------------------------------------- per-key statistics
-def _with_stats(df: DataFrame, keys: list[str], aggs: dict[str, Column], method: str) -> DataFrame:
+def _with_stats(df: DataFrame, keys: list[str], aggs: dict[str, str], method: str) -> DataFrame:
     """Attach per-key aggregates to every row.
 
     ``method="window"`` (default for keyed series): whole-partition window
     aggregates on the key's partition — no join, no second scan.
     ``method="join"``: partial aggregate + join back (for raw, unbounded
     series where one key may hold a third of the rows).
-    Without a key: a one-row aggregate, broadcast.
+    Without a key: a one-row aggregate (scalar subquery).
+    ``aggs`` maps output names to SQL aggregate text (one JVM call each).
     """
     if keys and method == "window":
-        w = _kw(keys)
-        return df.withColumns({n: a.over(w) for n, a in aggs.items()})
-    stats = (df.groupBy(*keys) if keys else df).agg(*[a.alias(n) for n, a in aggs.items()])
+        part = ", ".join(q(k) for k in keys)
+        return df.withColumns({n: F.expr(f"{a} over (partition by {part})") for n, a in aggs.items()})
+    stats = (df.groupBy(*keys) if keys else df).agg(*[F.expr(a).alias(n) for n, a in aggs.items()])
     return stats_join(df, stats, keys)
 
 
@@ -172,15 +169,13 @@ def zscore_mark(df: DataFrame, key: str | None, measures: list[str], limit: floa
     keys = as_list(key)
     aggs = {}
     for m in measures:
-        aggs[f"_mu{m}"] = F.avg(col_of(m))
-        aggs[f"_sd{m}"] = F.stddev_pop(col_of(m))
+        aggs[f"_mu{m}"] = f"avg({q(m)})"
+        aggs[f"_sd{m}"] = f"stddev_pop({q(m)})"
     j = _with_stats(df, keys, aggs, method)
-    keep = None
-    for m in measures:
-        x, mu, sd = col_of(m), F.col(f"`_mu{m}`"), F.col(f"`_sd{m}`")
-        ok = x.isNull() | F.when(sd == 0, F.lit(constant == "keep")).otherwise(F.abs((x - mu) / sd) < F.lit(limit))
-        keep = ok if keep is None else keep & ok
-    return j.withColumn(out, F.coalesce(keep, F.lit(False))).drop(*aggs.keys())
+    const = "true" if constant == "keep" else "false"
+    votes = [f"({q(m)} is null or case when {q('_sd' + m)} = 0 then {const} "
+             f"else abs(({q(m)} - {q('_mu' + m)}) / {q('_sd' + m)}) < {float(limit)!r} end)" for m in measures]
+    return j.withColumn(out, F.expr(f"coalesce({' and '.join(votes)}, false)")).drop(*aggs.keys())
 
 
 def zscore_filter(df: DataFrame, key: str | None, measures: list[str],
@@ -210,11 +205,15 @@ def minmax_per_key(df: DataFrame, key: str | None, measures: list[str], suffix:
     keys = as_list(key)
     aggs = {}
     for m in measures:
-        aggs[f"_lo{m}"] = F.min(col_of(m).cast("double"))
-        aggs[f"_hi{m}"] = F.max(col_of(m).cast("double"))
+        aggs[f"_lo{m}"] = f"min(cast({q(m)} as double))"
+        aggs[f"_hi{m}"] = f"max(cast({q(m)} as double))"
     j = _with_stats(df, keys, aggs, method)
-    out = {m + suffix: _scaled(col_of(m).cast("double"), F.col(f"`_lo{m}`"), F.col(f"`_hi{m}`"))
-           for m in measures}
+    out = {}
+    for m in measures:
+        x, lo, hi = f"cast({q(m)} as double)", q("_lo" + m), q("_hi" + m)
+        # constant column -> 0 (sklearn behaviour; Spark ML's scaler gives 0.5)
+        out[m + suffix] = F.expr(f"case when {hi} = {lo} then (case when {x} is not null then 0.0D end) "
+                                 f"else ({x} - {lo}) / ({hi} - {lo}) end")
     return j.withColumns(out).drop(*aggs.keys())
 
 
@@ -378,7 +377,7 @@ def time_split(df: DataFrame, key: str | None, order: str, test_fraction: float
     """D10 ``mode="time"``: the last ``test_fraction`` of each key's rows are test."""
     keys = as_list(key)
     numbered = number_rows(df, key, [order], "_rn")
-    j = _with_stats(numbered, keys, {"_n": F.count(F.lit(1))}, "window")
+    j = _with_stats(numbered, keys, {"_n": "count(1)"}, "window")
     return (j.withColumn(out, F.when(F.col("_rn") >= F.ceil(F.col("_n") * (1 - test_fraction)), "test")
                                .otherwise("train"))
              .drop("_rn", "_n"))

@@ -33,12 +33,11 @@ def query(name: str, sql: str | None = None):
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double/float column (both engines sum in different orders)."""
-    out = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        out.append(F.round(c.cast("double"), digits).alias(f.name)
-                   if isinstance(f.dataType, (DoubleType, FloatType)) else c)
-    return df.select(*out)
+    def q(n):
+        return "`" + n.replace("`", "``") + "`"
+    return df.selectExpr(*[f"round(cast({q(f.name)} as double), {digits}) as {q(f.name)}"
+                           if isinstance(f.dataType, (DoubleType, FloatType)) else q(f.name)
+                           for f in df.schema.fields])
 
 
 # =====================================================================
