@@ -115,13 +115,16 @@ def _ffill_bfill_bucketed(df, keys, order, measures, bucket, suffix):
         aggs.append(F.max_by(c, F.when(c.isNotNull(), o)).alias(f"_last{m}"))
         aggs.append(F.min_by(c, F.when(c.isNotNull(), o)).alias(f"_first{m}"))
     summary = d.groupBy(*keys, "_b").agg(*aggs)
-    w = Window.partitionBy(*keys).orderBy("_b")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    carry = summary.select(
-        *keys, "_b",
-        *[F.last(f"`_last{m}`", True).over(before).alias(f"_in{m}") for m in measures],
-        *[F.first(f"`_first{m}`", True).over(whole).alias(f"_head{m}") for m in measures])
+    if keys:
+        w = Window.partitionBy(*keys).orderBy("_b")
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        carry = summary.select(
+            *keys, "_b",
+            *[F.last(f"`_last{m}`", True).over(before).alias(f"_in{m}") for m in measures],
+            *[F.first(f"`_first{m}`", True).over(whole).alias(f"_head{m}") for m in measures])
+    else:
+        carry = _series_carry(summary, measures)
     joined = stats_join(d, carry, keys + ["_b"])
     run = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     filled = {
@@ -132,6 +135,38 @@ def _ffill_bfill_bucketed(df, keys, order, measures, bucket, suffix):
     return res.drop("_b", *[f"_in{m}" for m in measures], *[f"_head{m}" for m in measures])
 
 
+def _series_carry(summary: DataFrame, measures: list[str]) -> DataFrame:
+    """Carry-in and head per bucket of ONE series from its per-bucket
+    last/first values. Up to ``SINGLE_TASK_PARTS`` buckets: one small window.
+    Beyond: buckets are range-split (``repartitionByRange`` keeps their
+    order), carried inside each range, and ranges carry into each other
+    through one row per range."""
+    summary = summary.persist()
+    n = summary.count()
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    if n <= SINGLE_TASK_PARTS:
+        return summary.select(
+            "_b", *[F.last(f"`_last{m}`", True).over(before).alias(f"_in{m}") for m in measures],
+            *[F.first(f"`_first{m}`", True).over(Window.partitionBy()).alias(f"_head{m}") for m in measures])
+    from limnos.operators.common import attach_row, materialize
+    ranged = materialize(summary.repartitionByRange(int(n // (SINGLE_TASK_PARTS // 4)) + 1, "_b")
+                         .withColumn("_pb", F.spark_partition_id()), "fill_ranges")
+    local = Window.partitionBy("_pb").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = ranged.groupBy("_pb").agg(
+        *[F.max_by(f"`_last{m}`", F.when(F.col(f"`_last{m}`").isNotNull(), F.col("_b"))).alias(f"_rl{m}")
+          for m in measures],
+        *[F.min_by(f"`_first{m}`", F.when(F.col(f"`_first{m}`").isNotNull(), F.col("_b"))).alias(f"_rf{m}")
+          for m in measures])
+    prev = Window.orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
+    range_in = per_range.select("_pb", *[F.last(f"`_rl{m}`", True).over(prev).alias(f"_ri{m}") for m in measures])
+    heads = per_range.agg(*[F.min_by(f"`_rf{m}`", F.when(F.col(f"`_rf{m}`").isNotNull(), F.col("_pb")))
+                            .alias(f"_head{m}") for m in measures])
+    inner = ranged.select("_pb", "_b", *[F.last(f"`_last{m}`", True).over(local).alias(f"_li{m}") for m in measures])
+    out = inner.join(F.broadcast(range_in), ["_pb"])  # one row per range
+    out = out.select("_b", *[F.coalesce(f"`_li{m}`", f"`_ri{m}`").alias(f"_in{m}") for m in measures])
+    return attach_row(out, heads)
+
+
 def fill_count(before_after: DataFrame, key: str | None, pairs: list[tuple[str, str]],
                out: str = "filled") -> DataFrame:
     """Cells that were null before and are set after the fill, per key."""

@@ -190,3 +190,22 @@ def test_part_offsets_range_split_equals_single(spark, monkeypatch):
     ranged = rows(ts.part_offsets(sizes, "part", "n", "total"), "part", "_poff", "total")
     assert single == ranged
     assert single[0][1] == 0 and single[-1][2] == sum(i % 5 + 1 for i in range(3000))
+
+
+def test_unkeyed_fill_range_split_carry(spark, monkeypatch):
+    import random
+    rnd = random.Random(3)
+    vals = [None if rnd.random() < 0.7 else float(i) for i in range(600)]
+    vals[:5] = [None] * 5
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "seq long, v double")
+    b = F.floor(F.col("seq") / 7)
+    plain = rows(ts.ffill_bfill(df, None, "seq", ["v"], bucket=b), "seq", "v")
+    monkeypatch.setattr(ts, "SINGLE_TASK_PARTS", 20)
+    split = rows(ts.ffill_bfill(df, None, "seq", ["v"], bucket=b), "seq", "v")
+    assert plain == split
+    last, exp = None, []
+    for v in vals:
+        last = v if v is not None else last
+        exp.append(last)
+    head = next(v for v in exp if v is not None)
+    assert [r[1] for r in plain] == [v if v is not None else head for v in exp]
