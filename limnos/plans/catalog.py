@@ -1050,9 +1050,9 @@ MT_ONEHOT = {"data_source": ["water_climate_combined", "water_only"],
 MT_NUM = MT_MEASURES + MT_INTS + ["WQI"] + [f"{c}_{v}" for c, vs in MT_ONEHOT.items() for v in vs]
 
 
-def _mt_sql() -> str:
-    w = 'over (partition by location, data_type order by "timestamp" rows between unbounded preceding and current row)'
-    wa = 'over (partition by location, data_type order by "timestamp" rows between unbounded preceding and unbounded following)'
+def _mt_sql(spec: str = 'partition by location, data_type order by "timestamp"', name: str = "mt") -> str:
+    w = f"over ({spec} rows between unbounded preceding and current row)"
+    wa = f"over ({spec} rows between unbounded preceding and unbounded following)"
     fill = ", ".join(f"coalesce(last_value({m} ignore nulls) {w}, first_value({m} ignore nulls) {wa}) as {m}"
                      for m in MT_MEASURES)
     idx = " + ".join(f"coalesce({m}, 0.0) * {wt}" for m, wt in W_WEIGHTS.items())
@@ -1070,6 +1070,7 @@ mt as (select location, "timestamp", data_type, sliding_window_ready, {scaled} f
 
 
 MT_SQL = _mt_sql()
+MT_ROW_ORDER_SQL = _mt_sql("order by sequence_id")
 
 
 def q_model_table_df(spark, sf):
@@ -1082,6 +1083,14 @@ def q_model_table(spark, sf):
     return rounded(q_model_table_df(spark, sf))
 
 
+@query("model_table_row_order", f"with {MT_ROW_ORDER_SQL} select * from mt")
+def q_model_table_row_order(spark, sf):
+    """D05 literal: the fill runs over the whole prepared table in
+    sequence_id order (two-phase, bucketed by sequence_id)."""
+    table, _stats = model_table(prepared_table(spark, sf), W_WEIGHTS, fill_mode="row_order")
+    return rounded(table)
+
+
 @query("model_samples", f"""with {MT_SQL},
 ms as (select location, data_type, "timestamp", WQI as y,
   lag(WQI, 12) over w as x_first, lag(WQI, 1) over w as x_last, row_number() over w - 1 as sample_pos
