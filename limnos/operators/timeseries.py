@@ -413,7 +413,9 @@ def time_split(df: DataFrame, key: str | None, order: str, test_fraction: float
     keys = as_list(key)
     numbered = number_rows(df, key, [order], "_rn")
     j = _with_stats(numbered, keys, {"_n": "count(1)"}, "window")
-    return (j.withColumn(out, F.when(F.col("_rn") >= F.ceil(F.col("_n") * (1 - test_fraction)), "test")
+    keep_pct = int(round((1 - test_fraction) * 100))  # exact integer threshold: ceil(n * keep_pct / 100)
+    first_test = F.expr(f"(_n * {keep_pct} + 99) div 100")
+    return (j.withColumn(out, F.when(F.col("_rn") >= first_test, "test")
                                .otherwise("train"))
              .drop("_rn", "_n"))
 

@@ -747,6 +747,16 @@ def q_train_test_split(spark, sf):
     return u_samples(spark, sf).select("location", "timestamp", "split")
 
 
+@query("train_test_split_time", f"""with {U_SAMPLES_SQL},
+ranked as (select location, "timestamp", row_number() over (partition by location order by "timestamp") - 1 as rn,
+  count(*) over (partition by location) as n from us)
+select location, "timestamp", case when rn >= ceil(n * 0.8) then 'test' else 'train' end as split from ranked""")
+def q_train_test_split_time(spark, sf):
+    """D10 ``mode="time"``: the last 20 % of each user's windows are test."""
+    return ts.time_split(u_samples(spark, sf).drop("split"), "location", "timestamp").select(
+        "location", "timestamp", "split")
+
+
 @query("validation_tail", f"""with {U_SAMPLES_SQL}
 select location, "timestamp", percent_rank() over (order by location, "timestamp") >= 0.8 as is_validation
 from us where split = 'train'""")

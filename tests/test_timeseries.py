@@ -209,3 +209,22 @@ def test_unkeyed_fill_range_split_carry(spark, monkeypatch):
         exp.append(last)
     head = next(v for v in exp if v is not None)
     assert [r[1] for r in plain] == [v if v is not None else head for v in exp]
+
+
+def test_stats_join_method_equals_window(spark):
+    data = [(k, D(2024, 1, 1) + dt.timedelta(days=i), float((i * 7 + j) % 11), float(i))
+            for j, k in enumerate(["a", "b", "c"]) for i in range(40)]
+    data.append(("a", D(2024, 3, 1), 500.0, 1.0))
+    df = spark.createDataFrame(data, "location string, timestamp date, v double, w double")
+    cols = ("location", "timestamp", "v", "w")
+    for fn in (lambda m: ts.zscore_filter(df, "location", ["v", "w"], method=m),
+               lambda m: ts.minmax_per_key(df, "location", ["v", "w"], method=m)):
+        assert rows(fn("window"), *cols) == rows(fn("join"), *cols)
+
+
+def test_checked_broadcast_join(spark):
+    from limnos.operators import joins as jn
+    w = spark.createDataFrame([("a", D(2024, 1, 1), 1.0)], "location string, timestamp date, v double")
+    c = spark.createDataFrame([(D(2024, 1, 1), 2.0)], "timestamp date, rain double")
+    j = jn.left_join_tagged(w, c, ["timestamp"], broadcast_right=True)
+    assert rows(j, "v", "rain", "data_source") == [(1.0, 2.0, "water_climate_combined")]
