@@ -359,11 +359,17 @@ def q_preview(spark, sf):
 PAGE, PAGE_SIZE = 3, 25
 
 
-@query("page", f"""select event_id, ts, event_type as location, round(value, 6) as value from events
+@query("page", f"""select event_id, ts, event_type as location, round(value, 6) as value,
+  {PAGE} as page, {PAGE_SIZE} as page_size,
+  (select cast(ceil(count(*) / {PAGE_SIZE}.0) as bigint) from events) as n_pages from events
 order by event_id limit {PAGE_SIZE} offset {(PAGE - 1) * PAGE_SIZE}""")
 def q_page(spark, sf):
+    """Page p of size s in a stable order, with the page count ceil(n/s)."""
+    from limnos.operators.common import attach_row
     e = feed_e(spark, sf).select("event_id", "ts", "location", "value")
-    return rounded(e.orderBy("event_id").offset((PAGE - 1) * PAGE_SIZE).limit(PAGE_SIZE))
+    rows_ = e.orderBy("event_id").offset((PAGE - 1) * PAGE_SIZE).limit(PAGE_SIZE)
+    n_pages = e.agg(F.ceil(F.count(F.lit(1)) / PAGE_SIZE).cast("bigint").alias("n_pages"))
+    return rounded(attach_row(rows_.withColumns({"page": F.lit(PAGE), "page_size": F.lit(PAGE_SIZE)}), n_pages))
 
 
 @query("latest_per_location", """select location, event_id, ts, round(value, 6) as value from (
