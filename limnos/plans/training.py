@@ -26,7 +26,10 @@ def training_table(samples: DataFrame, key: str = "location", order: str = "time
     into the checkpoint folder: fits iterate over it many times, and a lost
     executor then re-reads it instead of recomputing the windows."""
     feats = fc.with_features(samples)
-    train = ts.validation_tail(feats.where(F.col("split") == "train"), key, [order])
+    # stored order must be total (a variant label breaks ties between the
+    # cleaned and normalised rows of one day), so the split is reproducible
+    tie = [c for c in ("data_type", "sample_pos") if c in samples.columns]
+    train = ts.validation_tail(feats.where(F.col("split") == "train"), key, [order] + tie)
     test = feats.where(F.col("split") == "test").withColumn("is_validation", F.lit(False))
     return materialize(train.unionByName(test).select(key, order, "split", "is_validation", "features", "y"))
 
