@@ -300,8 +300,16 @@ def number_rows(df: DataFrame, key: str | None, order: list[str], out: str = "rn
     d = df.withColumn("_nb", b)
     counts = d.groupBy(*keys, "_nb").agg(F.count(F.lit(1)).alias("_n"))
     if keys:
-        w = Window.partitionBy(*keys).orderBy("_nb").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.select(*keys, "_nb", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+        # offsets over (key, bucket) in order — range-split when there are very
+        # many buckets, so a hot key's bucket summary is not one task — minus
+        # each key's own starting offset
+        kb = counts.withColumn("_kb", F.struct(*[F.col(q(k)) for k in keys], F.col("_nb")))
+        glob = part_offsets(kb, "_kb", "_n")
+        glob = glob.select(*[F.col("_kb").getField(k).alias(k) for k in keys],
+                           F.col("_kb").getField("_nb").alias("_nb"), "_poff")
+        start = glob.groupBy(*keys).agg(F.min("_poff").alias("_start"))
+        offsets = (glob.join(start, keys)
+                       .select(*keys, "_nb", (F.col("_poff") - F.col("_start")).alias("_off")))
     else:  # one series: bucket offsets by the (range-split when large) prefix sum
         offsets = part_offsets(counts, "_nb", "_n").withColumnRenamed("_poff", "_off")
     inner = Window.partitionBy(*keys, "_nb").orderBy(*order)

@@ -228,3 +228,13 @@ def test_checked_broadcast_join(spark):
     c = spark.createDataFrame([(D(2024, 1, 1), 2.0)], "timestamp date, rain double")
     j = jn.left_join_tagged(w, c, ["timestamp"], broadcast_right=True)
     assert rows(j, "v", "rain", "data_source") == [(1.0, 2.0, "water_climate_combined")]
+
+
+def test_keyed_bucketed_numbering_range_split(spark, monkeypatch):
+    data = [(k, i) for k in ["a", "b", "hot"] for i in range(300 if k == "hot" else 40)]
+    df = spark.createDataFrame(data, "location string, seq long")
+    plain = rows(ts.number_rows(df, "location", ["seq"], "rn"), "location", "seq", "rn")
+    monkeypatch.setattr(ts, "SINGLE_TASK_PARTS", 8)
+    split = rows(ts.number_rows(df, "location", ["seq"], "rn", bucket=F.floor(F.col("seq") / 5)),
+                 "location", "seq", "rn")
+    assert plain == split
