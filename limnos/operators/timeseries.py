@@ -115,16 +115,7 @@ def _ffill_bfill_bucketed(df, keys, order, measures, bucket, suffix):
         aggs.append(F.max_by(c, F.when(c.isNotNull(), o)).alias(f"_last{m}"))
         aggs.append(F.min_by(c, F.when(c.isNotNull(), o)).alias(f"_first{m}"))
     summary = d.groupBy(*keys, "_b").agg(*aggs)
-    if keys:
-        w = Window.partitionBy(*keys).orderBy("_b")
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        carry = summary.select(
-            *keys, "_b",
-            *[F.last(f"`_last{m}`", True).over(before).alias(f"_in{m}") for m in measures],
-            *[F.first(f"`_first{m}`", True).over(whole).alias(f"_head{m}") for m in measures])
-    else:
-        carry = _series_carry(summary, measures)
+    carry = _keyed_carry(summary, keys, measures) if keys else _series_carry(summary, measures)
     joined = stats_join(d, carry, keys + ["_b"])
     run = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     filled = {
@@ -135,6 +126,47 @@ def _ffill_bfill_bucketed(df, keys, order, measures, bucket, suffix):
     return res.drop("_b", *[f"_in{m}" for m in measures], *[f"_head{m}" for m in measures])
 
 
+def _keyed_carry(summary: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """Carry-in and head per (key, bucket). Up to ``SINGLE_TASK_PARTS``
+    summary rows: a window per key. Beyond: the (key, bucket) rows are
+    range-split; inside a range each key is carried locally, and a key that
+    spans several ranges gets the carry of its earlier ranges from one row
+    per (range, key)."""
+    summary = summary.persist()
+    n = summary.count()
+    if n <= SINGLE_TASK_PARTS:
+        w = Window.partitionBy(*keys).orderBy("_b")
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return summary.select(
+            *keys, "_b",
+            *[F.last(f"`_last{m}`", True).over(before).alias(f"_in{m}") for m in measures],
+            *[F.first(f"`_first{m}`", True).over(whole).alias(f"_head{m}") for m in measures])
+    from limnos.operators.common import materialize
+    order = F.struct(*[F.col(q(k)) for k in keys], F.col("_b"))
+    ranged = materialize(summary.withColumn("_kb", order)
+                         .repartitionByRange(int(n // (SINGLE_TASK_PARTS // 4)) + 1, "_kb")
+                         .withColumn("_pb", F.spark_partition_id()).drop("_kb"), "fill_key_ranges")
+    local = Window.partitionBy("_pb", *keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = ranged.groupBy("_pb", *keys).agg(
+        *[F.max_by(f"`_last{m}`", F.when(F.col(f"`_last{m}`").isNotNull(), F.col("_b"))).alias(f"_rl{m}")
+          for m in measures],
+        *[F.min_by(f"`_first{m}`", F.when(F.col(f"`_first{m}`").isNotNull(), F.col("_b"))).alias(f"_rf{m}")
+          for m in measures])
+    kw = Window.partitionBy(*keys).orderBy("_pb")      # ranges spanned by one key: few rows
+    per = per.select("_pb", *keys,
+                     *[F.last(f"`_rl{m}`", True).over(kw.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_ri{m}")
+                       for m in measures],
+                     *[F.first(f"`_rf{m}`", True).over(kw.rowsBetween(Window.unboundedPreceding,
+                                                                      Window.unboundedFollowing)).alias(f"_head{m}")
+                       for m in measures])
+    inner = ranged.select("_pb", *keys, "_b",
+                          *[F.last(f"`_last{m}`", True).over(local).alias(f"_li{m}") for m in measures])
+    out = inner.join(per, ["_pb"] + keys)
+    return out.select(*keys, "_b", *[F.coalesce(f"`_li{m}`", f"`_ri{m}`").alias(f"_in{m}") for m in measures],
+                      *[F.col(f"`_head{m}`") for m in measures])
+
+
 def _series_carry(summary: DataFrame, measures: list[str]) -> DataFrame:
     """Carry-in and head per bucket of ONE series from its per-bucket
     last/first values. Up to ``SINGLE_TASK_PARTS`` buckets: one small window.

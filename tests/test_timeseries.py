@@ -238,3 +238,18 @@ def test_keyed_bucketed_numbering_range_split(spark, monkeypatch):
     split = rows(ts.number_rows(df, "location", ["seq"], "rn", bucket=F.floor(F.col("seq") / 5)),
                  "location", "seq", "rn")
     assert plain == split
+
+
+def test_keyed_fill_range_split_carry(spark, monkeypatch):
+    import random
+    rnd = random.Random(5)
+    data = []
+    for k, n in [("a", 30), ("hot", 400), ("z", 25)]:
+        for i in range(n):
+            data.append((k, i, None if (rnd.random() < 0.75 or i < 3) else float(i)))
+    df = spark.createDataFrame(data, "location string, seq long, v double")
+    plain = rows(ts.ffill_bfill(df, "location", "seq", ["v"]), "location", "seq", "v")
+    monkeypatch.setattr(ts, "SINGLE_TASK_PARTS", 12)
+    split = rows(ts.ffill_bfill(df, "location", "seq", ["v"], bucket=F.floor(F.col("seq") / 4)),
+                 "location", "seq", "v")
+    assert plain == split
