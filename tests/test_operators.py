@@ -232,3 +232,13 @@ def test_streaming_daily_means(spark, tmp_path):
     sd.run_to_table(s, str(tmp_path / "t"), str(tmp_path / "c"))
     got = rows(sd.current_means(spark, str(tmp_path / "t"), ["value"]), "location", "timestamp", "value")
     assert got == [("7", D(2024, 1, 1), 3.0), ("7", D(2024, 1, 2), None), ("8", D(2024, 1, 2), 1.0)]
+
+
+def test_checked_broadcast_respects_row_limit(spark):
+    from limnos.operators.common import checked_broadcast
+    small = spark.createDataFrame([(i, float(i)) for i in range(10)], "k int, v double")
+    big = spark.range(0, 1000).select((F.col("id") % 10).cast("int").alias("k"))
+    for limit in (100, 5):   # under the limit: broadcast hint; over it: plain join left to AQE
+        side = checked_broadcast(small, max_rows=limit)
+        j = big.join(side, ["k"])
+        assert j.count() == 1000 and j.agg(F.sum("v")).first()[0] == 4500.0
