@@ -242,3 +242,16 @@ def test_checked_broadcast_respects_row_limit(spark):
         side = checked_broadcast(small, max_rows=limit)
         j = big.join(side, ["k"])
         assert j.count() == 1000 and j.agg(F.sum("v")).first()[0] == 4500.0
+
+
+def test_streaming_watermark_drops_late_days(spark, tmp_path):
+    from limnos.streaming import daily as sd
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    src = tmp_path / "src"
+    spark.createDataFrame([(1, dt.datetime(2024, 1, 10, 8), 1, "x", 5.0, "{}")], schema).write.parquet(str(src / "a"))
+    spark.createDataFrame([(2, dt.datetime(2024, 1, 1, 8), 1, "x", 7.0, "{}")], schema).write.parquet(str(src / "b"))
+    s = sd.daily_stream(spark, str(src) + "/*", schema, "user_id", "ts", ["value"], watermark="2 days",
+                        max_files_per_trigger=1)
+    sd.run_to_table(s, str(tmp_path / "t"), str(tmp_path / "c"))
+    got = rows(sd.current_means(spark, str(tmp_path / "t"), ["value"]), "location", "timestamp", "value")
+    assert got == [("1", D(2024, 1, 10), 5.0)]     # the 2024-01-01 reading arrived after the watermark
