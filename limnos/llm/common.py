@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from limnos.llm.words import mix64
 from limnos.operators.common import materialize, q
 
-__all__ = ["importable", "materialize", "partitions", "q", "running_sum"]
+__all__ = ["bitmap", "bitmap_has", "importable", "materialize", "partitions", "q", "running_sum"]
 
 
 def importable(spark: SparkSession) -> None:
@@ -50,3 +53,45 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], values
     out = out.join(offsets, cond)
     return out.select(*[F.col(q(c)) for c in df.columns if c not in values],
                       *[(F.col(f"__s{i}") + F.col(f"__o{i}")).alias(c) for i, c in enumerate(values)])
+
+
+#: bits of the bitmaps below: 2 MB, whatever they are made of
+BITMAP_BITS = 24
+_PARTS = 16
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    mixed = mix64(keys.view(np.uint64))
+    return np.concatenate([mixed >> np.uint64(64 - BITMAP_BITS), mixed & np.uint64((1 << BITMAP_BITS) - 1)]).astype(np.int64)
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size over a column of longs. It holds every
+    key; others pass with a chance that grows as it fills, so what it lets
+    through is checked by a join."""
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << BITMAP_BITS, bool)
+        for b in batches:
+            bits[_places(b.column(0).to_numpy())] = True
+        for i, part in enumerate(np.split(np.packbits(bits), _PARTS)):
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"part": [i], "bits": [part.tobytes()]}, schema)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, bits in zip(b.column("part").to_pylist(), b.column("bits").to_pylist(), strict=True):
+                x = np.frombuffer(bits, np.uint8)
+                parts[i] = parts[i] | x if i in parts else x
+        yield pa.RecordBatch.from_pydict({"part": list(parts), "bits": [x.tobytes() for x in parts.values()]}, schema)
+    schema = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
+    made = keys.mapInArrow(fill, "part int, bits binary").repartition(_PARTS, "part").mapInArrow(join, "part int, bits binary")
+    out = np.zeros((_PARTS, (1 << BITMAP_BITS) // 8 // _PARTS), np.uint8)
+    for r in made.collect():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def bitmap_has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _places(np.ascontiguousarray(keys))
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).reshape(2, -1).all(axis=0)
