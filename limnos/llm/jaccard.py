@@ -66,7 +66,7 @@ def profile(s: np.ndarray) -> bytes:
 def overlap_bound(a: bytes, b: bytes, m: int, n: int) -> int:
     """At least the overlap of the sets of sizes m and n with profiles a, b."""
     def read(x: bytes, size: int) -> np.ndarray:
-        bins = 1 << max(4, (size // 4).bit_length())
+        bins = 1 << max(4, (int(size) // 4).bit_length())
         return np.frombuffer(x, "u1" if len(x) == bins else "<u4").astype(np.int64)
     x, y = read(a, m), read(b, n)
     if len(x) > len(y):
@@ -282,14 +282,23 @@ def _within_lists(rows: DataFrame, percent: int) -> DataFrame:
             held.sort(key=lambda r: r[2])
             size = np.array([r[2] for r in held])
             part = np.array([r[1] for r in held])
-            own = [np.frombuffer(r[4], "<u8") for r in held]
-            first = np.uint64(current % (1 << 64))
+            own = [set(np.frombuffer(r[4], "<u8").tolist()) for r in held]
+            bins = np.array([1 << max(4, (int(n) // 4).bit_length()) for n in size])
+            folded: dict[int, tuple[int, np.ndarray]] = {}
+            first = current % (1 << 64)
             a, b = [], []
             for i in range(len(held)):
+                if bins[i] not in folded:  # profiles of this and larger sets, by as many bins as this one's
+                    rows = [np.frombuffer(r[3], "u1" if len(r[3]) == k else "<u4").reshape(bins[i], -1).sum(axis=1) for r, k in zip(held[i:], bins[i:].tolist(), strict=True)]
+                    folded[bins[i]] = i, np.stack(rows).astype(np.uint32)
+                base, matrix = folded[bins[i]]
                 end = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
-                for j in (i + 1 + np.flatnonzero(part[i + 1:end] != part[i])).tolist():
-                    common = np.intersect1d(own[i], own[j], assume_unique=True)
-                    if common[0] == first and _similar(overlap_bound(held[i][3], held[j][3], size[i], size[j]), size[i], size[j], percent):
+                other = i + 1 + np.flatnonzero(part[i + 1:end] != part[i])
+                if not len(other):
+                    continue
+                bound = np.minimum(matrix[i - base], matrix[other - base]).sum(axis=1, dtype=np.int64)
+                for j in other[_similar(np.minimum(bound, size[i]), size[i], size[other], percent)].tolist():
+                    if min(own[i] & own[j]) == first:
                         a.append(held[i][0])
                         b.append(held[j][0])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])

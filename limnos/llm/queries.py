@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm import chat, jaccard, langid, lm, merkle, mixing, packing, repeats, secrets
+from limnos.llm import chat, covertree, jaccard, langid, lm, merkle, mixing, packing, repeats, secrets
 from limnos.llm.common import importable
 
 
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_ngram_jaccard, op3_mixture_packing, op4_fair_mixing, op5_chat_formatting, op6_merkle_fingerprint, op7_context_mixing, op8_secret_scan, op9_language_id, op10_substring_dedup)}
+    op1_embedding_neardup, op2_ngram_jaccard, op3_mixture_packing, op4_fair_mixing, op5_chat_formatting, op6_merkle_fingerprint, op7_context_mixing, op8_secret_scan, op9_language_id, op10_substring_dedup)}
 
 ORACLE: dict[str, str] = {
     "op4_fair_mixing": r"""
