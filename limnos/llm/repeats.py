@@ -33,7 +33,7 @@ _HELD = 1 << 21
 _NOBODY = -(1 << 63)
 #: stands for a null doc_id, which comes after all others
 _LAST = (1 << 63) - 1
-_ENTRIES = "piece int, keys binary, docs binary"
+_ENTRIES = "piece int, told boolean, keys binary, docs binary"
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,18 +42,25 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return head, np.diff(np.append(head, len(keys)))
 
 
-def _entry(piece: int, keys: np.ndarray, docs: np.ndarray) -> tuple[int, bytes, bytes]:
-    return piece, keys.astype("<u8").tobytes(), docs.astype("<i8").tobytes()
+def _entry(piece: int, keys: np.ndarray, docs: np.ndarray, smaller: bool, told: bool = False) -> tuple[int, bool, bytes, bytes]:
+    """Level 1 only filters, so 32 bits of a key within its piece will do."""
+    return piece, told, (keys.astype("<u8") if smaller else (keys >> np.uint64(32)).astype("<u4")).tobytes(), docs.astype("<i8").tobytes()
 
 
-def _batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["piece", "keys", "docs"])
+def short_names(keys: np.ndarray, pieces: int) -> np.ndarray:
+    """What level 1 calls keys: the piece and 32 bits."""
+    return (keys % np.uint64(pieces)) << np.uint64(32) | keys >> np.uint64(32)
+
+
+def _batch(rows: list[tuple[int, bool, bytes, bytes]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+    types = [pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["piece", "told", "keys", "docs"])
 
 
 def _send(parts: Iterator[tuple[np.ndarray, np.ndarray]], pieces: int, smaller: bool) -> Iterator[pa.RecordBatch]:
     """From (keys, documents) to entries: for each piece the distinct keys
-    with a document to answer to, and as piece -1 the pairs that are decided
+    with a document to answer to, and as ``told`` the pairs that are decided
     here already. ``smaller``: a pair counts if a smaller document has its key;
     else if any other has."""
     held, size = [], 0
@@ -72,11 +79,12 @@ def _send(parts: Iterator[tuple[np.ndarray, np.ndarray]], pieces: int, smaller:
         else:
             known = np.repeat(n > 1, n)
             answer_to = np.where(n > 1, _NOBODY, answer_to)
-        rows = [_entry(-1, keys[known], docs[known])] if known.any() else []
-        piece = (ask % np.uint64(pieces)).astype(np.int64)
-        order = np.lexsort((answer_to, piece))
-        ends = np.searchsorted(piece[order], np.arange(pieces + 1))
-        rows += [_entry(p, ask[order[a:z]], answer_to[order[a:z]]) for p, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
+        rows = []
+        for k, d, told in ((ask, answer_to, False), (keys[known], docs[known], True)):
+            piece = (k % np.uint64(pieces)).astype(np.int64)
+            order = np.lexsort((d, piece))
+            ends = np.searchsorted(piece[order], np.arange(pieces + 1))
+            rows += [_entry(p, k[order[a:z]], d[order[a:z]], smaller, told) for p, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
         return _batch(rows)
     for keys, docs in parts:
         held.append((keys, docs))
@@ -88,23 +96,23 @@ def _send(parts: Iterator[tuple[np.ndarray, np.ndarray]], pieces: int, smaller:
         yield flush()
 
 
-def _pairs(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    return (np.concatenate([np.frombuffer(r[0], "<u8") for r in rows]), np.concatenate([np.frombuffer(r[1], "<i8") for r in rows]))
-
-
 def _answer(smaller: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
 
         def decide() -> pa.RecordBatch:
-            keys, docs = _pairs(held)
+            keys = np.concatenate([np.frombuffer(r[0], "<u8" if smaller else "<u4") for r in held])
+            docs = np.concatenate([np.frombuffer(r[1], "<i8") for r in held])
             order = np.lexsort((docs, keys))
             keys, docs = keys[order], docs[order]
             head, n = _runs(keys)
             told = (np.repeat(n > 1, n) & (docs != _NOBODY)) if not smaller else docs > np.repeat(docs[head], n)
-            return _batch([_entry(-1, keys[told], docs[told])])
+            return _batch([(current, True, keys[told].tobytes(), docs[told].tobytes())])
         for b in batches:
-            for piece, keys, docs in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for piece, told, keys, docs in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if told:
+                    yield _batch([(piece, True, keys, docs)])
+                    continue
                 if piece != current and held:
                     yield decide()
                     held = []
@@ -117,17 +125,18 @@ def _answer(smaller: bool) -> Callable:
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for keys, docs in zip(b.column("keys").to_pylist(), b.column("docs").to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, "<i8")), pa.array(np.frombuffer(keys, "<u8").view(np.int64))], ["__doc", "key"])
+        for piece, _, keys, docs in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            docs = np.frombuffer(docs, "<i8")
+            name = np.frombuffer(keys, "<u8").view(np.int64) if len(keys) == 8 * len(docs) else np.int64(piece) << 32 | np.frombuffer(keys, "<u4").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(name)], ["__doc", "key"])
 
 
 def exchange(source: DataFrame, find: Callable, smaller: bool) -> DataFrame:
     """__doc and keys (array): the pairs that ``find`` makes of the source's
     batches and that count, by document."""
     pieces = partitions(source)
-    sent = materialize(source.mapInArrow(lambda it: _send(find(it), pieces, smaller), _ENTRIES), "entries")
-    asked = sent.filter("piece >= 0").repartition(pieces, "piece").sortWithinPartitions("piece")
-    told = sent.filter("piece < 0").unionByName(asked.mapInArrow(_answer(smaller), _ENTRIES))
+    sent = source.mapInArrow(lambda it: _send(find(it), pieces, smaller), _ENTRIES)
+    told = sent.repartition(pieces, "piece").sortWithinPartitions("piece").mapInArrow(_answer(smaller), _ENTRIES)
     return told.mapInArrow(_explode, "__doc long, key long").groupBy("__doc").agg(F.collect_list("key").alias("keys"))
 
 
@@ -157,7 +166,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     rows with one doc_id are one document to each other, so they remove
     nothing from one another; other columns are not read.
     """
-    ids = docs.select("doc_id").schema
+    ids, pieces = docs.select("doc_id").schema, partitions(docs)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__doc"), "doc_id", "text")
 
     def anchors(batches):
@@ -185,7 +194,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
                     a, z = words.first[i], words.first[i + 1]
                     p = np.zeros(0, np.int64)
                     if keys and z - a >= k:
-                        known = np.isin(least[a:z - k + 1], np.array(keys, np.int64).view(np.uint64))
+                        known = np.isin(short_names(least[a:z - k + 1], pieces), np.array(keys, np.int64).view(np.uint64))
                         p = np.flatnonzero(known)
                     body = data[words.borders[i]:words.borders[i + 1]]
                     sha.append(None if len(p) else hashlib.sha256(b" ".join(body.split())).hexdigest())
