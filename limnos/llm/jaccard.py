@@ -33,7 +33,7 @@ LONG = 64
 #: the longest lists, of those at least LONG, that are kept apart: 8 MB
 LONG_LISTS = 1 << 20
 #: long lists in which a set meets a random member in a round
-MEETINGS = 4
+MEETINGS = 12
 
 
 def least_overlap(n: int | np.ndarray, percent: int):
