@@ -50,25 +50,13 @@ FEATURE_SETS = {
 LOOK_BACK = 12
 WINDOW_SIZE_RECOMMENDED = 30
 TEST_FRACTION = 0.2
-SPLIT_SEED = 42
 VALIDATION_FRACTION = 0.2
 Z_LIMIT = 3.0
 HIST_BINS = 30
 TOP_PAIRS = 10
 FALLBACK_INDEX = 60.0
-PAGE_SIZES = [10, 25, 50, 100]
-TIME_SCOPES = {"Weekly": "week", "Monthly": "month", "Yearly": "year"}
 # Metric direction for "best model": higher is better for these names ...
 HIGHER_IS_BETTER = ["accuracy", "precision", "recall", "f1_score", "f1", "r2_score", "r2", "r²"]
-# ... and lower is better for these.
-LOWER_IS_BETTER = ["mse", "rmse", "mae", "mean_squared_error", "mean_absolute_error", "loss"]
-# Extra key names tried for a metric.
-METRIC_ALIASES = {
-    "r²": ["r2", "r2_score"],
-    "mse": ["mean_squared_error"],
-    "mae": ["mean_absolute_error"],
-    "rmse": ["root_mean_squared_error"],
-}
 # -- end of fixed values --------------------------------------------------
 
 __all__ = [n for n in dir() if n.isupper()]

@@ -13,17 +13,18 @@ from limnos.functions.constants import WQI_CLASS_ELSE, WQI_CLASS_LIMITS
 
 __all__ = [
     "col_of", "to_double", "nan_to_null", "weighted_sum", "classify",
-    "clamp", "format_2dp", "hash_percent", "safe_div", "r6",
+    "clamp", "format_2dp", "hash_percent", "r6",
 ]
 
 
 def col_of(c: str | Column) -> Column:
-    return F.col(f"`{c}`") if isinstance(c, str) else c
+    return F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c
 
 
 def to_double(c: str | Column) -> Column:
-    """Numeric coercion: text that is not a number becomes NULL (never raises)."""
-    return col_of(c).try_cast("double")
+    """Numeric coercion: text that is not a number, and NaN, become NULL
+    (never raises)."""
+    return nan_to_null(col_of(c).try_cast("double"))
 
 
 def nan_to_null(c: str | Column) -> Column:
@@ -66,9 +67,5 @@ def hash_percent(key: Column, seed: int = 42) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % 100
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    return F.when(b == 0, F.lit(None).cast("double")).otherwise(a / b)
-
-
 def r6(c: str | Column) -> Column:
     return F.round(col_of(c).cast("double"), 6)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_MAX_ROWS = 1_000_000
-
 
 def as_list(x) -> list:
     if x is None:
@@ -14,11 +12,6 @@ def as_list(x) -> list:
     return list(x) if isinstance(x, (list, tuple)) else [x]
 
 
-def broadcast_max_rows(spark: SparkSession) -> int:
-    v = spark.conf.get("limnos.broadcast.maxRows", None)
-    return int(v) if v else DEFAULT_BROADCAST_MAX_ROWS
-
-
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut lineage by writing the table (Parquet) under the shared
     ``spark.checkpoint.dir`` and reading it back: one job, the upstream is
@@ -31,16 +24,6 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def checked_broadcast(small: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast an aggregate only after its row count is known to be under
-    ``max_rows``; above it the plain (shuffle) join is left to the planner,
-    whose AQE skew handling splits hot keys of the large side."""
-    small = materialize(small)
-    limit = max_rows if max_rows is not None else broadcast_max_rows(small.sparkSession)
-    n = small.count()
-    return F.broadcast(small) if n <= limit else small
-
-
 def stats_join(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Attach a per-key aggregate back to the rows it was computed from.
 
@@ -54,7 +37,13 @@ def stats_join(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "lef
     """
     if not keys:
         return attach_row(df, stats)
-    return df.join(stats, keys, how)
+    named = {k: f"_stat_{i}" for i, k in enumerate(keys)}
+    side = stats.select(*[F.col(q(k)).alias(v) for k, v in named.items()],
+                        *[F.col(q(c)) for c in stats.columns if c not in named])
+    cond = F.lit(True)
+    for k, v in named.items():  # a NULL key is a group like any other
+        cond = cond & F.col(q(k)).eqNullSafe(F.col(v))
+    return df.join(side, cond, how).drop(*named.values())
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.functions.exprs import col_of
-from limnos.operators.common import as_list, attach_row, checked_broadcast, stats_join
+from limnos.operators.common import as_list, attach_row, stats_join
 from limnos.operators.timeseries import number_rows_global
 
 MATCH = "_matched"
@@ -23,23 +23,19 @@ def suffix_collisions(left: DataFrame, right: DataFrame, keys: list[str],
     return left.withColumnsRenamed(lmap), right.withColumnsRenamed(rmap)
 
 
-def left_join_tagged(left: DataFrame, right: DataFrame, keys: list[str], broadcast_right: bool = False,
+def left_join_tagged(left: DataFrame, right: DataFrame, keys: list[str],
                      suffixes=("_water", "_climate"), tag: str | None = "data_source",
                      labels=("water_climate_combined", "water_only")) -> DataFrame:
     """All left rows, right columns where the keys match
     (NULL elsewhere). ``tag`` labels each row from its own match flag, so a
     right side that is empty or out of range gives ``water_only`` rows.
 
-    By default the planner chooses the strategy and AQE converts the join to
-    a broadcast only when the materialised right side measures below the
-    broadcast threshold. ``broadcast_right=True`` materialises the right side
-    into the checkpoint folder, counts it and broadcasts it when under the
-    row limit (for side tables reused by many joins).
+    The planner chooses the strategy; AQE converts the join to a broadcast
+    only when the materialised right side measures below the broadcast
+    threshold.
     """
     left, right = suffix_collisions(left, right, keys, suffixes)
     right = right.withColumn(MATCH, F.lit(True))
-    if broadcast_right:
-        right = checked_broadcast(right)
     j = stats_join(left, right, keys)
     if tag:
         j = j.withColumn(tag, F.when(F.col(MATCH).isNotNull(), labels[0]).otherwise(labels[1]))

@@ -19,10 +19,9 @@ from limnos.operators.common import as_list, attach_row, q, stats_join
 
 def _stack(wide: DataFrame, keys: list[str], groups: list[tuple[str, list[str]]], names: list[str]) -> DataFrame:
     """Unpivot ``wide`` (one row per key) to one row per group: label + values."""
-    parts = ", ".join(
-        f"'{label}', " + ", ".join(f"`{c}`" for c in cols) for label, cols in groups)
-    out = ", ".join(names)
-    return wide.selectExpr(*[f"`{k}`" for k in keys], f"stack({len(groups)}, {parts}) as ({out})")
+    rows = [F.struct(F.lit(label).alias(names[0]), *[F.col(q(c)).alias(n) for c, n in zip(cols, names[1:], strict=True)])
+            for label, cols in groups]
+    return wide.select(*[F.col(q(k)) for k in keys], F.inline(F.array(*rows)))
 
 
 def location_counts(df: DataFrame, key: str = "location", out: str = "records") -> DataFrame:
@@ -173,10 +172,9 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     entries = []
     for i, j in pairs:
         r = r_sql(i, j)
-        entries += [f"({lit(cols[i])}, {lit(cols[j])}, {r})", f"({lit(cols[j])}, {lit(cols[i])}, {r})"]
-    entries += [f"({lit(c)}, {lit(c)}, {'cast(null as double)' if const[i] else '1.0D'})" for i, c in enumerate(cols)]
-    body = ", ".join(f"named_struct('col_a', {e[1:-1].split(', ', 2)[0]}, 'col_b', {e[1:-1].split(', ', 2)[1]}, "
-                     f"'r', cast({e[1:-1].split(', ', 2)[2]} as double))" for e in entries)
+        entries += [(cols[i], cols[j], r), (cols[j], cols[i], r)]
+    entries += [(c, c, "cast(null as double)" if const[i] else "1.0D") for i, c in enumerate(cols)]
+    body = ", ".join(f"named_struct('col_a', {lit(a)}, 'col_b', {lit(b)}, 'r', cast({r} as double))" for a, b, r in entries)
     return sums.selectExpr(f"inline(array({body}))")
 
 
@@ -206,18 +204,27 @@ def regression_metrics(pred: DataFrame, label: str = "y", prediction: str = "pre
                       F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst")).alias("r2"))
 
 
+#: long metric names, letters and digits only -> short ones
+METRIC_NAMES = {"meansquarederror": "mse", "meanabsoluteerror": "mae", "rootmeansquarederror": "rmse",
+                "r2score": "r2", "r²": "r2"}
+
+
+def metric_name(text: str) -> str:
+    """One name per metric, however it is spelt."""
+    plain = "".join(c for c in text.lower() if c.isalnum())
+    return METRIC_NAMES.get(plain, plain)
+
+
 def pick_best(metrics: DataFrame, metric: str = "mse", model: str = "model",
               higher_is_better: bool | None = None) -> DataFrame:
     """The best model by ``metric`` with its direction (aggregate
     ``min_by``/``max_by``, ties broken by model name)."""
-    from limnos.functions.constants import HIGHER_IS_BETTER, METRIC_ALIASES
-    cols = set(metrics.columns)
-    name = next((k for k in [metric, metric.lower(), metric.upper(), metric.replace("_", ""),
-                             metric.replace("_", " "), metric.replace(" ", "_"),
-                             *METRIC_ALIASES.get(metric, [])] if k in cols), None)
+    from limnos.functions.constants import HIGHER_IS_BETTER
+    wanted = metric_name(metric)
+    name = min((c for c in metrics.columns if metric_name(c) == wanted), default=None)
     if name is None:
         raise ValueError(f"metric {metric!r} not found")
-    hib = higher_is_better if higher_is_better is not None else metric.lower() in HIGHER_IS_BETTER
+    hib = higher_is_better if higher_is_better is not None else wanted in map(metric_name, HIGHER_IS_BETTER)
     v = col_of(name)
     ok = metrics.where(v.isNotNull() & ~F.isnan(v))
     # top-1 (TakeOrdered), ties broken by model name
@@ -228,13 +235,3 @@ def pick_best(metrics: DataFrame, metric: str = "mse", model: str = "model",
 def pivot_wide(long: DataFrame, row: str, col: str, value: str, values: list[str]) -> DataFrame:
     """One row per ``row`` value, one column per ``col`` value."""
     return long.groupBy(row).pivot(col, values).agg(F.first(col_of(value), ignorenulls=True))
-
-
-def mean_by(df: DataFrame, key: str, col: str, out: str) -> DataFrame:
-    return df.groupBy(key).agg(F.avg(col_of(col)).alias(out))
-
-
-def report_counts(df: DataFrame, key, **named: Column) -> DataFrame:
-    """G21 helper: named count expressions per key."""
-    return df.groupBy(*as_list(key)).agg(*[c.alias(n) for n, c in named.items()])
-

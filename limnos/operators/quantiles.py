@@ -1,117 +1,49 @@
-"""Exact quantiles (linear interpolation between order statistics) without
-holding a whole group in one task.
-
-Spark's exact ``percentile`` aggregate keeps a value -> count map per group
-and merges it in one task, so a group with billions of distinct values
-does not fit. Here the exact answer is found by narrowing:
-
-1. per group: n, so the target ranks r0 = floor(p·(n-1)), r1 = r0 + 1 and
-   the interpolation fraction are known;
-2. while a group's candidate range [lo, hi] for some p holds more than
-   ``max_bracket`` values: a bounded approximate sketch
-   (``percentile_approx`` on a fixed probability grid) of the values still
-   in range gives a narrower range that provably contains ranks r0 and r1
-   (the sketch's rank error is at most n_in / accuracy); values below the
-   range are counted, not kept;
-3. once every range is small, its values are collected (bounded by
-   ``max_bracket``), sorted, and the two order statistics interpolated.
-
-When every group is small (n <= max_bracket, checked with one count pass)
-the values are sorted per group in a single aggregation. Each narrowing step
-shrinks a range by about ``grid / 4``; a 10^12-row group needs two steps.
+"""Exact quantiles (linear interpolation between order statistics).
+
+Equal values are counted first (a partial aggregate), so ties cost nothing.
+The (key, value, count) rows are range-sorted by key and value; each range
+sums its own counts, and the ranges' totals, one row per key and range, turn
+them into ranks over the whole key. The order statistics are the values whose
+rank interval holds the wanted ranks. No group's values meet in one task, and
+there is one path whatever the size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from limnos.operators.common import as_list, attach_row, stats_join
+from limnos.operators.common import as_list, materialize, q, stats_join
 
-GRID = 1000            # probability grid of the narrowing sketch
-ACCURACY = 20000       # sketch accuracy (rank error <= n / ACCURACY)
 
-
-def exact_quantiles(df: DataFrame, keys, value: str, probs: list[float],
-                    max_bracket: int = 1_000_000, out: str = "q") -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, value: str, probs: list[float], out: str = "q") -> DataFrame:
     """Per group of ``keys``: array ``out`` of exact quantiles of ``value``
-    (NULLs ignored) at ``probs``, with the same linear interpolation as
-    DuckDB ``quantile_cont`` / pandas ``quantile``. Also returns ``n``."""
+    (NULLs ignored) at ``probs``, interpolated as DuckDB ``quantile_cont`` and
+    pandas ``quantile`` do. Also returns ``n``. A NULL key is a group."""
     keys = as_list(keys)
-    P = len(probs)
-    d = df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    base = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest = base.agg(F.max("n").alias("m")).first()["m"] or 0
-    if largest <= max_bracket:
-        # every group is small: one aggregation, values sorted per group
-        one = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("_x")).alias("_v"))
-        qs = []
-        for p in probs:
-            pos = F.lit(p) * (F.col("n") - 1)
-            a = F.floor(pos).cast("int")
-            v0 = F.element_at("_v", a + 1)
-            v1 = F.element_at("_v", F.least(a + 2, F.col("n").cast("int")))
-            qs.append(v0 + (pos - F.floor(pos)) * (v1 - v0))
-        return one.select(*keys, "n", F.array(*qs).alias(out))
-    pos = [F.lit(p) * (F.col("n") - 1) for p in probs]
-    state = base.select(
-        *keys, "n",
-        F.array(*[F.floor(x) for x in pos]).alias("_r0"),
-        F.array(*[x - F.floor(x) for x in pos]).alias("_frac"),
-        F.array(*[F.lit(None).cast("double")] * P).alias("_lo"),
-        F.array(*[F.lit(None).cast("double")] * P).alias("_hi"))
-
-    def in_range(i):
-        lo, hi = F.col("_lo")[i], F.col("_hi")[i]
-        return (lo.isNull() | (F.col("_x") >= lo)) & (hi.isNull() | (F.col("_x") <= hi))
-
-    for _ in range(8):  # each step shrinks ranges ~GRID/4-fold; 8 is far beyond need
-        j = stats_join(d, state, keys, "inner")
-        counts = j.groupBy(*keys).agg(
-            F.array(*[F.count_if(in_range(i)) for i in range(P)]).alias("_in"),
-            F.array(*[F.count_if(F.col("_lo")[i].isNotNull() & (F.col("_x") < F.col("_lo")[i]))
-                      for i in range(P)]).alias("_below"))
-        st = state.join(counts, keys, "left") if keys else attach_row(state, counts)
-        big = st.agg(F.max(F.array_max("_in")).alias("m")).first()["m"] or 0
-        if big <= max_bracket:
-            break
-        # bounded sketch of the values still in range, only for groups that need it
-        need = st.where(F.array_max("_in") > max_bracket)
-        jj = stats_join(d, need, keys, "inner")
-        grids = jj.groupBy(*keys).agg(
-            F.array(*[F.percentile_approx(F.when(in_range(i), F.col("_x")),
-                                          [k / GRID for k in range(GRID + 1)], ACCURACY)
-                      for i in range(P)]).alias("_grid"))
-        st = st.join(grids, keys, "left") if keys else attach_row(st, grids)
-        new_lo, new_hi = [], []
-        for i in range(P):
-            n_in = F.col("_in")[i]
-            rel = F.col("_r0")[i] - F.col("_below")[i]         # target rank inside the range
-            g = F.col("_grid")[i]
-            span = F.greatest(n_in - 1, F.lit(1))
-            # grid point k sits at relative rank k/GRID·(n_in-1) ± n_in/ACCURACY
-            k_lo = F.greatest(F.lit(0), F.floor(rel * GRID / span) - 2)
-            k_hi = F.least(F.lit(GRID), F.ceil((rel + 1) * GRID / span) + 2)
-            narrow = g.isNotNull() & (n_in > max_bracket)
-            new_lo.append(F.when(narrow & (k_lo > 0), F.element_at(g, (k_lo + 1).cast("int")))
-                          .otherwise(F.col("_lo")[i]))
-            new_hi.append(F.when(narrow & (k_hi < GRID), F.element_at(g, (k_hi + 1).cast("int")))
-                          .otherwise(F.col("_hi")[i]))
-        # the per-group state is small (one row per group): cut its lineage
-        from limnos.operators.common import materialize
-        state = materialize(st.select(*keys, "n", "_r0", "_frac", F.array(*new_lo).alias("_lo"),
-                                      F.array(*new_hi).alias("_hi")), "quantile_state")
-    j = stats_join(d, state, keys, "inner")
-    final = j.groupBy(*keys).agg(
-        F.first("n").alias("n"), F.first("_r0").alias("_r0"), F.first("_frac").alias("_frac"),
-        F.array(*[F.count_if(F.col("_lo")[i].isNotNull() & (F.col("_x") < F.col("_lo")[i]))
-                  for i in range(P)]).alias("_below"),
-        F.array(*[F.sort_array(F.collect_list(F.when(in_range(i), F.col("_x")))) for i in range(P)]).alias("_v"))
+    named = [F.col(q(k)) for k in keys]
+    d = df.select(*named, F.col(q(value)).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = d.groupBy(*named, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    ranged = materialize(counts.repartitionByRange(parts, *named, "_x").withColumn("_range", F.spark_partition_id()), "value_counts")
+    totals = ranged.groupBy(*named, "_range").agg(F.sum("_c").alias("_t"))
+    key_window = Window.partitionBy(*named)
+    offsets = totals.select(
+        *named, "_range", F.sum("_t").over(key_window).alias("n"),
+        F.coalesce(F.sum("_t").over(key_window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*named, "_range").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = stats_join(ranged.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0))), offsets, [*keys, "_range"], "inner")
+    first = F.col("_off") + F.col("_in")
+
+    def at(rank):
+        return F.max(F.when((first <= rank) & (rank < first + F.col("_c")), F.col("_x")))
+    stats = []
+    for i, p in enumerate(probs):
+        low = F.floor(F.lit(p) * (F.col("n") - 1))
+        stats += [at(low).alias(f"_a{i}"), at(F.least(low + 1, F.col("n") - 1)).alias(f"_b{i}")]
+    got = ranked.groupBy(*named, "n").agg(*stats)
     qs = []
-    for i in range(P):
-        v = F.col("_v")[i]
-        a = (F.col("_r0")[i] - F.col("_below")[i]).cast("int")
-        v0 = F.element_at(v, a + 1)
-        v1 = F.coalesce(F.element_at(v, F.least(a + 2, F.size(v))), v0)
-        qs.append(v0 + F.col("_frac")[i] * (v1 - v0))
-    return final.select(*keys, "n", F.array(*qs).alias(out))
+    for i, p in enumerate(probs):
+        place = F.lit(p) * (F.col("n") - 1)
+        qs.append(F.col(f"_a{i}") + (place - F.floor(place)) * (F.col(f"_b{i}") - F.col(f"_a{i}")))
+    return got.select(*named, "n", F.array(*qs).alias(out))

@@ -41,11 +41,16 @@ def canonical_location(df: DataFrame, out: str = "location") -> DataFrame:
     return df.withColumnRenamed(hit, out) if hit != out else df
 
 
+#: date texts tried in turn after ISO 8601; month before day where either could be meant
+DATE_FORMATS = ("M/d/yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyyMMdd")
+
+
 def canonical_time(df: DataFrame, ts_col: str | None = None, out: str = "timestamp",
-                   as_date: bool = False) -> DataFrame:
+                   as_date: bool = False, formats=DATE_FORMATS) -> DataFrame:
     """Derive one time column. Priority: YEAR+MONTH (first of the
     month; out-of-range parts give NULL) -> Date -> date -> datetime -> time
-    -> ``ts_col``. Unparsable text becomes NULL; source columns are dropped."""
+    -> ``ts_col``. Text is read as ISO 8601, else by the first of
+    ``formats`` that fits, else it becomes NULL; source columns are dropped."""
     cols = set(df.columns)
     if {"YEAR", "MONTH"} <= cols:
         y, m = to_double("YEAR").cast("int"), to_double("MONTH").cast("int")
@@ -61,7 +66,9 @@ def canonical_time(df: DataFrame, ts_col: str | None = None, out: str = "timesta
     if isinstance(dt, (TimestampNTZType, TimestampType, DateType)):
         t = col_of(src).cast("timestamp_ntz")
     else:
-        t = F.try_to_timestamp(col_of(src).cast("string")).cast("timestamp_ntz")
+        text = F.trim(col_of(src).cast("string"))
+        t = F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+        t = t.cast("timestamp_ntz")
     t = t.cast("date") if as_date else t
     res = df.withColumn("__t", t)
     if src != out:

@@ -340,7 +340,7 @@ def number_rows(df: DataFrame, key: str | None, order: list[str], out: str = "rn
         glob = glob.select(*[F.col("_kb").getField(k).alias(k) for k in keys],
                            F.col("_kb").getField("_nb").alias("_nb"), "_poff")
         start = glob.groupBy(*keys).agg(F.min("_poff").alias("_start"))
-        offsets = (glob.join(start, keys)
+        offsets = (stats_join(glob, start, keys)
                        .select(*keys, "_nb", (F.col("_poff") - F.col("_start")).alias("_off")))
     else:  # one series: bucket offsets by the (range-split when large) prefix sum
         offsets = part_offsets(counts, "_nb", "_n").withColumnRenamed("_poff", "_off")

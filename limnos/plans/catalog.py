@@ -463,7 +463,7 @@ select w.location, w."timestamp", {', '.join(S.r6('w.' + m, m) for m in W_MEASUR
 from w_clean w left join kl_grid k on w.location = k.location and w."timestamp" = k."timestamp\"""")
 def q_join_by_location(spark, sf):
     kl = ts.daily_resample(feed_kl(spark, sf), "location", "ts", ["o_totalprice"])
-    return rounded(jn.left_join_tagged(w_clean(spark, sf), kl, ["location", "timestamp"], broadcast_right=False))
+    return rounded(jn.left_join_tagged(w_clean(spark, sf), kl, ["location", "timestamp"]))
 
 
 @query("join_means_broadcast", f"""with {W_CLEAN_SQL}, {K_FILL_SQL}
@@ -1048,7 +1048,7 @@ def q_stream_daily_means(spark, sf):
     base = scratch_path(spark, "stream")
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     s = sd.daily_stream(spark, sf, schema, "user_id", "ts", ["value"], glob="events.parquet",
-                        watermark="2 days", max_files_per_trigger=1)
+                        max_files_per_trigger=1)
     sd.run_to_table(s, base + "/table", base + "/checkpoint")
     return rounded(sd.current_means(spark, base + "/table", ["value"]))
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from limnos.operators import forecast as fc
 from limnos.operators import timeseries as ts
-from limnos.operators.common import materialize
-from limnos.operators.profile import pick_best, regression_metrics
+from limnos.operators.common import materialize, q
+from limnos.operators.profile import regression_metrics
 
 DEFAULT_PARAMS = {
     "linear": {"regParam": 0.01},
@@ -86,18 +86,27 @@ def tune_and_compare(table: DataFrame, families=("linear", "random_forest", "gbt
 
 def multi_target(norm: DataFrame, key: str, order: str, features: list[str], targets: list[str],
                  family: str = "linear", look_back: int = 12) -> DataFrame:
-    """One regressor per target over the same windows; each location's
-    latest window is scored. Output long: (location, model, parameter, value)."""
+    """One regressor per target over the same windows. The forecast is for
+    the day after each location's last one, from the ``look_back`` rows that
+    end there (that window has no label and is not fitted on). Output long:
+    (location, model, parameter, value), in the scale of ``norm``."""
+    used = list(dict.fromkeys([*features, *targets]))
+    data = norm.select(key, order, *[F.col(q(c)) for c in used], F.lit(False).alias("_ahead"))
+    last = norm.groupBy(key).agg(F.max(order).alias(order))
+    ahead = last.select(key, (F.col(order) + F.expr("interval 1 day")).cast(norm.schema[order].dataType).alias(order),
+                        *[F.lit(0.0).alias(c) for c in used], F.lit(True).alias("_ahead"))
+    rows = materialize(data.unionByName(ahead), "forecast_rows")
     out = None
     for t in targets:
-        win = ts.sliding_windows(norm, key, order, features, t, look_back)
-        tab = materialize(fc.with_features(win).select(key, order, "features", "y"))
-        model = fc.fit_final(tab.withColumn("is_validation", F.lit(False)), family,
+        win = ts.sliding_windows(rows, key, order, features, t, look_back)
+        day = rows.where("_ahead").select(F.col(key).alias("_k"), F.col(order).alias("_d"))
+        tab = fc.with_features(win).select(key, order, "features", "y")
+        tab = tab.join(day, F.col(key).eqNullSafe(F.col("_k")) & (F.col(order) == F.col("_d")), "left")
+        tab = materialize(tab.select(key, order, "features", "y", F.col("_d").isNotNull().alias("_ahead")))
+        model = fc.fit_final(tab.where("NOT _ahead").withColumn("is_validation", F.lit(False)), family,
                              DEFAULT_PARAMS.get(family, {}), validation_col=None)
-        latest = tab.groupBy(key).agg(F.max_by(F.struct(order, "features"), F.col(order)).alias("r"))
-        seed = latest.select(key, F.col("r").getField(order).alias(order), F.col("r.features").alias("features"))
-        pred = model.transform(seed).select(key, F.lit(family).alias("model"), F.lit(t).alias("parameter"),
-                                            F.col("prediction").alias("value"))
+        pred = model.transform(tab.where("_ahead")).select(key, F.lit(family).alias("model"), F.lit(t).alias("parameter"),
+                                                           F.col("prediction").alias("value"))
         out = pred if out is None else out.unionByName(pred)
     return out
 
@@ -108,14 +117,3 @@ def comparison_json(metrics: DataFrame) -> DataFrame:
     doc = metrics.agg(F.map_from_entries(F.collect_list(entry)).alias("models"),
                       F.min_by("model", F.struct("mse", "model")).alias("best_model"))
     return doc.select(F.to_json(F.struct("models", "best_model")).alias("json"))
-
-
-def best(metrics: DataFrame) -> DataFrame:
-    return pick_best(metrics, "mse")
-
-
-
-def trials_to_json(spark: SparkSession, trials: DataFrame, root: str) -> str:
-    """Write the trial table as JSON lines, one folder per model."""
-    trials.write.mode("overwrite").partitionBy("model").json(root)
-    return root

@@ -8,20 +8,20 @@ to ``foreachBatch``, which appends them with the batch id to a Parquet table
 under the checkpoint folder (idempotent per batch id on replay). The current
 daily means are the newest row per (location, day) of that table.
 
-Late data: ``watermark`` bounds the state — days older than the watermark
-are finalised and their state dropped. Gap expansion, fill, outliers and
-scaling need the whole history and stay batch jobs over the result.
+Late data: there is no watermark, so a reading counts whenever it arrives
+and the result does not depend on file order. The state holds one row per
+location and day. Gap expansion, fill, outliers and scaling need the whole
+history and stay batch jobs over the result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def daily_stream(spark: SparkSession, source_dir: str, schema: str, key: str, ts: str,
-                 measures: list[str], glob: str | None = None, watermark: str | None = None,
+                 measures: list[str], glob: str | None = None,
                  max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming DataFrame of running daily sums/counts per (key, day)."""
     r = spark.readStream.schema(schema)
@@ -37,8 +37,6 @@ def daily_stream(spark: SparkSession, source_dir: str, schema: str, key: str, ts
     sod = F.hour(ntz) * 3600 + F.minute(ntz) * 60 + F.second(ntz)
     evt = F.timestamp_seconds(F.unix_date(F.to_date(ntz)).cast("long") * 86400 + sod)
     s = r.parquet(source_dir).where(F.col(ts).isNotNull()).withColumn("_evt", evt)
-    if watermark:
-        s = s.withWatermark("_evt", watermark)
     day = F.window(F.col("_evt"), "1 day")
     aggs = []
     for m in measures:
@@ -66,8 +64,9 @@ def run_to_table(stream: DataFrame, table_path: str, checkpoint: str) -> None:
 def current_means(spark: SparkSession, table_path: str, measures: list[str]) -> DataFrame:
     """Latest state per (location, day) -> daily means (NULL when no value)."""
     t = spark.read.parquet(table_path)
-    w = Window.partitionBy("location", "timestamp").orderBy(F.desc("batch_id"))
-    latest = t.withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    values = [c for m in measures for c in (f"sum_{m}", f"n_{m}")]
+    latest = (t.groupBy("location", "timestamp").agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
+               .select("location", "timestamp", "_v.*"))
     return latest.select("location", "timestamp",
                          *[(F.col(f"sum_{m}") / F.when(F.col(f"n_{m}") > 0, F.col(f"n_{m}"))).alias(m)
                            for m in measures])

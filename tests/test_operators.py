@@ -178,13 +178,12 @@ def test_histogram_and_box(spark):
     assert (b["min"], b["median"], b["max"], b["outliers"]) == (0.0, 15.5, 100.0, 1)
 
 
-@pytest.mark.parametrize("max_bracket", [10_000_000, 40, 7])
-def test_exact_quantiles_match_numpy(spark, max_bracket):
+def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(11)
     vals = np.concatenate([rng.exponential(size=400), np.full(100, 0.5)])
     df = spark.createDataFrame([("g" + str(i % 3), float(v)) for i, v in enumerate(vals)], "g string, x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = {r["g"]: r["q"] for r in exact_quantiles(df, ["g"], "x", probs, max_bracket=max_bracket).collect()}
+    got = {r["g"]: r["q"] for r in exact_quantiles(df, ["g"], "x", probs).collect()}
     for k in range(3):
         exp = np.quantile(vals[k::3], probs)
         assert np.allclose(got["g" + str(k)], exp, rtol=0, atol=1e-12)
@@ -234,24 +233,49 @@ def test_streaming_daily_means(spark, tmp_path):
     assert got == [("7", D(2024, 1, 1), 3.0), ("7", D(2024, 1, 2), None), ("8", D(2024, 1, 2), 1.0)]
 
 
-def test_checked_broadcast_respects_row_limit(spark):
-    from limnos.operators.common import checked_broadcast
-    small = spark.createDataFrame([(i, float(i)) for i in range(10)], "k int, v double")
-    big = spark.range(0, 1000).select((F.col("id") % 10).cast("int").alias("k"))
-    for limit in (100, 5):   # under the limit: broadcast hint; over it: plain join left to AQE
-        side = checked_broadcast(small, max_rows=limit)
-        j = big.join(side, ["k"])
-        assert j.count() == 1000 and j.agg(F.sum("v")).first()[0] == 4500.0
-
-
-def test_streaming_watermark_drops_late_days(spark, tmp_path):
+def test_streaming_keeps_late_days(spark, tmp_path):
     from limnos.streaming import daily as sd
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     src = tmp_path / "src"
     spark.createDataFrame([(1, dt.datetime(2024, 1, 10, 8), 1, "x", 5.0, "{}")], schema).write.parquet(str(src / "a"))
     spark.createDataFrame([(2, dt.datetime(2024, 1, 1, 8), 1, "x", 7.0, "{}")], schema).write.parquet(str(src / "b"))
-    s = sd.daily_stream(spark, str(src) + "/*", schema, "user_id", "ts", ["value"], watermark="2 days",
+    s = sd.daily_stream(spark, str(src) + "/*", schema, "user_id", "ts", ["value"],
                         max_files_per_trigger=1)
     sd.run_to_table(s, str(tmp_path / "t"), str(tmp_path / "c"))
     got = rows(sd.current_means(spark, str(tmp_path / "t"), ["value"]), "location", "timestamp", "value")
-    assert got == [("1", D(2024, 1, 10), 5.0)]     # the 2024-01-01 reading arrived after the watermark
+    assert got == [("1", D(2024, 1, 1), 7.0), ("1", D(2024, 1, 10), 5.0)]     # in whatever order they arrive
+
+
+def test_exact_quantiles_with_ties_and_null_keys(spark):
+    import numpy as np
+    values = [5.0] * 900 + [float(i) for i in range(10)] * 7 + [None]
+    df = spark.createDataFrame([(None if i % 3 else "a", v) for i, v in enumerate(values)], "g string, x double")
+    got = {r["g"]: (r["n"], r["q"]) for r in exact_quantiles(df, ["g"], "x", [0.0, 0.03, 0.5, 0.97, 1.0]).collect()}
+    for g in ("a", None):
+        x = [v for i, v in enumerate(values) if v is not None and (None if i % 3 else "a") == g]
+        assert got[g][0] == len(x) and np.allclose(got[g][1], np.quantile(x, [0.0, 0.03, 0.5, 0.97, 1.0]))
+    plan = exact_quantiles(df, ["g"], "x", [0.5])._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
+def test_dates_and_nan_as_text(spark):
+    from limnos.operators.schema import canonical_time, coerce_numeric
+    texts = ["2020-01-15", "1/15/2020", "15-Jan-2020", "Jan 15, 2020", "2020/01/15", "20200115", "1/15/2020 13:05", "soon", None]
+    got = [r[0] for r in canonical_time(spark.createDataFrame([(t,) for t in texts], "Date string"), as_date=True).collect()]
+    assert got == [D(2020, 1, 15)] * 7 + [None, None]
+    df = coerce_numeric(spark.createDataFrame([("NaN", float("nan")), ("2.0", 2.0), ("x", None)], "a string, b double"))
+    assert df.agg(F.avg("a"), F.avg("b")).first() == (2.0, 2.0)
+
+
+def test_rows_without_location_are_numbered(spark):
+    from limnos.operators import timeseries as ts
+    df = spark.createDataFrame([(None, D(2024, 1, i + 1), i) for i in range(9)] + [("a", D(2024, 1, 1), 0)], "location string, timestamp date, v int")
+    got = rows(ts.number_rows_global(df, "location", ["timestamp"]), "rn")
+    assert got == [(i,) for i in range(10)]
+
+
+def test_free_text_column_names(spark):
+    names = ["Temp, surface", "St. Ann's", "a`b"]
+    df = spark.createDataFrame([(1.0, 2.0, 3.0), (2.0, 1.0, 5.0), (3.0, 0.5, 4.0)], "x double, y double, z double").toDF(*names)
+    assert {r["column"] for r in pf.describe(df, names).collect()} == set(names)
+    assert pf.corr_matrix(df, names).count() == 9

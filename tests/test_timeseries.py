@@ -222,11 +222,11 @@ def test_stats_join_method_equals_window(spark):
         assert rows(fn("window"), *cols) == rows(fn("join"), *cols)
 
 
-def test_checked_broadcast_join(spark):
+def test_join_tag(spark):
     from limnos.operators import joins as jn
     w = spark.createDataFrame([("a", D(2024, 1, 1), 1.0)], "location string, timestamp date, v double")
     c = spark.createDataFrame([(D(2024, 1, 1), 2.0)], "timestamp date, rain double")
-    j = jn.left_join_tagged(w, c, ["timestamp"], broadcast_right=True)
+    j = jn.left_join_tagged(w, c, ["timestamp"])
     assert rows(j, "v", "rain", "data_source") == [(1.0, 2.0, "water_climate_combined")]
 
 
