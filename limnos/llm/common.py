@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from limnos.llm.words import mix64
 from limnos.operators.common import materialize, q
+from limnos.session import scratch_path
 
-__all__ = ["bitmap", "bitmap_has", "importable", "materialize", "partitions", "q", "running_sum"]
+__all__ = ["bitmap", "bitmap_has", "importable", "materialize", "materialize_by", "partitions", "q", "running_sum"]
 
 
 def importable(spark: SparkSession) -> None:
@@ -31,6 +33,16 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def materialize_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As ``materialize``, in buckets of ``key``, one per shuffle partition: a
+    later join on it reads them where they are and shuffles only its other
+    side. ``df`` should come out of a shuffle by ``key`` already, so that a
+    task writes few buckets."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex[:12]}"
+    df.write.bucketBy(partitions(df), key).option("path", scratch_path(spark, name)).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str]) -> DataFrame:
     """Exclusive running sums within ``keys`` along ``order``: ``values`` maps
     each new column to the column it sums. The rows are range-sorted by keys

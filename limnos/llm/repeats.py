@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.common import materialize, partitions
+from limnos.llm.common import materialize_by, partitions
 from limnos.llm.words import Words, slices
 
 WINDOW = 13
@@ -204,7 +204,8 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__doc"), pa.array(n, pa.int64()), pa.array(sha, pa.string()),
                                                   pa.array(text, pa.binary()).cast(pa.string()), pa.array(at, pa.binary()), pa.array(windows, pa.binary())],
                                                  ["doc_id", "__doc", "n_words", "kept_sha256", "text", "at", "windows"])
-    found = materialize(keyed.join(shared, "__doc", "left").select("__doc", "doc_id", "text", "keys").mapInArrow(candidates, kept), "candidates")
+    joined = keyed.join(shared.hint("merge"), "__doc", "left").select("__doc", "doc_id", "text", "keys")
+    found = materialize_by(joined.mapInArrow(candidates, kept), "__doc", "candidates")
 
     def windows(batches):
         for b in batches:
@@ -228,6 +229,6 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
                 removed.append(int(n - keep.sum()))
                 sha.append(hashlib.sha256(b" ".join(compress(text.encode().split(), keep.tolist()))).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], out.names)
-    changed = open_.join(covered, "__doc", "left").select("doc_id", "n_words", "text", "at", "windows", "keys").mapInArrow(cut, out)
+    changed = open_.join(covered.hint("merge"), "__doc", "left").select("doc_id", "n_words", "text", "at", "windows", "keys").mapInArrow(cut, out)
     clean = found.filter("windows IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     return clean.unionByName(changed)
