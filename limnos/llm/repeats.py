@@ -29,7 +29,9 @@ from limnos.llm.words import Words, slices
 
 WINDOW = 13
 #: key/document pairs that a task holds before it sends them
-_HELD = 1 << 21
+_HELD = 1 << 20
+#: bytes of text that a task looks at at once, one document at least
+_SLICE = 1 << 21
 _NOBODY = -(1 << 63)
 #: stands for a null doc_id, which comes after all others
 _LAST = (1 << 63) - 1
@@ -140,6 +142,12 @@ def exchange(source: DataFrame, find: Callable, smaller: bool) -> DataFrame:
     return told.mapInArrow(_explode, "__doc long, key long").groupBy("__doc").agg(F.collect_list("key").alias("keys"))
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """A column of lists of keys; null is an empty one."""
+    flat, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return [flat[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _anchor(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of the k-word window at each word, whether it lies in one
     document, and the least hash of the half-length windows inside it."""
@@ -171,7 +179,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
 
     def anchors(batches):
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, most=_SLICE):
                 words = Words(b.column("text"))
                 _, inside, least = _anchor(words, k)
                 doc = b.column("__doc").to_numpy()[words.doc_of()[inside]]
@@ -185,16 +193,16 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
 
     def candidates(batches):
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, most=_SLICE):
                 words = Words(b.column("text"))
                 full, inside, least = _anchor(words, k)
                 data, n = words.raw.tobytes(), words.counts().tolist()
                 sha, text, at, windows = [], [], [], []
-                for i, keys in enumerate(b.column("keys").to_pylist()):
+                for i, keys in enumerate(_lists(b.column("keys"))):
                     a, z = words.first[i], words.first[i + 1]
                     p = np.zeros(0, np.int64)
-                    if keys and z - a >= k:
-                        known = np.isin(short_names(least[a:z - k + 1], pieces), np.array(keys, np.int64).view(np.uint64))
+                    if len(keys) and z - a >= k:
+                        known = np.isin(short_names(least[a:z - k + 1], pieces), keys)
                         p = np.flatnonzero(known)
                     body = data[words.borders[i]:words.borders[i + 1]]
                     sha.append(None if len(p) else hashlib.sha256(b" ".join(body.split())).hexdigest())
@@ -217,18 +225,19 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     out = docs.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
 
     def cut(batches):
-        for b in batches:
-            removed, sha = [], []
-            for text, n, at, blob, keys in zip(*[b.column(c).to_pylist() for c in ("text", "n_words", "at", "windows", "keys")], strict=True):
-                change = np.zeros(n + 1, np.int64)
-                if keys:
-                    gone = np.frombuffer(at, "<u4")[np.isin(np.frombuffer(blob, "<u8"), np.array(keys, np.int64).view(np.uint64))]
-                    np.add.at(change, gone, 1)
-                    np.add.at(change, gone + k, -1)
-                keep = np.cumsum(change[:n]) == 0
-                removed.append(int(n - keep.sum()))
-                sha.append(hashlib.sha256(b" ".join(compress(text.encode().split(), keep.tolist()))).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], out.names)
+        for whole in batches:
+            for b in slices(whole, most=_SLICE):
+                removed, sha = [], []
+                for text, n, at, blob, keys in zip(*[b.column(c).to_pylist() for c in ("text", "n_words", "at", "windows")], _lists(b.column("keys")), strict=True):
+                    change = np.zeros(n + 1, np.int64)
+                    if len(keys):
+                        gone = np.frombuffer(at, "<u4")[np.isin(np.frombuffer(blob, "<u8"), keys)]
+                        np.add.at(change, gone, 1)
+                        np.add.at(change, gone + k, -1)
+                    keep = np.cumsum(change[:n]) == 0
+                    removed.append(int(n - keep.sum()))
+                    sha.append(hashlib.sha256(b" ".join(compress(text.encode().split(), keep.tolist()))).hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], out.names)
     changed = open_.join(covered.hint("merge"), "__doc", "left").select("doc_id", "n_words", "text", "at", "windows", "keys").mapInArrow(cut, out)
     clean = found.filter("windows IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     return clean.unionByName(changed)
