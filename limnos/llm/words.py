@@ -48,9 +48,9 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def _range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
     """Polynomial hash modulo 2**64 of values[start:end] for each range, from
-    running sums. Ranges ascend by start; work goes in blocks so that the
+    running sums; with ``table`` of table[values]. Ranges ascend by start; work goes in blocks so that the
     tables of powers stay small."""
     out = np.empty(len(start), np.uint64)
     lo = 0
@@ -60,7 +60,8 @@ def _range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.
         top = int(end[lo:hi].max())
         power, inverse = _power(max(_BLOCK * 2, top - base))
         total = np.zeros(top - base + 1, np.uint64)
-        np.cumsum(values[base:top] * power[:top - base], out=total[1:])
+        part = values[base:top] if table is None else table[values[base:top]]
+        np.cumsum(part * power[:top - base], out=total[1:])
         s, e = start[lo:hi] - base, end[lo:hi] - base
         out[lo:hi] = (total[e] - total[s]) * inverse[s]
         lo = hi
@@ -113,7 +114,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word's bytes."""
-        return _range_hashes(_BYTE[self.raw], self.start, self.end) if len(self) else np.zeros(0, np.uint64)
+        return _range_hashes(self.raw, self.start, self.end, _BYTE) if len(self) else np.zeros(0, np.uint64)
 
     def window_hashes(self, k: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k-word window at each word, and whether that window
@@ -160,6 +161,16 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 23):
         lo = hi
 
 
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers by byte planes: of small ones the high planes are zero,
+    which Spark's compression takes out."""
+    return x.astype("<u4").view("u1").reshape(-1, 4).T.tobytes()
+
+
+def unplanes(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "u1").reshape(4, -1).T.copy().view("<u4").ravel()
+
+
 def ragged(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """flat[begin:begin + size] of each range, behind one another."""
     shift = np.repeat(begin - (np.cumsum(size) - size), size)
