@@ -32,8 +32,10 @@ from limnos.llm.components import connected
 BLOCK = 8192
 #: cells, at most: their pivots go to every task
 PIVOTS = 1024
-#: rows of a node's children that are compared with another's at once
-_STRIP = 512
+#: nodes that are compared with others at once
+_STRIP = 256
+#: pairs whose cosines are computed in double precision at once
+_EXACT = 1 << 15
 _SLACK = 1e-9
 
 
@@ -102,16 +104,35 @@ class Block:
         self.total = np.concatenate([[0], np.cumsum(self.copies)])
 
 
+def _groups(radius: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of ascending radii that are zero, or differ by about half."""
+    cuts = np.unique(np.searchsorted(radius, [-1.0, 0.0, 0.0625, 0.125, 0.25, 0.5, 1.0, 4.0], side="right"))
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
 class Traversal:
-    """Links between two blocks, or inside one."""
+    """Links between two blocks, or inside one. Pairs of nodes of one level are
+    open until they are pruned, taken whole or decided; the children of open
+    pairs are compared a strip at a time, in single precision where that
+    decides, else in double."""
 
     def __init__(self, left: Block, right: Block | None, cosine: float):
         self.a, self.b, self.same = left, right or left, right is None
         self.cosine, self.reach = cosine, math.sqrt(2 - 2 * cosine)
-        shift = 0 if self.same else len(left.points)
-        self.shift, size = shift, shift + len(self.b.points)
+        # what single precision can be off by: of a cosine, of a distance
+        self.off = 2e-7 * left.points.shape[1] + 1e-6
+        self.slack = math.sqrt(2 * self.off)
+        self.single = left.points.astype(np.float32), self.b.points.astype(np.float32)
+        self.shift = 0 if self.same else len(left.points)
+        size = self.shift + len(self.b.points)
         self.links, self.label = np.zeros(size, np.int64), np.arange(size)
-        self.visit(0, 0, 0)
+        # differences along points: links of ranges, ranges linked inside, points joined to the next one
+        self.more, self.inside, self.glued = (np.zeros(size + 1, np.int64) for _ in range(3))
+        self.visit(-1, np.zeros(1, np.int64), np.zeros(1, np.int64))
+        next_ = np.flatnonzero(np.cumsum(self.glued) > 0)
+        self.union(next_, next_ + 1)
+        copies = self.a.copies if self.same else np.concatenate([self.a.copies, self.b.copies])
+        self.links = np.cumsum(self.more)[:-1] - np.cumsum(self.inside)[:-1] * copies
 
     def union(self, i: np.ndarray, j: np.ndarray) -> None:
         """Joins the components of i[k] and j[k] for each k."""
@@ -130,77 +151,110 @@ class Traversal:
                     break
                 self.label = up
 
-    def take(self, x: tuple[int, int], y: tuple[int, int]) -> None:
-        """All points of range x of a link with all of range y of b."""
-        self.links[x[0]:x[1]] += self.b.total[y[1]] - self.b.total[y[0]]
-        self.links[self.shift + y[0]:self.shift + y[1]] += self.a.total[x[1]] - self.a.total[x[0]]
-        i, j = np.arange(*x), np.arange(*y) + self.shift
-        self.union(i, np.full(len(i), j[0]))
-        self.union(j, np.full(len(j), i[0]))
+    def spread(self, begin: np.ndarray, end: np.ndarray, links: np.ndarray) -> None:
+        """All points of each range link with so many vectors, and are of one
+        component."""
+        np.add.at(self.more, begin, links)
+        np.subtract.at(self.more, end, links)
+        np.add.at(self.glued, begin, 1)
+        np.subtract.at(self.glued, end - 1, 1)
+
+    def take(self, la: dict, lb: dict, u: np.ndarray, v: np.ndarray) -> None:
+        """All points of nodes u[k] of a link with all of nodes v[k] of b."""
+        x, y = (la["begin"][u], la["end"][u]), (lb["begin"][v], lb["end"][v])
+        self.spread(*x, self.b.total[y[1]] - self.b.total[y[0]])
+        self.spread(y[0] + self.shift, y[1] + self.shift, self.a.total[x[1]] - self.a.total[x[0]])
+        self.union(x[0], y[0] + self.shift)
+
+    def take_inside(self, level: dict, u: np.ndarray) -> None:
+        """All points of each node link with one another."""
+        begin, end = level["begin"][u], level["end"][u]
+        self.spread(begin, end, self.a.total[end] - self.a.total[begin])
+        np.add.at(self.inside, begin, 1)
+        np.subtract.at(self.inside, end, 1)
+
+    @staticmethod
+    def level(block: Block, level: int) -> dict:
+        return block.levels[min(level, len(block.levels) - 1)]
 
-    def children(self, block: Block, level: int, node: int) -> np.ndarray:
+    @staticmethod
+    def children(block: Block, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Children of nodes on the next level (the root's level is 0) and the
+        places of their parents in ``nodes``. Below its last level a tree goes
+        on as it is."""
+        if level < 0 or level >= len(block.levels) - 1:
+            return nodes, np.arange(len(nodes))
         kids = block.levels[level]["kids"]
-        return np.arange(kids[node], kids[node + 1])
-
-    def visit(self, level: int, x: int, y: int) -> None:
-        """Node x of a against node y of b, both of a level; x = y inside one
-        block is a node against itself."""
-        la, lb = self.a.levels[level], self.b.levels[level]
-        if self.same and x == y:
-            p = la["begin"][x], la["end"][x]
-            if p[1] - p[0] == 1:
-                return
-            if 2 * la["radius"][x] <= self.reach - _SLACK:
-                self.links[p[0]:p[1]] += self.a.total[p[1]] - self.a.total[p[0]] - self.a.copies[p[0]:p[1]]
-                i = np.arange(*p)
-                self.union(i, np.full(len(i), i[0]))
-                return
-        if "kids" not in la or "kids" not in lb:
-            # one tree ends here: its nodes go on as they are
-            self.compare(level + ("kids" in la), level + ("kids" in lb), self.below(self.a, level, x), self.below(self.b, level, y), self.same and x == y)
+        many = kids[nodes + 1] - kids[nodes]
+        parent = np.repeat(np.arange(len(nodes)), many)
+        return np.arange(len(parent)) - np.repeat(np.cumsum(many) - many, many) + kids[nodes][parent], parent
+
+    def visit(self, level: int, x: np.ndarray, y: np.ndarray) -> None:
+        """Open pairs of a level, ascending by x; x = y inside one block is a
+        node against itself."""
+        xs, at = np.unique(x, return_inverse=True)
+        rows, parent = self.children(self.a, level, xs)
+        # batches of nodes with about a strip of children, or one node with more
+        batch = (np.searchsorted(parent, np.arange(len(xs))) // _STRIP)
+        for k in np.unique(batch).tolist():
+            lo, hi = np.searchsorted(batch, [k, k + 1])
+            mine = slice(*np.searchsorted(at, [lo, hi]))
+            ys, other = np.unique(y[mine], return_inverse=True)
+            open_ = np.zeros((hi - lo, len(ys)), bool)
+            open_[at[mine] - lo, other] = True
+            cols, of = self.children(self.b, level, ys)
+            first, last = np.searchsorted(parent, [lo, hi])
+            for s in range(first, last, _STRIP):
+                part = slice(s, min(s + _STRIP, last))
+                left = self.compare(level + 1, rows[part], parent[part] - lo, cols, of, open_)
+                if len(left[0]):
+                    self.visit(level + 1, *left)
+
+    def compare(self, level: int, rows: np.ndarray, row_of: np.ndarray, cols: np.ndarray, col_of: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes ``rows`` against ``cols`` where their parents are open; the
+        pairs that stay open."""
+        la, lb = self.level(self.a, level), self.level(self.b, level)
+        p, q = np.argsort(la["radius"][rows], kind="stable"), np.argsort(lb["radius"][cols], kind="stable")
+        rows, row_of, cols, col_of = rows[p], row_of[p], cols[q], col_of[q]
+        ra, rb, ca, cb = la["radius"][rows], lb["radius"][cols], la["centre"][rows], lb["centre"][cols]
+        cos = self.single[0][ca] @ self.single[1][cb].T
+        # nodes of about one radius have one bound
+        found = []
+        for a, b in _groups(ra):
+            for c, d in _groups(rb):
+                far = self.reach + self.slack + ra[b - 1] + rb[d - 1]
+                least = self.cosine if ra[b - 1] + rb[d - 1] == 0 else 1 - far * far / 2 if far < 2 else -2.0
+                i, j = np.nonzero(cos[a:b, c:d] >= least - self.off)
+                found.append((i + a, j + c))
+        i, j = (np.concatenate(f) for f in zip(*found, strict=True))
+        keep = open_[row_of[i], col_of[j]]
+        if self.same:
+            keep &= rows[i] <= cols[j]
+        i, j = i[keep], j[keep]
+        if self.same:
+            itself = rows[i] == cols[j]
+            u = rows[i[itself]]
+            i, j = i[~itself], j[~itself]
+            u = u[la["end"][u] - la["begin"][u] > 1]
+            whole = (la["radius"][u] == 0) | (2 * la["radius"][u] <= self.reach - self.slack)
+            self.take_inside(la, u[whole])
+            u = u[~whole]
         else:
-            self.compare(level + 1, level + 1, self.children(self.a, level, x), self.children(self.b, level, y), self.same and x == y)
-
-    def below(self, block: Block, level: int, node: int) -> np.ndarray:
-        return self.children(block, level, node) if "kids" in block.levels[level] else np.array([node])
-
-    def compare(self, m: int, n: int, xs: np.ndarray, ys: np.ndarray, itself: bool) -> None:
-        la, lb = self.a.levels[m], self.b.levels[n]
-        cb, rb = self.b.points[lb["centre"][ys]], lb["radius"][ys]
-        for lo in range(0, len(xs), _STRIP):
-            part = xs[lo:lo + _STRIP]
-            cos = self.a.points[la["centre"][part]] @ cb.T
-            ra = la["radius"][part]
-            if itself:  # each pair of children once; a child against itself below
-                cos[np.arange(lo, lo + len(part))[:, None] >= np.arange(len(ys))[None]] = -2
-            leaf = (ra == 0)[:, None] & (rb == 0)[None]
-            i, j = np.nonzero(leaf & (cos >= self.cosine))
-            if len(i):
-                self.leaves(la["begin"][part[i]], lb["begin"][ys[j]])
-            if rb.any() or ra.any():
-                near = ~leaf & (cos > -1.5)
-                i, j = np.nonzero(near)
-                d, r = np.sqrt(np.maximum(0, 2 - 2 * cos[i, j])), ra[i] + rb[j]
-                open_ = d - r <= self.reach + _SLACK
-                whole = d + r <= self.reach - _SLACK
-                for u, v in zip(part[i[whole]].tolist(), ys[j[whole]].tolist(), strict=True):
-                    self.take((la["begin"][u], la["end"][u]), (lb["begin"][v], lb["end"][v]))
-                split = open_ & ~whole
-                for u, v in zip(part[i[split]].tolist(), ys[j[split]].tolist(), strict=True):
-                    self.descend(m, n, u, v)
-        if itself:
-            for u in xs[la["radius"][xs] > 0].tolist():
-                self.visit(m, u, u)
-
-    def descend(self, m: int, n: int, x: int, y: int) -> None:
-        """Splits the nodes of a pair that can still be split."""
-        xs, ys = self.below(self.a, m, x), self.below(self.b, n, y)
-        self.compare(m + ("kids" in self.a.levels[m]), n + ("kids" in self.b.levels[n]), xs, ys, False)
-
-    def leaves(self, i: np.ndarray, j: np.ndarray) -> None:
-        np.add.at(self.links, i, self.b.copies[j])
-        np.add.at(self.links, j + self.shift, self.a.copies[i])
-        self.union(i, j + self.shift)
+            u = np.zeros(0, np.int64)
+        near, radii = cos[i, j].astype(np.float64), ra[i] + rb[j]
+        single = radii == 0
+        linked = single & (near >= self.cosine + self.off)
+        doubt = np.flatnonzero(single & ~linked & (near >= self.cosine - self.off))
+        for lo in range(0, len(doubt), _EXACT):
+            some = doubt[lo:lo + _EXACT]
+            linked[some] = np.einsum("ij,ij->i", self.a.points[ca[i[some]]], self.b.points[cb[j[some]]]) >= self.cosine
+        distance = np.sqrt(np.maximum(0, 2 - 2 * near))
+        whole = linked | (~single & (distance + radii <= self.reach - self.slack))
+        self.take(la, lb, rows[i[whole]], cols[j[whole]])
+        split = ~single & ~whole & (distance - radii <= self.reach + self.slack)
+        x, y = np.concatenate([u, rows[i[split]]]), np.concatenate([u, cols[j[split]]])
+        order = np.argsort(x, kind="stable")
+        return x[order], y[order]
 
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each class that links: class, links, a class it is joined to."""
