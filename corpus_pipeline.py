@@ -16,6 +16,8 @@ from limnos.llm.common import importable, materialize
 
 #: languages predicted with less than this are rejected
 LEAST_SCORE = 0.02
+#: near duplicates share this percentage of their shingles of so many words
+SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near duplicates stays, the least doc_id;
     of rows with that doc_id, one."""
     importable(spark)
-    groups = jaccard.components(docs.select("doc_id", "text")).filter("doc_id = component_id OR doc_id IS NULL")
+    groups = jaccard.components(docs.select("doc_id", "text"), SHINGLE_WORDS, SHINGLE_PERCENT).filter("doc_id = component_id OR doc_id IS NULL")
     kept = docs.join(groups.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi")
     return kept.dropDuplicates(["doc_id"])
 

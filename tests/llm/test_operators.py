@@ -343,3 +343,26 @@ def test_pipeline(spark):
     mixed = sum(len(WORD.findall(r["text"])) for r in kept["source_mixing"].collect())
     assert abs(mixed - 1.5 * words) <= 20
     assert docs.agg(F.sum("length")).first()[0] == sum(x[0] for x in docs.select("doc_tokens", "doc_id", "start").filter("start = 0").select("doc_tokens").collect())
+
+
+CORPUS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus(spark, rows):
+    importable(spark)
+    return spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], CORPUS).repartition(3)
+
+
+def test_pipeline_near_duplicates_share_80_percent_of_5_words(spark):
+    import corpus_pipeline
+    rng = np.random.default_rng(11)
+
+    def edited(words, n):
+        return [f"edit{i}" if i % 30 == 15 and i // 30 < n else w for i, w in enumerate(words)]
+    cut, five, six = ([f"w{x}" for x in rng.integers(10**6, size=n)] for n in (104, 230, 230))
+    rows = [(1, cut), (2, cut[:86]), (3, five), (4, edited(five, 5)), (5, six), (6, edited(six, 6))]
+    sets = {d: {tuple(w[i:i + 5]) for i in range(len(w) - 4)} for d, w in rows}
+    likeness = [len(sets[d] & sets[d + 1]) / len(sets[d] | sets[d + 1]) for d in (1, 3, 5)]
+    assert 0.8 <= likeness[0] < 0.85 and 0.8 <= likeness[1] < 0.85 and likeness[2] < 0.8
+    kept = corpus_pipeline.drop_near_duplicates(spark, corpus(spark, [(d, " ".join(w)) for d, w in rows]), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5, 6]
