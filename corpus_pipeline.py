@@ -30,12 +30,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the least doc_id;
-    of rows with that doc_id, one."""
+    """One row of each group of near duplicates stays: the least doc_id (null
+    is the largest), then the least hash of the whole row. Rows are documents
+    of their own, whatever their doc_id; a row without words stays."""
     importable(spark)
-    groups = jaccard.components(docs.select("doc_id", "text"), SHINGLE_WORDS, SHINGLE_PERCENT).filter("doc_id = component_id OR doc_id IS NULL")
-    kept = docs.join(groups.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0d]"), F.lit(False))
+    # nulls don't change the hash, so where they are is hashed too
+    row = F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())])
+    numbered = docs.filter(has_words).withColumn("__row", row)
+    name = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("__row").alias("row"))
+    # rows of measured lists have no name, so its column must allow null
+    named = numbered.select(F.when(F.col("__row").isNotNull(), name).alias("doc_id"), "text")
+    groups = jaccard.components(named, SHINGLE_WORDS, SHINGLE_PERCENT)
+    least = groups.select("component_id.row").withColumnRenamed("row", "__row").distinct()
+    # rows with one hash are equal, so one of them stays
+    kept = numbered.join(least, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    return kept.unionByName(docs.filter(~has_words))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -366,3 +366,17 @@ def test_pipeline_near_duplicates_share_80_percent_of_5_words(spark):
     assert 0.8 <= likeness[0] < 0.85 and 0.8 <= likeness[1] < 0.85 and likeness[2] < 0.8
     kept = corpus_pipeline.drop_near_duplicates(spark, corpus(spark, [(d, " ".join(w)) for d, w in rows]), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5, 6]
+
+
+def test_pipeline_keeps_a_row_of_each_component(spark):
+    """Null and repeated doc_ids: one row a component, none lost."""
+    import corpus_pipeline
+    rng = np.random.default_rng(12)
+    a, b, c, d, e, f = (" ".join(f"w{x}" for x in rng.integers(10**6, size=90)) for _ in range(6))
+    rows = [(None, a), (None, b), (None, a + " tail"), (None, None), (None, " "), (7, c), (7, d), (7, d), (3, c + " tail"), (8, e), (None, e), (8, f), (9, ""), (9, "")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, corpus(spark, rows), "")
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    first = [x for x in ((None, a), (None, a + " tail")) if got.pop(x, 0) == 1]
+    assert len(first) == 1
+    assert got == Counter([(None, b), (None, None), (None, " "), (3, c + " tail"), (7, d), (8, e), (8, f), (9, ""), (9, "")])
