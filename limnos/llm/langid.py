@@ -149,16 +149,19 @@ class Model:
 
 
 def fit(labelled: DataFrame, per_lang: int = SAMPLE) -> Model:
-    """Fits on at most ``per_lang`` rows of each value of ``lang`` (text and
-    lang not null), chosen by a hash of the text; shorter texts first."""
+    """Fits on at most ``per_lang`` distinct texts of each value of ``lang``
+    (text and lang not null), chosen by a hash of the text; shorter texts
+    first. A language with fewer texts gives all of them."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    key = F.xxhash64("text")
+    # copies are many rows of one text, so texts are counted, not rows
+    texts = rows.select("lang", key.alias("key")).distinct()
+    counts = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}
     if not counts:
         return Model([], {}, [], np.zeros((0, 0)), np.zeros(0))
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 3 * per_lang / n))).otherwise(share)
-    key = F.xxhash64("text")
     # copies of a text share a hash, so only one of them goes on
     thin = rows.filter((F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53))) < share).distinct()
     order = Window.partitionBy("lang").orderBy(F.length("text") > SAMPLE_CHARS, key, "text")

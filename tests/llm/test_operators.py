@@ -380,3 +380,15 @@ def test_pipeline_keeps_a_row_of_each_component(spark):
     first = [x for x in ((None, a), (None, a + " tail")) if got.pop(x, 0) == 1]
     assert len(first) == 1
     assert got == Counter([(None, b), (None, None), (None, " "), (3, c + " tail"), (7, d), (8, e), (8, f), (9, ""), (9, "")])
+
+
+def test_language_of_few_texts_with_many_copies(spark):
+    importable(spark)
+    few = ["der schnelle braune fuchs springt", "über den faulen hund und weiter", "sieben kleine katzen sehen zu"]
+    many = [f"the quick brown fox number {i} jumps over it" for i in range(600)]
+    rows = [(t, "de") for t in few for _ in range(4000)] + [(t, "en") for t in many]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    model = langid.fit(docs)
+    assert model.members == {"germanic": ["de", "en"]}
+    got = langid.predict(docs.distinct(), model).collect()
+    assert {r["text"] for r in got if r["lang_pred"] == "de"} == set(few)
