@@ -7,16 +7,18 @@ short lists, a similar set shares at least k. Short lists are merged and
 occurrences counted (pairs below k are out); long lists are not merged but
 probed, by binary search in the candidates' sorted sets.
 
-Sets that need long lists to fill their quota (large groups of near copies)
-are found through them: rounds link each to random members of its lists,
-then pairs that are still in different components are compared one by one
-inside their list, where bounds leave few. Only components are asked for, so
-linked sets need no more pairs. Equal sets are one class throughout.
+A set with fewer short lists than that asks for fewer shared ones, down to
+one. Only sets whose long lists alone could make them similar (large groups of
+near copies) are found through long lists, the rarest ones first: rounds link
+each to random members of its lists, then sets that are still in different
+components are compared inside their list, in blocks of bounded size that are
+joined block by block. Only components are asked for, so linked sets need no
+more pairs. Equal sets are one class throughout.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,15 @@ from pyspark.sql import types as T
 
 from limnos.llm.common import bitmap, bitmap_has, materialize, partitions
 from limnos.llm.components import connected
-from limnos.llm.words import Words, _range_hashes, shingle_sets, slices
+from limnos.llm.words import Words, _range_hashes, mix64, shingle_sets, slices
 
 #: a list with at least so many documents is long
 LONG = 64
-#: the longest lists, of those at least LONG, that are kept apart: 8 MB
+#: the longest lists, of those at least LONG, that come last in every set's
+#: order: 12 MB
 LONG_LISTS = 1 << 20
+#: sets of a list, and shingles of these, that are compared with as many others at once
+BLOCK, BLOCK_SHINGLES = 1 << 10, 1 << 20
 #: long lists in which a set meets a random member in a round
 MEETINGS = 12
 
@@ -74,6 +79,13 @@ def overlap_bound(a: bytes, b: bytes, m: int, n: int) -> int:
     return int(np.minimum(x, y.reshape(len(x), -1).sum(axis=1)).sum())
 
 
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many shingles of the smaller set are in the larger one."""
+    x, y = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum())
+
+
 def _similar(overlap, m, n, percent: int):
     return 100 * overlap >= percent * (m + n - overlap)
 
@@ -102,6 +114,8 @@ class _Lists:
 
     def __init__(self, bits: int):
         self.bits, self.long = bits, np.zeros(0, np.uint64)
+        #: places of ``long`` by length, shortest first
+        self.rank: np.ndarray | None = None
 
     def name(self, s: np.ndarray) -> np.ndarray:
         return s >> np.uint64(32 - self.bits)
@@ -110,6 +124,10 @@ class _Lists:
         at = np.searchsorted(self.long, self.name(s))
         return self.long[np.minimum(at, len(self.long) - 1)] == self.name(s) if len(self.long) else np.zeros(len(s), bool)
 
+    def rarest(self, s: np.ndarray) -> np.ndarray:
+        """Ascending shingles with long lists, those of the shortest first."""
+        return s if self.rank is None else s[np.argsort(self.rank[np.searchsorted(self.long, self.name(s))], kind="stable")]
+
 
 def _measure(docs: DataFrame, k: int, lists: _Lists) -> DataFrame:
     """Kind 0: doc_id, n, class of each row. Kind 1: names of lists, ascending,
@@ -153,91 +171,108 @@ def _long_lists(measured: DataFrame, lists: _Lists) -> np.ndarray:
     n = partitions(measured)
     dealt = measured.filter("kind = 1").select("piece", "blob").repartition(n, "piece").sortWithinPartitions("piece")
     longest = dealt.mapInArrow(run, "name long, n long").orderBy(F.desc("n"), "name").limit(LONG_LISTS)
-    return np.sort(longest.select("name").toArrow().column(0).to_numpy().astype(np.uint64))
+    found = longest.toArrow()
+    name, size = found.column("name").to_numpy().astype(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(name)
+    lists.rank = np.empty(len(name), np.uint32)
+    lists.rank[np.lexsort((name[order], size[order]))] = np.arange(len(name))
+    return name[order]
 
 
 def _post(docs: DataFrame, k: int, percent: int, lists: _Lists, pieces: int) -> DataFrame:
-    """Kind 0: for a piece, first shingles from short lists with class and size.
+    """Kind 0: for a piece, first shingles from short lists with class, size and
+    how many of them a similar set shares (255 stands for more).
     Kind 1: a class's size and profile, and its first shingles from long lists
     (classes once a slice)."""
     shared = docs.sparkSession.sparkContext.broadcast(lists)
 
     def run(batches):
         for _, sets, classes in _sized(batches, k):
-            short, owner, size, rows = [], [], [], []
+            short, owner, size, need, rows = [], [], [], [], []
             _, once = np.unique(classes, return_index=True)
             for i in once.tolist():
                 s = sets[i]
                 n = len(s)
                 if not n:
                     continue
-                quota = n - least_overlap(n, percent) + needed(n, percent)
                 far = shared.value.is_long(s)
-                near = s[~far][:quota]
-                more = s[far][:quota - len(near)]
+                near, spare, times = s[~far], n - least_overlap(n, percent), needed(n, percent)
+                # a similar set lacks ``spare`` of the shingles at most
+                if len(near) > spare:
+                    times = min(times, len(near) - spare)
+                near = near[:spare + times]
+                more = shared.value.rarest(s[far])[:spare + times - len(near)]
                 short.append(near)
+                need.append(np.full(len(near), min(times, 255), np.uint8))
                 owner.append(np.full(len(near), classes[i]))
                 size.append(np.full(len(near), n))
-                rows.append((1, -1, int(classes[i]), n, more.astype("<u8").tobytes(), profile(s), None))
+                rows.append((1, -1, int(classes[i]), n, more.astype("<u8").tobytes(), profile(s), None, None))
             if short:
-                s, o, n = np.concatenate(short), np.concatenate(owner), np.concatenate(size)
+                s, o, n, k_ = np.concatenate(short), np.concatenate(owner), np.concatenate(size), np.concatenate(need)
                 piece = (s % np.uint64(pieces)).astype(np.int64)
                 order = np.argsort(piece, kind="stable")
                 ends = np.searchsorted(piece[order], np.arange(pieces + 1))
                 for p, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
                     if z > a:
                         at = order[a:z]
-                        rows.append((0, p, None, None, s[at].astype("<u8").tobytes(), o[at].astype("<i8").tobytes(), n[at].astype("<u4").tobytes()))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["kind", "piece", "class", "n", "shingles", "other", "sizes"])
-    return docs.select("text").mapInArrow(run, "kind int, piece int, class long, n long, shingles binary, other binary, sizes binary")
+                        rows.append((0, p, None, None, s[at].astype("<u8").tobytes(), o[at].astype("<i8").tobytes(), n[at].astype("<u4").tobytes(), k_[at].tobytes()))
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["kind", "piece", "class", "n", "shingles", "other", "sizes", "needs"])
+    return docs.select("text").mapInArrow(run, "kind int, piece int, class long, n long, shingles binary, other binary, sizes binary, needs binary")
 
 
-def _merge(posted: DataFrame, percent: int, pieces: int) -> DataFrame:
-    """a, b, times, need: pairs of classes and how often they meet in a short
-    list, a piece at a time."""
+def _merged(posted: DataFrame, pieces: int, each: Callable, schema: str) -> DataFrame:
+    """``each`` of a piece's postings: shingles, classes, sizes, needs, sorted
+    and distinct, and the first place and length of each list."""
     def run(batches):
         current, held = None, []
 
-        def pairs():
-            s, o, n = (np.concatenate([np.frombuffer(r[i], t) for r in held]) for i, t in ((0, "<u8"), (1, "<i8"), (2, "<u4")))
+        def lists():
+            s, o, n, k = (np.concatenate([np.frombuffer(r[i], t) for r in held]) for i, t in enumerate(("<u8", "<i8", "<u4", "u1")))
             order = np.lexsort((o, s))
-            s, o, n = s[order], o[order], n[order].astype(np.int64)
+            s, o, n, k = s[order], o[order], n[order].astype(np.int64), k[order]
             fresh = np.ones(len(s), bool)
             fresh[1:] = (s[1:] != s[:-1]) | (o[1:] != o[:-1])
-            s, o, n = s[fresh], o[fresh], n[fresh]
+            s, o, n, k = s[fresh], o[fresh], n[fresh], k[fresh]
             head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            length = np.diff(np.append(head, len(s)))
-            a, b = [], []
-            for m in np.unique(length[length > 1]).tolist():
-                x, y = np.triu_indices(m, 1)
-                first = head[length == m]
-                step = max(1, (1 << 20) // len(x))
-                for lo in range(0, len(first), step):
-                    i, j = (first[lo:lo + step, None] + x).ravel(), (first[lo:lo + step, None] + y).ravel()
-                    fit = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-                    a.append(i[fit])
-                    b.append(j[fit])
-            if not a:
-                return
-            i, j = np.concatenate(a), np.concatenate(b)
-            x, y, need = o[i], o[j], needed(np.minimum(n[i], n[j]), percent)
-            order = np.lexsort((y, x))
-            x, y, need = x[order], y[order], need[order]
-            head = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x[head]), pa.array(y[head]), pa.array(np.diff(np.append(head, len(x)))), pa.array(need[head])], ["a", "b", "times", "need"])
+            return each(s, o, n, k, head, np.diff(np.append(head, len(s))))
         for batch in batches:
-            for piece, *row in zip(*[batch.column(c).to_pylist() for c in ("piece", "shingles", "other", "sizes")], strict=True):
+            for piece, *row in zip(*[batch.column(c).to_pylist() for c in ("piece", "shingles", "other", "sizes", "needs")], strict=True):
                 if piece != current and held:
-                    yield from pairs()
+                    yield from lists()
                     held = []
                 current = piece
                 held.append(row)
         if held:
-            yield from pairs()
-    dealt = posted.filter("kind = 0").select("piece", "shingles", "other", "sizes").repartition(pieces, "piece").sortWithinPartitions("piece")
-    met = dealt.mapInArrow(run, "a long, b long, times long, need long")
+            yield from lists()
+    dealt = posted.filter("kind = 0").select("piece", "shingles", "other", "sizes", "needs").repartition(pieces, "piece").sortWithinPartitions("piece")
+    return dealt.mapInArrow(run, schema)
+
+
+def _merge(posted: DataFrame, percent: int, pieces: int) -> DataFrame:
+    """a, b: pairs of classes that meet often enough in short lists, a piece at
+    a time."""
+    def pairs(s, o, n, k, head, length):
+        a, b = [], []
+        for m in np.unique(length[length > 1]).tolist():
+            x, y = np.triu_indices(m, 1)
+            first = head[length == m]
+            step = max(1, (1 << 20) // len(x))
+            for lo in range(0, len(first), step):
+                i, j = (first[lo:lo + step, None] + x).ravel(), (first[lo:lo + step, None] + y).ravel()
+                fit = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                a.append(i[fit])
+                b.append(j[fit])
+        if not a:
+            return
+        i, j = np.concatenate(a), np.concatenate(b)
+        x, y, need = o[i], o[j], np.minimum(k[i], k[j]).astype(np.int64)
+        order = np.lexsort((y, x))
+        x, y, need = x[order], y[order], need[order]
+        head = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x[head]), pa.array(y[head]), pa.array(np.diff(np.append(head, len(x)))), pa.array(need[head])], ["a", "b", "times", "need"])
+    met = _merged(posted, pieces, pairs, "a long, b long, times long, need long")
     return met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).filter("times >= need").select("a", "b")
 
 
@@ -263,47 +298,86 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             keep = []
             for p, q in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
-                x, y = sorted((np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")), key=len)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                keep.append(_similar(int((y[at] == x).sum()), len(x), len(y), percent))
+                x, y = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
+                keep.append(_similar(_overlap(x, y), len(x), len(y), percent))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _dealt(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows with the block pairs that they belong to: block (its list and two
+    block numbers) and side (0, 1, or 2 for both). A list that is too large for
+    a block is divided into bands of sizes, of which only neighbours can hold
+    similar sets, and these by a hash into blocks of bounded size."""
+    ratio = float(np.log(100.01 / percent))
+    sized = rows.select("list", "n", F.floor(F.log("n") / F.lit(ratio)).alias("band"))
+    bands = sized.groupBy("list", "band").agg(F.count("n").alias("m"), F.sum("n").alias("w"))
+    lists = bands.groupBy("list").agg(F.sum("m").alias("m"), F.sum("w").alias("w"), F.collect_list(F.struct("band", "m", "w")).alias("bands"))
+    large = lists.filter((F.col("m") > BLOCK) | ((F.col("w") > BLOCK_SHINGLES) & (F.col("m") > 1))).select("list", "bands").collect()
+    plan = {r["list"]: {b["band"]: max(-(-b["m"] // BLOCK), -(-b["w"] // BLOCK_SHINGLES)) for b in r["bands"]} for r in large}
+    shared = rows.sparkSession.sparkContext.broadcast(plan)
+
+    def deal(batches):
+        for b in batches:
+            row, block, side = [], [], []
+            for i, (name, class_, band) in enumerate(zip(*[b.column(c).to_pylist() for c in ("list", "class", "band")], strict=True)):
+                of = shared.value.get(name)
+                if of is None:
+                    row.append(i)
+                    block.append(f"{name}")
+                    side.append(2)
+                    continue
+                own = int(mix64(np.array([class_], np.int64).view(np.uint64))[0] % np.uint64(of[band]))
+                places = [(band, j) for j in range(of[band])]
+                places += [(near, j) for near in (band - 1, band + 1) for j in range(of.get(near, 0))]
+                for other in places:
+                    row.append(i)
+                    lo, hi = sorted(((band, own), other))
+                    block.append(f"{name} {lo[0]}.{lo[1]} {hi[0]}.{hi[1]}")
+                    side.append(2 if lo == hi else int((band, own) == hi))
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.string()), pa.array(side, pa.int32()), *[b.column(c).take(pa.array(row, pa.int64())) for c in names]], ["block", "side", *names])
+    names = rows.columns
+    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("side", T.IntegerType()), *rows.schema])
+    return rows.withColumn("band", F.floor(F.log("n") / F.lit(ratio))).mapInArrow(deal, schema)
+
+
 def _within_lists(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list's classes in different components that sizes and
-    profiles allow. A pair that shares several long lists is found in the
+    """Links between a list's classes in different components, as many as
+    connect them. A pair that shares several long lists is looked at in the
     first of them alone. Rows: list, class, component, n, profile, all (the
-    class's long lists, ascending)."""
+    class's long lists), shingles."""
     def run(batches):
         current, held = None, []
 
         def compare():
-            held.sort(key=lambda r: r[2])
-            size = np.array([r[2] for r in held])
-            part = np.array([r[1] for r in held])
-            own = [set(np.frombuffer(r[4], "<u8").tolist()) for r in held]
+            held.sort(key=lambda r: (r[3], r[1]))
+            size = np.array([r[3] for r in held])
+            part = np.unique([r[2] for r in held], return_inverse=True)[1]
+            side = np.array([r[6] for r in held])
+            own = [set(np.frombuffer(r[5], "<u8").tolist()) for r in held]
+            sets = [np.frombuffer(r[7], "<u8") for r in held]
             bins = np.array([1 << max(4, (int(n) // 4).bit_length()) for n in size])
             folded: dict[int, tuple[int, np.ndarray]] = {}
-            first = current % (1 << 64)
+            first = held[0][0] % (1 << 64)
             a, b = [], []
             for i in range(len(held)):
-                if bins[i] not in folded:  # profiles of this and larger sets, by as many bins as this one's
-                    rows = [np.frombuffer(r[3], "u1" if len(r[3]) == k else "<u4").reshape(bins[i], -1).sum(axis=1) for r, k in zip(held[i:], bins[i:].tolist(), strict=True)]
-                    folded[bins[i]] = i, np.stack(rows).astype(np.uint32)
-                base, matrix = folded[bins[i]]
                 end = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
-                other = i + 1 + np.flatnonzero(part[i + 1:end] != part[i])
+                other = i + 1 + np.flatnonzero((part[i + 1:end] != part[i]) & ((side[i + 1:end] != side[i]) | (side[i] == 2)))
                 if not len(other):
                     continue
+                if bins[i] not in folded:  # profiles of this and larger sets, by as many bins as this one's
+                    rows = [np.frombuffer(r[4], "u1" if len(r[4]) == k else "<u4").reshape(bins[i], -1).sum(axis=1) for r, k in zip(held[i:], bins[i:].tolist(), strict=True)]
+                    folded[bins[i]] = i, np.stack(rows).astype(np.uint32)
+                base, matrix = folded[bins[i]]
                 bound = np.minimum(matrix[i - base], matrix[other - base]).sum(axis=1, dtype=np.int64)
                 for j in other[_similar(np.minimum(bound, size[i]), size[i], size[other], percent)].tolist():
-                    if min(own[i] & own[j]) == first:
-                        a.append(held[i][0])
-                        b.append(held[j][0])
+                    if part[i] != part[j] and min(own[i] & own[j], default=-1) == first and _similar(_overlap(sets[i], sets[j]), size[i], size[j], percent):
+                        a.append(held[i][1])
+                        b.append(held[j][1])
+                        part[part == part[j]] = part[i]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         for batch in batches:
-            for name, *row in zip(*[batch.column(c).to_pylist() for c in ("list", "class", "component", "n", "profile", "all")], strict=True):
+            for name, *row in zip(*[batch.column(c).to_pylist() for c in ("block", "list", "class", "component", "n", "profile", "all", "side", "shingles")], strict=True):
                 if name != current and held:
                     yield compare()
                     held = []
@@ -312,7 +386,7 @@ def _within_lists(rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield compare()
     n = partitions(rows)
-    return rows.repartition(n, "list").sortWithinPartitions("list").mapInArrow(run, "a long, b long")
+    return _dealt(rows, percent).repartition(n, "block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -353,9 +427,16 @@ def _through_long_lists(info: DataFrame, sets: DataFrame, edges: DataFrame, perc
         pairs = met.select(F.least("class", "leader.class").alias("a"), F.greatest("class", "leader.class").alias("b")).distinct()
         found = _verified(_bounded(pairs, info, percent), sets, percent)
         edges = materialize(edges.unionByName(found), "edges")
-    wide = rows.join(users.select("class", "n", "profile", F.col("shingles").alias("all")), "class")
-    left = _within_lists(wide.select("list", "class", "component", "n", "profile", "all"), percent)
-    return edges.unionByName(_verified(materialize(left, "pairs"), sets, percent))
+    every = members.groupBy("class").agg(F.collect_list("list").alias("lists")).mapInArrow(_packed, "class long, all binary")
+    wide = rows.join(info.select("class", "n", "profile").join(every, "class").join(sets, "class"), "class")
+    left = _within_lists(wide.select("list", "class", "component", "n", "profile", "all", "shingles"), percent)
+    return edges.unionByName(left)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        blobs = [np.array(x, "<i8").tobytes() for x in b.column("lists").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("class"), pa.array(blobs, pa.binary())], ["class", "all"])
 
 
 def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:

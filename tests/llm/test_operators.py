@@ -392,3 +392,31 @@ def test_language_of_few_texts_with_many_copies(spark):
     assert model.members == {"germanic": ["de", "en"]}
     got = langid.predict(docs.distinct(), model).collect()
     assert {r["text"] for r in got if r["lang_pred"] == "de"} == set(few)
+
+
+def test_templated_documents_need_no_long_list(spark, monkeypatch):
+    """44 shared shingles and 8 of their own: short lists decide, so nobody
+    takes a long one."""
+    importable(spark)
+    rng = np.random.default_rng(13)
+    template = [f"t{i}" for i in range(47)]
+    rows = [(i, " ".join([*template, *(f"u{x}" for x in rng.integers(10**9, size=8))])) for i in range(300)]
+    docs, _ = table(spark, rows + [(400, rows[7][1] + " more")])
+    posts, post = [], jaccard._post
+    monkeypatch.setattr(jaccard, "_post", lambda *a: posts.append(post(*a)) or posts[-1])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.components(docs).collect()}
+    assert got == {**{i: i for i in range(300)}, 400: 7}
+    assert posts[0].filter("kind = 1 AND length(shingles) > 0").count() == 0
+
+
+def test_long_lists_in_blocks(spark, monkeypatch):
+    """Sets of a list compared in blocks of four."""
+    monkeypatch.setattr(jaccard, "LONG", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "MEETINGS", 0)
+    docs, rows = table(spark)
+    dealt, deal = [], jaccard._dealt
+    monkeypatch.setattr(jaccard, "_dealt", lambda *a: dealt.append(deal(*a)) or dealt[-1])
+    got = jaccard.components(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_components(rows)
+    assert max(r["count"] for r in dealt[0].groupBy("block").count().collect()) < 25
