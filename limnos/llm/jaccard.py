@@ -33,7 +33,7 @@ from limnos.llm.words import Words, _range_hashes, mix64, shingle_sets, slices
 #: a list with at least so many documents is long
 LONG = 64
 #: the longest lists, of those at least LONG, that come last in every set's
-#: order: 12 MB
+#: order: 12 MB; others of LONG and more are found while short ones are merged
 LONG_LISTS = 1 << 20
 #: sets of a list, and shingles of these, that are compared with as many others at once
 BLOCK, BLOCK_SHINGLES = 1 << 10, 1 << 20
@@ -251,11 +251,13 @@ def _merged(posted: DataFrame, pieces: int, each: Callable, schema: str) -> Data
 
 
 def _merge(posted: DataFrame, percent: int, pieces: int) -> DataFrame:
-    """a, b: pairs of classes that meet often enough in short lists, a piece at
-    a time."""
+    """a, b: pairs of classes that meet often enough in lists of fewer than
+    LONG, a piece at a time."""
+    most = LONG
+
     def pairs(s, o, n, k, head, length):
         a, b = [], []
-        for m in np.unique(length[length > 1]).tolist():
+        for m in np.unique(length[(length > 1) & (length < most)]).tolist():
             x, y = np.triu_indices(m, 1)
             first = head[length == m]
             step = max(1, (1 << 20) // len(x))
@@ -276,6 +278,17 @@ def _merge(posted: DataFrame, percent: int, pieces: int) -> DataFrame:
     return met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).filter("times >= need").select("a", "b")
 
 
+def _crowded(posted: DataFrame, pieces: int) -> DataFrame:
+    """list, class: members of lists that _merge leaves out, there only if
+    there are more than LONG_LISTS long ones."""
+    least = LONG
+
+    def members(s, o, n, k, head, length):
+        long = np.repeat(length >= least, length)
+        yield pa.RecordBatch.from_arrays([pa.array(s[long].view(np.int64)), pa.array(o[long])], ["list", "class"])
+    return _merged(posted, pieces, members, "list long, class long")
+
+
 def _bounded(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """The pairs whose profiles allow them to be similar."""
     def side(c):
@@ -394,7 +407,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(named, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
-def _through_long_lists(info: DataFrame, sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+def _through_long_lists(info: DataFrame, crowded: DataFrame | None, sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     """``edges`` with those added that components need and only long lists
     show."""
     def explode(batches):
@@ -404,7 +417,8 @@ def _through_long_lists(info: DataFrame, sets: DataFrame, edges: DataFrame, perc
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat), b.column("class").take(row)], ["list", "class"])
     users = info.filter(F.length("shingles") > 0)
-    members = materialize(users.select("class", "shingles").mapInArrow(explode, "list long, class long"), "members")
+    members = users.select("class", "shingles").mapInArrow(explode, "list long, class long")
+    members = materialize(members if crowded is None else members.unionByName(crowded), "members")
     if members.isEmpty():
         return edges
     open_before = None
@@ -459,7 +473,9 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     info = posted.filter("kind = 1").select("class", "n", "shingles", F.col("other").alias("profile")).dropDuplicates(["class"])
     info = materialize(info, "classes")
     pairs = materialize(_bounded(_merge(posted, percent, pieces), info, percent), "pairs")
+    crowded = materialize(_crowded(posted, pieces), "crowded") if len(lists.long) >= LONG_LISTS else None
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(info.filter(F.length("shingles") > 0).select("class"))
+    wanted = wanted if crowded is None else wanted.union(crowded.select("class"))
     filter_ = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
 
     def gather(batches):
@@ -469,7 +485,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(classes[once]), pa.array([sets[i].astype("<u8").tobytes() for i in once], pa.binary())], ["class", "shingles"])
     sets = materialize(docs.select("text").mapInArrow(gather, "class long, shingles binary").dropDuplicates(["class"]), "sets")
     edges = materialize(_verified(pairs, sets, percent), "edges")
-    labels = connected(_through_long_lists(info, sets, edges, percent))
+    labels = connected(_through_long_lists(info, crowded, sets, edges, percent))
     rows = _labelled(measured.filter("kind = 0").select("doc_id", "n", "class"), labels)
     least = rows.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "component", "left")

@@ -409,14 +409,19 @@ def test_templated_documents_need_no_long_list(spark, monkeypatch):
     assert posts[0].filter("kind = 1 AND length(shingles) > 0").count() == 0
 
 
-def test_long_lists_in_blocks(spark, monkeypatch):
-    """Sets of a list compared in blocks of four."""
+@pytest.mark.parametrize("longest", [1 << 20, 3])
+def test_long_lists_in_blocks(spark, monkeypatch, longest):
+    """Sets of a list compared in blocks of four; with three long lists kept
+    apart the others are still not merged pair by pair."""
     monkeypatch.setattr(jaccard, "LONG", 4)
+    monkeypatch.setattr(jaccard, "LONG_LISTS", longest)
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     monkeypatch.setattr(jaccard, "MEETINGS", 0)
     docs, rows = table(spark)
-    dealt, deal = [], jaccard._dealt
+    merged, dealt, merge, deal = [], [], jaccard._merged, jaccard._dealt
+    monkeypatch.setattr(jaccard, "_merged", lambda *a: merged.append(merge(*a)) or merged[-1])
     monkeypatch.setattr(jaccard, "_dealt", lambda *a: dealt.append(deal(*a)) or dealt[-1])
     got = jaccard.components(docs).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_components(rows)
+    assert len(merged) == (2 if longest == 3 else 1)
     assert max(r["count"] for r in dealt[0].groupBy("block").count().collect()) < 25
