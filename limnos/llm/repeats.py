@@ -5,8 +5,8 @@ it is. Level 1 looks at 7-word windows, and of those only at the one with the
 least hash in each 13-word window: equal windows pick equal ones, and
 neighbours mostly pick the same. Windows that hold one found in no other
 document are out. Level 2 doubles the length of what survives, up to 13
-words, and finds the least document of each. ``longer_repeats`` goes on
-doubling until no candidate survives.
+words, and finds the least document of each. Doubling ends there: windows of
+more words cannot change which words go.
 
 A level is an exchange: each task sends every distinct key once, with one
 document to answer to, to the task that owns the key, and is told which keys
