@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm import chat, covertree, jaccard, langid, lm, merkle, mixing, packing, repeats, secrets
+from limnos.llm import chat, covertree, fim, jaccard, langid, lm, merkle, mixing, negatives, packing, quality, repeats, secrets
 from limnos.llm.common import importable
 
 
@@ -68,8 +68,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    model = quality.fit(docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    return quality.predict(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_embedding_neardup, op2_ngram_jaccard, op3_mixture_packing, op4_fair_mixing, op5_chat_formatting, op6_merkle_fingerprint, op7_context_mixing, op8_secret_scan, op9_language_id, op10_substring_dedup)}
+    op1_embedding_neardup, op2_ngram_jaccard, op3_mixture_packing, op4_fair_mixing, op5_chat_formatting, op6_merkle_fingerprint, op7_context_mixing, op8_secret_scan, op9_language_id, op10_substring_dedup,
+    op11_bond_negatives, op12_quality_cnn, op13_fill_in_middle)}
 
 ORACLE: dict[str, str] = {
     "op4_fair_mixing": r"""
@@ -93,4 +111,38 @@ queue AS (
 SELECT doc_id, size, source_size, round(target, 6) AS target,
   (greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - source_size - before)))::BIGINT AS taken
 FROM queue""",
+    "op11_bond_negatives": r"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r AND len(a.v) = len(b.v)),
+positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, r) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+  row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.vec_id NULLS LAST, n.r)::INTEGER AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor = n.anchor AND NOT n.same AND 100 * n.score BETWEEN 30 * p.score AND 90 * p.score
+QUALIFY rank <= 10""",
+    "op13_fill_in_middle": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents),
+c AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS y,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+         WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+p AS (
+  SELECT *, coalesce(array_to_string(u[1:least(x, y)], ''), '') AS prefix,
+    coalesce(array_to_string(u[least(x, y) + 1:greatest(x, y)], ''), '') AS middle, coalesce(array_to_string(u[greatest(x, y) + 1:], ''), '') AS suffix
+  FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+         ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p""",
 }
