@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from limnos.llm.common import materialize, partitions
 
-#: components that a block holds, about (4 bytes each); at least one row
-BLOCK_COMPONENTS = 1 << 23
+#: components that a block holds, at most and at least, about (4 bytes each)
+BLOCK_COMPONENTS, LEAST_COMPONENTS = 1 << 23, 1 << 18
 #: columns read between two prunings of the bitmap
 STRIDE = 8
 
@@ -175,8 +175,11 @@ def mine(rows: DataFrame, is_anchor, positives: int = 5, k: int = 10, percent: t
     """
     marked = rows.select("vec_id", "label", "embedding", F.coalesce(is_anchor, F.lit(False)).alias("__anchor"))
     own = materialize(_numbered(marked, scale), "vectors")
-    size = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("__v")), F.lit(1)).alias("dims")).first()
-    blocks = max(partitions(rows), -(-size["n"] * max(1, size["dims"]) // BLOCK_COMPONENTS))
+    size = own.agg(F.count(F.lit(1)).alias("n"), F.count_if("__anchor").alias("anchors"), F.coalesce(F.max(F.size("__v")), F.lit(1)).alias("dims")).first()
+    components = size["n"] * max(1, size["dims"])
+    # more blocks than memory asks for, for the sake of parallel work, as long as copies of anchors are fewer than rows
+    spread = min(partitions(rows), components // LEAST_COMPONENTS, size["n"] // max(1, size["anchors"]))
+    blocks = max(1, spread, -(-components // BLOCK_COMPONENTS))
     anchors = own.filter("__anchor").select("__row", "__id", "__label", "__v")
     wide = anchors.select("__row", "__label", "__v", F.array(F.lit(-(1 << 62))).alias("__lo"), F.array(F.lit(1 << 62)).alias("__hi"))
     near = _first(_scan_blocks(own, wide, blocks, positives, same=True), positives, ["anchor"])
