@@ -238,11 +238,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
     known = labels.filter(F.col("quality").isNotNull()).select("doc_id", (F.col("quality") > 0).cast("int").alias("__q"))
     keyed = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("__key"))
     texts = keyed.join(known, "doc_id").groupBy("__key").agg((F.avg("__q") >= 0.5).cast("int").alias("__q"))
-    order = Window.partitionBy("__q").orderBy(F.xxhash64("__key"), "__key")
-    picked = texts.withColumns({"__at": F.row_number().over(order)}).filter(F.col("__at") <= per_class)
+    texts = materialize(texts.withColumn("__hash", F.xxhash64("__key")), "labelled")
     count = {r["__q"]: r["count"] for r in texts.groupBy("__q").count().collect()}
     if len(count) < 2:
         return Model({}, float(next(iter(count), 0.5)))
+    # about three times as many as are wanted are ranked, so no task ranks a class
+    share = {c: min(1.0, (3 * per_class + 50) / n) for c, n in count.items()}
+    thin = texts.filter((F.shiftrightunsigned("__hash", 11) / F.lit(float(1 << 53))) < F.when(F.col("__q") == 1, share[1]).otherwise(share[0]))
+    order = Window.partitionBy("__q").orderBy("__hash", "__key")
+    picked = thin.withColumn("__at", F.row_number().over(order)).filter(F.col("__at") <= per_class)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
