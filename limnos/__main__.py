@@ -1,8 +1,8 @@
 """Command-line jobs (spark-submit -m style entry point).
 
-  python -m limnos prepare  --water W.csv [--climate C.csv] --out DIR [--sentinel -999]
+  python -m limnos prepare  --water W.csv [--climate C.csv] --out DIR [--sentinel -999] [--report DIR]
   python -m limnos features --prepared DIR --out DIR [--target WQI]
-  python -m limnos train    --samples DIR --out DIR [--trials 3]
+  python -m limnos train    --samples DIR --out DIR [--trials N] [--scaler DIR] [--features A,B] [--models reuse|replace]
   python -m limnos profile  --table DIR --out DIR
 
 Inputs are CSV (header row) or Parquet folders; outputs are Parquet / JSON
@@ -29,10 +29,15 @@ def _read(spark, path: str):
 
 def cmd_prepare(spark, a):
     from pyspark.sql.types import NumericType
+    from limnos.plans.cleaning import clean_raw, full_report
     from limnos.plans.prepare import canonicalise, prepare
     sent = [a.sentinel] if a.sentinel is not None else None
-    water = canonicalise(_read(spark, a.water), sentinels=sent)
-    measures = [f.name for f in water.schema.fields if isinstance(f.dataType, NumericType)]
+    cleaned = clean_raw(_read(spark, a.water), sentinels=sent)
+    water, measures = cleaned.table, cleaned.measures
+    print(" ".join(f"{k}={v}" for k, v in cleaned.totals.items()))
+    if a.report:
+        full_report(cleaned, a.constant).write.mode("overwrite").json(a.report + "/report")
+        cleaned.quarantine.write.mode("overwrite").json(a.report + "/quarantine")
     climate, cm = None, None
     if a.climate:
         climate = canonicalise(_read(spark, a.climate), sentinels=sent).drop("location")
@@ -56,12 +61,20 @@ def cmd_features(spark, a):
 def cmd_train(spark, a):
     from pyspark.sql import functions as F
     from limnos.plans import training as tr
-    from limnos.sources.files import read_samples
+    from limnos.operators.common import materialize
+    from limnos.plans.store import ModelStore
+    from limnos.sources.documents import write_model_documents
+    from limnos.sources.files import read_samples, read_stats
     s = read_samples(spark, a.samples).withColumn("x", F.col("x").cast("array<array<double>>")) \
         .withColumn("y", F.col("y").cast("double"))
-    metrics, trials, _best = tr.tune_and_compare(tr.training_table(s), n_trials=a.trials)
+    scaler = [tuple(r) for r in read_stats(spark, a.scaler).orderBy("column").collect()] if a.scaler else None  # a row a column
+    shape = s.select(F.size("x").alias("steps"), F.size(F.element_at("x", 1)).alias("features")).first()
+    manifest = {"steps": shape["steps"], "features": a.features.split(",") if a.features else shape["features"], "scaler": scaler}
+    metrics, trials, best = tr.tune_and_compare(tr.training_table(s), n_trials=a.trials, folder=a.out + "/search", store=ModelStore(spark, a.out + "/models"),
+                                                manifest=manifest, mode=a.models)
+    metrics = materialize(metrics, "metrics")
     metrics.write.mode("overwrite").json(a.out + "/metrics")
-    tr.comparison_json(metrics).write.mode("overwrite").text(a.out + "/comparison")
+    write_model_documents(tr.model_results(metrics, best), a.out + "/documents")
     trials.write.mode("overwrite").json(a.out + "/trials")
 
 
@@ -86,6 +99,7 @@ def main(argv=None):
     pp.add_argument("--climate")
     pp.add_argument("--out", required=True)
     pp.add_argument("--sentinel", type=float)
+    pp.add_argument("--report")
     pp.add_argument("--constant", choices=["keep", "drop"], default="keep")
     pf_ = sub.add_parser("features")
     pf_.add_argument("--prepared", required=True)
@@ -94,7 +108,10 @@ def main(argv=None):
     pt = sub.add_parser("train")
     pt.add_argument("--samples", required=True)
     pt.add_argument("--out", required=True)
-    pt.add_argument("--trials", type=int, default=3)
+    pt.add_argument("--trials", type=int)
+    pt.add_argument("--scaler")
+    pt.add_argument("--features")
+    pt.add_argument("--models", choices=["reuse", "replace"], default="reuse")
     pr = sub.add_parser("profile")
     pr.add_argument("--table", required=True)
     pr.add_argument("--out", required=True)

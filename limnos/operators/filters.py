@@ -15,11 +15,6 @@ def drop_null_time(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     return df.where(col_of(ts).isNotNull())
 
 
-def rejected_time_rows(df: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """C01 side table: the rows C01 drops (count them with ``.count()``)."""
-    return df.where(col_of(ts).isNull())
-
-
 def drop_null_location(df: DataFrame, key: str = "location") -> DataFrame:
     """Drop rows without a location."""
     return df.where(col_of(key).isNotNull())

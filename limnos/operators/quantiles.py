@@ -16,16 +16,27 @@ from pyspark.sql import functions as F
 from limnos.operators.common import as_list, materialize, q, stats_join
 
 
+def value_counts(df: DataFrame, keys, value: str) -> DataFrame:
+    """(keys, _x, _c, _range): how often each value occurs in each group (NULLs
+    ignored), range-sorted by key and value and written once."""
+    named = [F.col(q(k)) for k in as_list(keys)]
+    d = df.select(*named, F.col(q(value)).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = d.groupBy(*named, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    return materialize(counts.repartitionByRange(parts, *named, "_x").withColumn("_range", F.spark_partition_id()), "value_counts")
+
+
 def exact_quantiles(df: DataFrame, keys, value: str, probs: list[float], out: str = "q") -> DataFrame:
     """Per group of ``keys``: array ``out`` of exact quantiles of ``value``
     (NULLs ignored) at ``probs``, interpolated as DuckDB ``quantile_cont`` and
     pandas ``quantile`` do. Also returns ``n``. A NULL key is a group."""
+    return quantiles_of(value_counts(df, keys, value), keys, probs, out)
+
+
+def quantiles_of(ranged: DataFrame, keys, probs: list[float], out: str = "q") -> DataFrame:
+    """``exact_quantiles`` of a table of ``value_counts``."""
     keys = as_list(keys)
     named = [F.col(q(k)) for k in keys]
-    d = df.select(*named, F.col(q(value)).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = d.groupBy(*named, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    ranged = materialize(counts.repartitionByRange(parts, *named, "_x").withColumn("_range", F.spark_partition_id()), "value_counts")
     totals = ranged.groupBy(*named, "_range").agg(F.sum("_c").alias("_t"))
     key_window = Window.partitionBy(*named)
     offsets = totals.select(

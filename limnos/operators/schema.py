@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from limnos.functions.constants import (FEATURE_SETS, LOCATION_CANDIDATES, TIME_CANDIDATES,
                                         WINDOW_SIZE_RECOMMENDED)
 from limnos.functions.exprs import col_of, to_double
-from limnos.operators.common import attach_row, numeric_columns
+from limnos.operators.common import numeric_columns
+from limnos.operators.dates import elected_time
 from limnos.operators.timeseries import number_rows_global
 
 
@@ -46,11 +47,13 @@ DATE_FORMATS = ("M/d/yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "d-MMM-yyyy", "M
 
 
 def canonical_time(df: DataFrame, ts_col: str | None = None, out: str = "timestamp",
-                   as_date: bool = False, formats=DATE_FORMATS) -> DataFrame:
+                   as_date: bool = False, formats=DATE_FORMATS, elect: bool = False) -> DataFrame:
     """Derive one time column. Priority: YEAR+MONTH (first of the
     month; out-of-range parts give NULL) -> Date -> date -> datetime -> time
-    -> ``ts_col``. Text is read as ISO 8601, else by the first of
-    ``formats`` that fits, else it becomes NULL; source columns are dropped."""
+    -> ``ts_col``. With ``elect`` the whole text column takes the one format
+    that reads most of it (``dates.elected_time``); else each text is read as
+    ISO 8601 or by the first of ``formats`` that fits. What can't be read
+    becomes NULL; source columns are dropped."""
     cols = set(df.columns)
     if {"YEAR", "MONTH"} <= cols:
         y, m = to_double("YEAR").cast("int"), to_double("MONTH").cast("int")
@@ -65,12 +68,14 @@ def canonical_time(df: DataFrame, ts_col: str | None = None, out: str = "timesta
     dt = df.schema[src].dataType
     if isinstance(dt, (TimestampNTZType, TimestampType, DateType)):
         t = col_of(src).cast("timestamp_ntz")
+    elif elect:
+        df, t = elected_time(df, src, "__read"), F.col("__read")
     else:
         text = F.trim(col_of(src).cast("string"))
         t = F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
         t = t.cast("timestamp_ntz")
     t = t.cast("date") if as_date else t
-    res = df.withColumn("__t", t)
+    res = df.withColumn("__t", t).drop("__read")
     if src != out:
         res = res.drop(src)
     return res.withColumnRenamed("__t", out)
@@ -110,12 +115,9 @@ def scaling_metadata(df: DataFrame, method: str = "MinMaxScaler_0_to_1") -> Data
     return df.withColumns({"numeric_columns_count": F.lit(n), "scaling_method": F.lit(method)})
 
 
-def backfill_columns(df: DataFrame, columns: list[str], mode: str = "zero", seed: int = 42) -> DataFrame:
-    """Add model columns that are absent, as 0.0 or N(0, 1) noise."""
-    missing = [c for c in columns if c not in df.columns]
-    if mode == "zero":
-        return df.withColumns({c: F.lit(0.0) for c in missing})
-    return df.withColumns({c: F.randn(seed + i) for i, c in enumerate(missing)})
+def backfill_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Add model columns that are absent, as 0.0."""
+    return df.withColumns({c: F.lit(0.0) for c in columns if c not in df.columns})
 
 
 def project_features(df: DataFrame, features, keep=()) -> DataFrame:
@@ -128,9 +130,3 @@ def project_features(df: DataFrame, features, keep=()) -> DataFrame:
 def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Renames."""
     return df.withColumnsRenamed(mapping)
-
-
-def attach_count(df: DataFrame, out: str = "n_rows") -> DataFrame:
-    """Row count as a column through a one-row broadcast aggregate."""
-    total = df.agg(F.count(F.lit(1)).alias(out))
-    return attach_row(df, total)

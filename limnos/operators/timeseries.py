@@ -20,23 +20,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from limnos.functions.constants import LOOK_BACK, TEST_FRACTION, VALIDATION_FRACTION, Z_LIMIT
-from limnos.functions.exprs import col_of, hash_percent
+from limnos.functions.exprs import col_of, hash_percent, nan_to_null
 from limnos.operators.common import as_list, attach_row, q, stats_join
 
 DAY = "timestamp"
 
 
-def _month_bucket(order: str) -> Column:
-    return F.trunc(F.col(order).cast("date"), "month")
+def _bucketed(df: DataFrame, order: str, out: str) -> DataFrame:
+    """``df`` with bucket numbers or dates ``out`` that ascend with ``order``:
+    months where it is a time, else ranges of its values, one per shuffle
+    partition (written once, so that a row keeps its range)."""
+    if isinstance(df.schema[order].dataType, (DateType, TimestampType, TimestampNTZType)):
+        return df.withColumn(out, F.trunc(F.col(q(order)).cast("date"), "month"))
+    from limnos.operators.common import materialize
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(parts, F.col(q(order))).withColumn(out, F.spark_partition_id()), "order_ranges")
 
 
 # ---------------------------------------------------------------- D01 / D02
 def daily_resample(df: DataFrame, key: str | None, ts: str, measures: list[str],
                    out: str = DAY) -> DataFrame:
     """One row per (key, calendar day) from the key's first to last day;
-    each measure is the mean of that day's non-null readings, empty day = NULL.
+    each measure is the mean of that day's readings (NULL and NaN are none),
+    empty day = NULL.
 
     Single pass: the day aggregate is partial (map-side combine); then each
     present day emits itself plus the empty days up to the key's next present
@@ -47,7 +56,7 @@ def daily_resample(df: DataFrame, key: str | None, ts: str, measures: list[str],
     day = F.to_date(col_of(ts)).alias(out)
     daily = (df.where(col_of(ts).isNotNull())
                .groupBy(*[col_of(k) for k in keys], day)
-               .agg(*[F.avg(col_of(m).cast("double")).alias(m) for m in measures]))
+               .agg(*[F.avg(nan_to_null(col_of(m).cast("double"))).alias(m) for m in measures]))
     if not keys:
         # One global series: its day means (one row per day, bounded by the
         # calendar) are written once under the checkpoint folder, so the raw
@@ -106,8 +115,7 @@ def _ffill_bfill_bucketed(df, keys, order, measures, bucket, suffix):
     (partial aggregate); (2) a window over those few summary rows gives each
     bucket its carry-in and the series head; (3) a running fill inside each
     (key, bucket), falling back to carry-in, then head."""
-    b = bucket if bucket is not None else _month_bucket(order)
-    d = df.withColumn("_b", b)
+    d = df.withColumn("_b", bucket) if bucket is not None else _bucketed(df, order, "_b")
     o = F.col(order)
     aggs = []
     for m in measures:
@@ -162,7 +170,7 @@ def _keyed_carry(summary: DataFrame, keys: list[str], measures: list[str]) -> Da
                        for m in measures])
     inner = ranged.select("_pb", *keys, "_b",
                           *[F.last(f"`_last{m}`", True).over(local).alias(f"_li{m}") for m in measures])
-    out = inner.join(per, ["_pb"] + keys)
+    out = stats_join(inner, per, ["_pb"] + keys, "inner")  # a NULL key is a series too
     return out.select(*keys, "_b", *[F.coalesce(f"`_li{m}`", f"`_ri{m}`").alias(f"_in{m}") for m in measures],
                       *[F.col(f"`_head{m}`") for m in measures])
 
@@ -288,8 +296,7 @@ def fit_minmax(df: DataFrame, measures: list[str]) -> DataFrame:
     """D08 fit: the scaler as a stats table ``(column, lo, hi)`` — one
     aggregation pass, persisted with ``write`` for reuse (A08)."""
     wide = minmax_stats(df, None, measures)
-    pairs = ", ".join(f"'{m}', `_lo{m}`, `_hi{m}`" for m in measures)
-    return wide.selectExpr(f"stack({len(measures)}, {pairs}) as (column, lo, hi)")
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(m).alias("column"), F.col(q("_lo" + m)).alias("lo"), F.col(q("_hi" + m)).alias("hi")) for m in measures])))
 
 
 def _stats_row(stats: DataFrame, measures: list[str]) -> DataFrame:
@@ -305,7 +312,7 @@ def apply_minmax(df: DataFrame, stats: DataFrame, measures: list[str], suffix: s
     """D08 apply: scale with a fitted stats table (one row per column, so the
     broadcast is bounded by the schema width)."""
     j = attach_row(df, _stats_row(stats, measures))
-    out = {m + suffix: _scaled(col_of(m).cast("double"), F.col(f"`_lo{m}`"), F.col(f"`_hi{m}`"))
+    out = {m + suffix: _scaled(col_of(m).cast("double"), F.col(q("_lo" + m)), F.col(q("_hi" + m)))
            for m in measures}
     return j.withColumns(out).drop(*[f"_lo{m}" for m in measures], *[f"_hi{m}" for m in measures])
 
@@ -313,7 +320,7 @@ def apply_minmax(df: DataFrame, stats: DataFrame, measures: list[str], suffix: s
 def invert_minmax(df: DataFrame, stats: DataFrame, measures: list[str], suffix: str = "") -> DataFrame:
     """A08/D08 inverse: x * (hi - lo) + lo."""
     j = attach_row(df, _stats_row(stats, measures))
-    out = {m + suffix: col_of(m) * (F.col(f"`_hi{m}`") - F.col(f"`_lo{m}`")) + F.col(f"`_lo{m}`")
+    out = {m + suffix: col_of(m) * (F.col(q("_hi" + m)) - F.col(q("_lo" + m))) + F.col(q("_lo" + m))
            for m in measures}
     return j.withColumns(out).drop(*[f"_lo{m}" for m in measures], *[f"_hi{m}" for m in measures])
 
@@ -328,8 +335,7 @@ def number_rows(df: DataFrame, key: str | None, order: list[str], out: str = "rn
     keys = as_list(key)
     if keys and bucket is None:
         return df.withColumn(out, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
-    b = bucket if bucket is not None else _month_bucket(order[0])
-    d = df.withColumn("_nb", b)
+    d = df.withColumn("_nb", bucket) if bucket is not None else _bucketed(df, order[0], "_nb")
     counts = d.groupBy(*keys, "_nb").agg(F.count(F.lit(1)).alias("_n"))
     if keys:
         # offsets over (key, bucket) in order — range-split when there are very
@@ -424,7 +430,7 @@ def sliding_windows(df: DataFrame, key: str | None, order: str, features: list[s
                   .where(F.col("sample_pos") >= look_back)
                   .withColumn("y", col_of(target).cast("double")))
     block = block or 4096
-    numbered = number_rows(df, key, [order], "_rn", _month_bucket(order) if not keys else None)
+    numbered = number_rows(df, key, [order], "_rn")
     home = F.floor(F.col("_rn") / block)
     copies = F.when((F.col("_rn") % block) >= block - look_back,
                     F.array(home, home + 1)).otherwise(F.array(home))
@@ -461,10 +467,14 @@ def time_split(df: DataFrame, key: str | None, order: str, test_fraction: float
 
 
 def validation_tail(df: DataFrame, part: str, order: list[str], fraction: float = VALIDATION_FRACTION,
-                    out: str = "is_validation") -> DataFrame:
+                    out: str = "is_validation", each: bool = False) -> DataFrame:
     """The last ``fraction`` of the rows in stored order (``[part] +
     order``) are validation rows: percent_rank >= 1 - fraction, computed from
-    a distributed dense row number and the total count."""
+    a distributed dense row number and the total count. ``each``: the last
+    ``fraction`` of every part, so that no part is only validated on."""
+    if each:
+        rank = F.percent_rank().over(Window.partitionBy(q(part)).orderBy(*[F.col(q(c)) for c in order]))
+        return df.withColumn(out, rank >= F.lit(1 - fraction))
     j = number_rows_global(df, part, order, "_grn", total="_total")
     pr = F.when(F.col("_total") > 1, F.col("_grn") / (F.col("_total") - 1)).otherwise(F.lit(0.0))
     return j.withColumn(out, pr >= F.lit(1 - fraction)).drop("_grn", "_total")

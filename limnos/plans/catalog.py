@@ -577,7 +577,7 @@ def q_feature_set_projection(spark, sf):
 select location, "timestamp", {S.r6('l_quantity')}, cast(0.0 as double) as rainfall, cast(0.0 as double) as tmax from w_clean""")
 def q_missing_feature_default(spark, sf):
     p = sc.project_features(w_clean(spark, sf), ["l_quantity"], keep=["location", "timestamp"])
-    return rounded(sc.backfill_columns(p, ["l_quantity", "rainfall", "tmax"], mode="zero"))
+    return rounded(sc.backfill_columns(p, ["l_quantity", "rainfall", "tmax"]))
 
 
 # ---------------------------------------------------------------- index
@@ -938,22 +938,25 @@ def q_forecast_ml(spark, sf):
 
 @query("search_trials")
 def q_search_trials(spark, sf):
-    """Seeded random search, 3 draws per family, scored on the
-    validation tail."""
-    return tr.search(tr.training_table(w_samples(spark, sf)), n_trials=3)
+    """Seeded random search, 15/15/20 draws, scored on the last fifth
+    of every location."""
+    return tr.search(tr.training_table(w_samples(spark, sf)))
 
 
 @query("multi_target")
 def q_multi_target(spark, sf):
-    """Next-day forecast of every W measure per location."""
-    norm = ts.minmax_per_key(w_clean(spark, sf), "location", W_MEASURES)
-    return rounded(tr.multi_target(norm, "location", "timestamp", W_MEASURES, W_MEASURES))
+    """Next-day forecast of every W measure per location, in its units."""
+    clean = w_clean(spark, sf)
+    norm = ts.minmax_per_key(clean, "location", W_MEASURES)
+    return rounded(tr.multi_target(norm, "location", "timestamp", W_MEASURES, W_MEASURES,
+                                   stats=ts.minmax_stats(clean, "location", W_MEASURES), stats_key="location"))
 
 
 # =====================================================================
 # Sources and sinks: write what Spark derived from the tables, read it back
 # =====================================================================
 from limnos.session import scratch_path  # noqa: E402
+from limnos.sources import documents  # noqa: E402
 from limnos.sources import files as io  # noqa: E402
 
 W_CSV_SCHEMA = "timestamp string, location string, " + ", ".join(f"{m} double" for m in W_MEASURES)
@@ -1023,14 +1026,12 @@ def q_file_catalogue(spark, sf):
 def q_trial_log(spark, sf):
     """Trial logs written by a search over the W windows, read back as a
     table (one row per trial: values, score, status, error text)."""
-    trials = tr.search(tr.training_table(w_samples(spark, sf)), families=("linear",), n_trials=3)
     root = scratch_path(spark, "trials")
-    logs = trials.select("model", "trial_id", "status", "score", F.lit(0).cast("long").alias("best_step"),
-                         F.struct(F.from_json("hyperparameters", "map<string,string>").alias("values"))
-                          .alias("hyperparameters"), "message")
-    logs.write.mode("overwrite").partitionBy("model").json(root)
-    back = io.read_trials(spark, root, glob="*.json", multiline=False)
-    return back.select("trial_id", "status", "score", F.to_json("values").alias("values"), "message")
+    tr.search(tr.training_table(w_samples(spark, sf)), families=("linear",), folder=root)
+    read = documents.read_documents(spark, root, glob="part-*", per_line=True)
+    steps = documents.best_steps(documents.observations(read)).where("metric = 'val_mse'").select("source", "best_value")
+    back = documents.trials(read).join(steps, "source", "left")
+    return back.select("trial_id", "status", "score", "best_step", F.to_json("values").alias("values"), "message", (F.col("best_value") == F.col("score")).alias("score_observed"))
 
 
 # =====================================================================
@@ -1128,8 +1129,12 @@ def q_model_samples(spark, sf):
 
 @query("model_comparison")
 def q_model_comparison(spark, sf):
-    """Search every family (2 seeded draws each), refit each with
-    its best draw, score the test windows and name the winner (lowest MSE)."""
+    """Search every family, refit each with its best draw, score
+    the test windows and name the winner (lowest MSE)."""
     from limnos.operators.common import attach_row
-    metrics, _trials, _best = tr.tune_and_compare(tr.training_table(w_samples(spark, sf)), n_trials=2)
+    metrics, _trials, _best = tr.tune_and_compare(tr.training_table(w_samples(spark, sf)))
     return rounded(attach_row(metrics, pf.pick_best(metrics, "mse").select("best_model")))
+
+
+# queries of raw feeds, documents and forecasts register themselves
+from limnos.plans import catalog_feeds, catalog_models  # noqa: E402, F401

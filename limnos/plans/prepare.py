@@ -86,13 +86,14 @@ def cleaning_report(df: DataFrame, key: str, ts_col: str, measures: list[str],
 def canonicalise(raw: DataFrame, ts_col: str | None = None, sentinels: list[float] | None = None,
                  as_date: bool = False) -> DataFrame:
     """Raw feed -> canonical reading table: trimmed names (B01), ``location``
-    (B02, NULL when the feed has none), ``timestamp`` (B03), rows without a
+    (B02, NULL when the feed has none), ``timestamp`` (B03, one format for
+    the whole column), rows without a
     time or (when located) a location dropped (C01, C02), every other column
     coerced to DOUBLE (B04). ``sentinels`` (e.g. [-999]) become NULL."""
     df = sc.canonical_names(raw)
     located = sc.detect_location(df) is not None
     df = sc.canonical_location(df)
-    df = flt.drop_null_time(sc.canonical_time(df, ts_col=ts_col, as_date=as_date))
+    df = flt.drop_null_time(sc.canonical_time(df, ts_col=ts_col, as_date=as_date, elect=True))
     if located:
         df = flt.drop_null_location(df)
     df = sc.coerce_numeric(df, keys=("timestamp", "location"))

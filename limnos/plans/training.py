@@ -6,7 +6,10 @@ metric is a distributed Spark job over the (checkpointed) sample table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.operators import forecast as fc
@@ -29,7 +32,7 @@ def training_table(samples: DataFrame, key: str = "location", order: str = "time
     # stored order must be total (a variant label breaks ties between the
     # cleaned and normalised rows of one day), so the split is reproducible
     tie = [c for c in ("data_type", "sample_pos") if c in samples.columns]
-    train = ts.validation_tail(feats.where(F.col("split") == "train"), key, [order] + tie)
+    train = ts.validation_tail(feats.where(F.col("split") == "train"), key, [order] + tie, each=True)
     test = feats.where(F.col("split") == "test").withColumn("is_validation", F.lit(False))
     return materialize(train.unionByName(test).select(key, order, "split", "is_validation", "features", "y"))
 
@@ -47,73 +50,60 @@ def train_and_compare(table: DataFrame, families=("linear", "random_forest", "gb
     return metrics, models
 
 
-def search(table: DataFrame, families=("linear", "random_forest", "gbt"), n_trials: int = 3,
-           seed: int = 42) -> DataFrame:
+def search(table: DataFrame, families=("linear", "random_forest", "gbt"), n_trials: int | None = None,
+           seed: int = 42, folder: str | None = None) -> DataFrame:
     """Seeded random search per family on (train - validation,
-    validation); returns the trial table (A11 layout)."""
-    spark = table.sparkSession
+    validation), 15/15/20 draws unless ``n_trials`` is given; returns the trial
+    table (A11 layout). ``folder``: where trials are kept as they end and
+    taken up again."""
+    return _searched(table, families, n_trials, seed, folder)[0]
+
+
+def _searched(table, families, n_trials, seed, folder):
     train = table.where(F.col("split") == "train")
-    parts = []
+    parts, best = [], {}
     for fam in families:
-        trials, _best = fc.random_search(train, fam, n_trials=n_trials, seed=seed)
-        parts.append(fc.trials_table(spark, fam, trials))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        trials, best[fam] = fc.random_search(train, fam, n_trials, seed, folder=folder and f"{folder}/{fam}")
+        parts.append(fc.trials_table(table.sparkSession, fam, trials))
+    return reduce(DataFrame.unionByName, parts), best
 
 
-def tune_and_compare(table: DataFrame, families=("linear", "random_forest", "gbt"), n_trials: int = 3,
-                     seed: int = 42, key: str = "location", order: str = "timestamp"):
+def tune_and_compare(table: DataFrame, families=("linear", "random_forest", "gbt"), n_trials: int | None = None, seed: int = 42,
+                     key: str = "location", order: str = "timestamp", folder: str | None = None, store=None, manifest: dict | None = None,
+                     mode: str = "reuse"):
     """I02 → I06 → I08: search each family, refit it with its best draw on
-    the training rows, score the test rows, compare. Returns (metrics,
-    trials, best params per family)."""
-    spark = table.sparkSession
-    train = table.where(F.col("split") == "train")
-    test = table.where(F.col("split") == "test")
-    models, parts, best = {}, [], {}
+    the training rows, score the test rows, compare. With a ``store`` the
+    refitted models are kept there, or taken from there if one with the same
+    manifest and parameters is. Returns (metrics, trials, best params per
+    family)."""
+    trials, best = _searched(table, families, n_trials, seed, folder)
+    train, test = (table.where(F.col("split") == s) for s in ("train", "test"))
+    models = {}
     for fam in families:
-        trials, params = fc.random_search(train, fam, n_trials=n_trials, seed=seed)
-        parts.append(fc.trials_table(spark, fam, trials))
-        best[fam] = params
-        models[fam] = fc.fit_final(train, fam, params or DEFAULT_PARAMS.get(fam, {}), seed)
+        def build(fam=fam):
+            return fc.fit_final(train, fam, best[fam], seed)
+        asked = {**(manifest or {}), "family": fam, "params": best[fam], "seed": seed}
+        models[fam] = store.get(fam, asked, build, mode) if store else build()
     metrics = regression_metrics(fc.score(models, test, [key, order]), "y", "prediction", ("model",))
-    trials_df = parts[0]
-    for p in parts[1:]:
-        trials_df = trials_df.unionByName(p)
-    return metrics, trials_df, best
+    return metrics, trials, best
 
 
 def multi_target(norm: DataFrame, key: str, order: str, features: list[str], targets: list[str],
-                 family: str = "linear", look_back: int = 12) -> DataFrame:
+                 family: str = "linear", look_back: int = 12, stats: DataFrame | None = None, stats_key: str | None = None) -> DataFrame:
     """One regressor per target over the same windows. The forecast is for
     the day after each location's last one, from the ``look_back`` rows that
-    end there (that window has no label and is not fitted on). Output long:
-    (location, model, parameter, value), in the scale of ``norm``."""
-    used = list(dict.fromkeys([*features, *targets]))
-    data = norm.select(key, order, *[F.col(q(c)) for c in used], F.lit(False).alias("_ahead"))
-    last = norm.groupBy(key).agg(F.max(order).alias(order))
-    ahead = last.select(key, (F.col(order) + F.expr("interval 1 day")).cast(norm.schema[order].dataType).alias(order),
-                        *[F.lit(0.0).alias(c) for c in used], F.lit(True).alias("_ahead"))
-    rows = materialize(data.unionByName(ahead), "forecast_rows")
-    out = None
-    for t in targets:
-        win = ts.sliding_windows(rows, key, order, features, t, look_back)
-        day = rows.where("_ahead").select(F.col(key).alias("_k"), F.col(order).alias("_d"))
-        tab = fc.with_features(win).select(key, order, "features", "y")
-        tab = tab.join(day, F.col(key).eqNullSafe(F.col("_k")) & (F.col(order) == F.col("_d")), "left")
-        tab = materialize(tab.select(key, order, "features", "y", F.col("_d").isNotNull().alias("_ahead")))
-        model = fc.fit_final(tab.where("NOT _ahead").withColumn("is_validation", F.lit(False)), family,
-                             DEFAULT_PARAMS.get(family, {}), validation_col=None)
-        pred = model.transform(tab.where("_ahead")).select(key, F.lit(family).alias("model"), F.lit(t).alias("parameter"),
-                                                           F.col("prediction").alias("value"))
-        out = pred if out is None else out.unionByName(pred)
-    return out
-
-
-def comparison_json(metrics: DataFrame) -> DataFrame:
-    """The comparison document (model -> metrics, best_model) as JSON text."""
-    entry = F.struct(F.col("model"), F.struct("mse", "rmse", "mae", "r2").alias("metrics"))
-    doc = metrics.agg(F.map_from_entries(F.collect_list(entry)).alias("models"),
-                      F.min_by("model", F.struct("mse", "model")).alias("best_model"))
-    return doc.select(F.to_json(F.struct("models", "best_model")).alias("json"))
+    end there. Output long: (location, model, parameter, value), in the scale
+    of ``norm`` or, with ``stats`` (see ``horizon.unscaled``), in units."""
+    from limnos.plans.horizon import forecast
+    wide = forecast(norm, key, order, features, targets, family, look_back, 1, "day", stats, stats_key)
+    pairs = F.array(*[F.struct(F.lit(t).alias("parameter"), F.col(q(t)).alias("value")) for t in targets])
+    return wide.select(key, F.lit(family).alias("model"), F.inline(pairs))
+
+
+def model_results(metrics: DataFrame, best: dict[str, dict]) -> DataFrame:
+    """(model, hyperparameters as JSON text, batch_size, metrics) for
+    ``documents.write_model_documents``; the fits here have no batches."""
+    params = metrics.sparkSession.createDataFrame([(f, json.dumps(p, sort_keys=True)) for f, p in best.items()], "model string, hyperparameters string")
+    names = ("mse", "rmse", "mae", "r2")
+    values = F.map_from_arrays(F.array(*[F.lit(c) for c in names]), F.array(*names))
+    return metrics.join(params, "model").select("model", "hyperparameters", F.lit(None).cast("int").alias("batch_size"), values.alias("metrics"))

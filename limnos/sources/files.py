@@ -7,6 +7,7 @@ outputs go under ``spark.checkpoint.dir`` (see ``limnos.session.scratch_path``).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,19 +18,19 @@ from limnos.functions.exprs import col_of
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
              infer: bool = False) -> DataFrame | None:
     """CSV scan with a header row. Declare ``schema`` for known feeds;
-    ``infer=True`` only for discovery. A load error gives None (the caller
-    decides), not an exception."""
+    ``infer=True`` only for discovery. A path without files gives None (the
+    caller decides); every other error is raised."""
+    r = spark.read.option("header", True)
+    if schema is not None:
+        r = r.schema(schema)
+    elif infer:
+        r = r.option("inferSchema", True)
     try:
-        r = spark.read.option("header", True)
-        if schema is not None:
-            r = r.schema(schema)
-        elif infer:
-            r = r.option("inferSchema", True)
-        df = r.csv(path)
-        df.schema  # resolve now so a missing path fails here
-        return df
-    except Exception:  # noqa: BLE001
-        return None
+        return r.csv(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def read_csv_indexed(spark: SparkSession, path: str, schema: StructType | str | None = None,

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from limnos.functions.exprs import nan_to_null
+
 
 def daily_stream(spark: SparkSession, source_dir: str, schema: str, key: str, ts: str,
                  measures: list[str], glob: str | None = None,
@@ -40,7 +42,7 @@ def daily_stream(spark: SparkSession, source_dir: str, schema: str, key: str, ts
     day = F.window(F.col("_evt"), "1 day")
     aggs = []
     for m in measures:
-        x = F.col(m).try_cast("double")
+        x = nan_to_null(F.col(m).try_cast("double"))
         aggs += [F.sum(x).alias(f"sum_{m}"), F.count(x).alias(f"n_{m}")]
     return (s.groupBy(F.col(key).cast("string").alias("location"), day.alias("w")).agg(*aggs)
              .select("location",
