@@ -18,14 +18,21 @@ from limnos.session import scratch_path
 __all__ = ["bitmap", "bitmap_has", "importable", "materialize", "materialize_by", "partitions", "q", "running_sum"]
 
 
+#: of the C library in Python workers, unless the job sets its own: arrays of some megabytes go back to the system when freed
+_WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 22), "MALLOC_TRIM_THRESHOLD_": str(1 << 23)}
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it,
-    unless the job ships it (--py-files) or it is installed."""
+    unless the job ships it (--py-files) or it is installed; and has them
+    return memory that they no longer use."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    for k, v in _WORKER_MEMORY.items():
+        env.setdefault(k, v)
 
 
 def partitions(df: DataFrame) -> int:

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from limnos.llm.common import bitmap, bitmap_has, materialize, partitions
 from limnos.llm.components import connected
-from limnos.llm.words import Words, _range_hashes, mix64, shingle_sets, slices
+from limnos.llm.words import Words, mix64, sequence_hashes, shingle_sets, slices
 
 #: a list with at least so many documents is long
 LONG = 64
@@ -39,6 +39,8 @@ LONG_LISTS = 1 << 20
 BLOCK, BLOCK_SHINGLES = 1 << 10, 1 << 20
 #: long lists in which a set meets a random member in a round
 MEETINGS = 12
+#: bytes of shingles that are dealt to blocks at once
+DEALT_BYTES = 1 << 22
 
 
 def least_overlap(n: int | np.ndarray, percent: int):
@@ -57,7 +59,7 @@ def class_ids(sets: list[np.ndarray]) -> np.ndarray:
         return np.zeros(0, np.int64)
     size = np.array([len(s) for s in sets])
     end = np.cumsum(size)
-    return _range_hashes(np.concatenate(sets), end - size, end).view(np.int64)
+    return sequence_hashes(np.concatenate(sets), end - size, end).view(np.int64)
 
 
 def profile(s: np.ndarray) -> bytes:
@@ -348,7 +350,14 @@ def _dealt(rows: DataFrame, percent: int) -> DataFrame:
                     lo, hi = sorted(((band, own), other))
                     block.append(f"{name} {lo[0]}.{lo[1]} {hi[0]}.{hi[1]}")
                     side.append(2 if lo == hi else int((band, own) == hi))
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.string()), pa.array(side, pa.int32()), *[b.column(c).take(pa.array(row, pa.int64())) for c in names]], ["block", "side", *names])
+            # a row has many copies: a few at a time, as their bytes allow
+            heavy = np.array([len(x) for x in b.column("shingles").to_pylist()] or [0])[row].cumsum() if row else np.zeros(0, np.int64)
+            lo = 0
+            while lo < len(row):
+                hi = max(lo + 1, int(np.searchsorted(heavy, (heavy[lo - 1] if lo else 0) + DEALT_BYTES)))
+                copies = pa.array(row[lo:hi], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(block[lo:hi], pa.string()), pa.array(side[lo:hi], pa.int32()), *[b.column(c).take(copies) for c in names]], ["block", "side", *names])
+                lo = hi
     names = rows.columns
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("side", T.IntegerType()), *rows.schema])
     return rows.withColumn("band", F.floor(F.log("n") / F.lit(ratio))).mapInArrow(deal, schema)

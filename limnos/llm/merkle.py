@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.llm.common import partitions
-from limnos.llm.words import _BYTE, Words, _range_hashes, mix64
+from limnos.llm.words import Words, byte_hashes, mix64, sequence_hashes
 
 _MARKS = np.zeros(256, dtype=bool)
 _MARKS[[ord(c) for c in ".!?"]] = True
@@ -65,7 +65,7 @@ def _fingerprints(texts: pa.Array) -> list[str]:
     begin = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     owner_end = np.repeat(borders[1:], np.diff(first))
     end = np.minimum(np.append(begin[1:], len(raw)), owner_end) if len(begin) else begin
-    digest = _range_hashes(_BYTE[raw], begin, end) if len(begin) else np.zeros(0, np.uint64)
+    digest = byte_hashes(raw, begin, end) if len(begin) else np.zeros(0, np.uint64)
     line_feeds = lines[end] - lines[begin]
     small = np.empty((len(digest), 3), np.uint8)
     for k in range(3):
@@ -78,11 +78,11 @@ def _fingerprints(texts: pa.Array) -> list[str]:
         d, feed = digest[a:b], line_feeds[a:b]
         para = _groups(feed > 0, b - a)
         para_end = np.append(para[1:], b - a)
-        para_hash = _range_hashes(d, para, para_end)
+        para_hash = sequence_hashes(d, para, para_end)
         para_feeds = np.add.reduceat(feed, para)
         section = _groups((para_feeds > 1) | (mix64(para_hash) % np.uint64(_SECTION) == 0), len(para))
         section_end = np.append(section[1:], len(para))
-        section_hash = _range_hashes(para_hash, section, section_end)
+        section_hash = sequence_hashes(para_hash, section, section_end)
         root = hashlib.blake2b(section_hash.tobytes(), digest_size=16).hexdigest()
         codes = base64.urlsafe_b64encode(small[a:b].tobytes()).decode()
         paragraphs = [codes[4 * x:4 * y] for x, y in zip(para.tolist(), para_end.tolist(), strict=True)]

@@ -4,6 +4,8 @@ Words are maximal runs of characters other than U+0020 and U+0009..U+000D.
 Those six are single bytes in UTF-8 and never part of a longer character, so
 a batch's words are found on its byte buffer: no Python object per word.
 Hashes are 64 bits wide; equal words and word sequences have equal hashes.
+They are sums of random values looked up or mixed by place, not polynomials,
+so different words meet by chance alone.
 """
 
 from __future__ import annotations
@@ -31,41 +33,81 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-# a random 64-bit value per byte, so that no byte differences share low zero bits
+#: bytes of a word that are looked up by their place; longer words are hashed in pieces
+_PLACES = 64
+# a random 64-bit value for each place and byte
+_TABLE = mix64(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(_P))
+# a random 64-bit value per byte
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_P))
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(0, np.uint64), np.ones(0, np.uint64))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _P and of its inverse modulo 2**64, n of each."""
-    global _powers
-    if len(_powers[0]) < n:
-        def series(base):
-            out = np.full(n, base, dtype=np.uint64)
-            out[0] = 1
-            return np.multiply.accumulate(out)
-        _powers = series(_P), series(pow(_P, -1, 1 << 64))
-    return _powers[0][:n], _powers[1][:n]
+def _ended(total: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix64(total + size.astype(np.uint64) * np.uint64(_P))
 
 
-def _range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
-    """Polynomial hash modulo 2**64 of values[start:end] for each range, from
-    running sums; with ``table`` of table[values]. Ranges ascend by start; work goes in blocks so that the
-    tables of powers stay small."""
+def sequence_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of values[start:end] (64-bit numbers) for each range; ranges ascend
+    and don't overlap. Each value is mixed with its place before they are
+    added up, so no two sequences have equal sums by their making."""
     out = np.empty(len(start), np.uint64)
     lo = 0
     while lo < len(start):
-        base = start[lo]
-        hi = max(lo + 1, int(np.searchsorted(start, base + _BLOCK)))
-        top = int(end[lo:hi].max())
-        power, inverse = _power(max(_BLOCK * 2, top - base))
+        hi = max(lo + 1, int(np.searchsorted(start, start[lo] + _BLOCK)))
+        base, top = start[lo], end[hi - 1]
+        size = end[lo:hi] - start[lo:hi]
+        until = np.append(start[lo + 1:hi], top)
+        place = np.arange(base, top) - np.repeat(start[lo:hi], until - start[lo:hi])
+        mixed = mix64(values[base:top].astype(np.uint64) + mix64(place.astype(np.uint64) + np.uint64(_P)))
         total = np.zeros(top - base + 1, np.uint64)
-        part = values[base:top] if table is None else table[values[base:top]]
-        np.cumsum(part * power[:top - base], out=total[1:])
-        s, e = start[lo:hi] - base, end[lo:hi] - base
-        out[lo:hi] = (total[e] - total[s]) * inverse[s]
+        np.cumsum(mixed, out=total[1:])
+        out[lo:hi] = _ended(total[end[lo:hi] - base] - total[start[lo:hi] - base], size)
         lo = hi
-    return mix64(out + (end - start).astype(np.uint64))
+    return out
+
+
+def byte_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of raw[start:end] (bytes) for each range; ranges ascend and don't
+    overlap. Values are looked up by place and byte and added up, in pieces of
+    _PLACES bytes; the pieces of a longer range are hashed in turn."""
+    size = end - start
+    pieces = np.maximum(1, -(-size // _PLACES))
+    if len(pieces) and pieces.max() > 1:
+        owner = np.repeat(np.arange(len(start)), pieces)
+        turn = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = start[owner] + turn * _PLACES
+        parts = _piece_hashes(raw, begin, np.minimum(begin + _PLACES, end[owner]))
+        first = np.cumsum(pieces) - pieces
+        many = np.flatnonzero(pieces > 1)
+        out = parts[first]
+        sub = np.concatenate([[0], np.cumsum(pieces[many])])
+        out[many] = sequence_hashes(parts[pieces[owner] > 1], sub[:-1], sub[1:]) + size[many].astype(np.uint64) * np.uint64(_P)
+        return out
+    return _piece_hashes(raw, start, end)
+
+
+def _piece_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    out = np.empty(len(start), np.uint64)
+    held = np.empty(0, np.uint64)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(start, start[lo] + _BLOCK)))
+        base, top = start[lo], end[hi - 1]
+        until = np.append(start[lo + 1:hi], top)
+        # bytes between ranges are looked up too, anywhere, and not counted
+        place = np.arange(base, top).astype(np.uint16) - np.repeat(start[lo:hi].astype(np.uint16), until - start[lo:hi])
+        at = (place & np.uint16(_PLACES - 1)) << np.uint16(8) | raw[base:top]
+        if len(held) < len(at):
+            held = np.empty(len(at), np.uint64)
+        total = np.zeros(len(at) + 1, np.uint64)
+        np.cumsum(np.take(_TABLE, at, out=held[:len(at)], mode="clip"), out=total[1:])
+        out[lo:hi] = _ended(total[end[lo:hi] - base] - total[start[lo:hi] - base], end[lo:hi] - start[lo:hi])
+        lo = hi
+    return out
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two sequences, one behind the other, from theirs."""
+    return mix64(mix64(a + np.uint64(_P)) + b * np.uint64(0xD6E8FEB86659FD93))
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +156,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word's bytes."""
-        return _range_hashes(self.raw, self.start, self.end, _BYTE) if len(self) else np.zeros(0, np.uint64)
+        return byte_hashes(self.raw, self.start, self.end) if len(self) else np.zeros(0, np.uint64)
 
     def window_hashes(self, k: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k-word window at each word, and whether that window
@@ -125,15 +167,23 @@ class Words:
         if n:
             at = np.arange(n)
             inside = at + k <= np.repeat(self.first[1:], self.counts())
-            full = n - k + 1
-            if full > 0:
-                out[:full] = _range_hashes(h, at[:full], at[:full] + k)
+            if n >= k:
+                out[:n - k + 1] = _windows(h, k)
         return out, inside
 
     def word(self, i: int) -> bytes:
         return self.raw[self.start[i]:self.end[i]].tobytes()
 
 
+def _windows(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k neighbours, from those of half as many."""
+    if k == 1:
+        return h
+    half = _windows(h, k // 2)
+    out = _joined(half[:len(half) - k // 2], half[k // 2:])
+    return out if k % 2 == 0 else _joined(out[:len(out) - 1], h[k - 1:])
+
+
 def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
     """Distinct k-word shingle hashes of each document, ascending. A document
     of fewer than k words has its whole word sequence as one shingle, one
@@ -146,7 +196,7 @@ def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
             s = np.sort(windows[a:b - k + 1])
             out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif b > a:
-            out.append(_range_hashes(h, np.array([a]), np.array([b])))
+            out.append(sequence_hashes(h, np.array([a]), np.array([b])))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
