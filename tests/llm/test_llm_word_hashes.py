@@ -69,3 +69,17 @@ def test_operators_tell_such_words_apart(spark):
         assert r["n_known"] == sum(train[w] > 0 for w in words)
         scale = train.total() + 0.1 * (len(train) + 1)
         assert r["base_score"] == pytest.approx(sum(np.log10((train[w] + 0.1) / scale) for w in words))
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    importable(spark)
+    monkeypatch.setattr(lm, "_PIECE", 1 << 16)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 10 == 0).alias("held_out"))
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got.append({r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in lm.score(docs.repartition(n)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0].keys() == got[1].keys() and all(got[1][d] == pytest.approx(x, rel=1e-6) for d, x in got[0].items())
