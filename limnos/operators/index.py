@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from limnos.functions.constants import FALLBACK_INDEX, WQI_ADVICE, WQI_WEIGHTS
 from limnos.functions.exprs import classify, clamp, col_of, format_2dp, weighted_sum
-from limnos.operators.common import attach_row
+from limnos.operators.common import attach_row, materialize
+from limnos.operators.timeseries import number_rows_global
 
 
 def weighted_index(df: DataFrame, weights: dict[str, float] | None = None, out: str = "WQI",
@@ -51,7 +52,8 @@ def one_hot(df: DataFrame, col: str, max_values: int = 1000, values: list[str] |
             drop_source: bool = True) -> DataFrame:
     """One 0/1 INT column ``{col}_{value}`` per distinct value (sorted).
     The distinct values are a bounded, checked list (at most ``max_values``;
-    more raises instead of building an unbounded schema)."""
+    more raises instead of building an unbounded schema: see
+    ``one_hot_sparse``)."""
     if values is None:
         vals = (df.select(col_of(col)).where(col_of(col).isNotNull()).distinct()
                   .limit(max_values + 1).collect())
@@ -82,6 +84,31 @@ def one_hot_many(df: DataFrame, cols: list[str], max_values: int = 1000, keep: t
     return res
 
 
+def label_codes(df: DataFrame, cols: list[str]) -> DataFrame:
+    """B13 without a bound: (column, value, code), a dense code from 0 for every
+    distinct value of every column, by column in the order given, then value.
+    The dictionary is a table: it is numbered by ranges and never collected."""
+    pairs = F.inline(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("column"), col_of(c).cast("string").alias("value")) for i, c in enumerate(cols)]))
+    found = df.select(pairs).where(F.col("value").isNotNull()).distinct()
+    return materialize(number_rows_global(found, "place", ["value"], "code").select("column", "value", "code"), "codes")
+
+
+def one_hot_sparse(df: DataFrame, cols: list[str], out: str = "one_hot", codes: DataFrame | None = None) -> DataFrame:
+    """B13 for any number of labels: ``out`` is a sparse 0/1 vector as a struct
+    (size, indices ascending, values); a NULL or unknown value sets nothing.
+    ``codes``: a dictionary of ``label_codes`` made before, e.g. of the
+    training rows. Sources are dropped."""
+    codes = label_codes(df, cols) if codes is None else codes
+    coded = df
+    for i, c in enumerate(cols):
+        own = codes.where(F.col("column") == c).select(F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_c{i}"))
+        coded = coded.join(own, col_of(c).cast("string") == F.col(f"_v{i}"), "left").drop(f"_v{i}")
+    hits = F.array_sort(F.array_compact(F.array(*[F.col(f"_c{i}") for i in range(len(cols))])))
+    sized = attach_row(coded, codes.agg(F.count(F.lit(1)).alias("_size")))
+    made = F.struct(F.col("_size").alias("size"), hits.alias("indices"), F.array_repeat(F.lit(1.0), F.size(hits)).alias("values"))
+    return sized.withColumn(out, made).drop("_size", *[f"_c{i}" for i in range(len(cols))], *cols)
+
+
 def mean_impute(df: DataFrame, cols: list[str]) -> DataFrame:
     """Fill NULLs with the column mean over the (already filtered) rows;
     the means are a one-row aggregate attached as a scalar subquery."""

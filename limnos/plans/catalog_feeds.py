@@ -6,9 +6,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from limnos.operators.common import attach_row
 from limnos.operators.dates import date_report
 from limnos.operators.schema import canonical_time
 from limnos.plans import sqlparts as S
+from limnos.operators import index as ix
+from limnos.operators import positions as pos
 from limnos.operators import profile as pf
 from limnos.operators import timeseries as ts
 from limnos.plans.catalog import METRICS_SQL, U_SAMPLES_SQL, query, rounded, u_metrics, u_samples
@@ -191,3 +194,46 @@ def q_unkeyed_windows(spark, sf):
     e = table(spark, sf, "events").select("event_id", "value")
     w = ts.sliding_windows(e, None, "event_id", ["value"], "value", 12)
     return rounded(w.select("event_id", "sample_pos", "y", F.aggregate("x", F.lit(0.0), lambda a, s: a + s[0]).alias("x_sum"), F.element_at("x", -1)[0].alias("x_last")))
+
+
+# ---------------------------------------------------------------- D10 exact, B13 without bound, H05 by directory, E05 by stored row
+@query("train_test_split_exact", f"""with {U_SAMPLES_SQL},
+h as (select location, "timestamp", ('0x' || substr(md5('42|' || location || '|' || cast("timestamp" as varchar)), 1, 15))::bigint as h from us),
+r as (select *, row_number() over (order by h, location, "timestamp") as rn, count(*) over () as n from h)
+select location, "timestamp", case when rn <= ceil(n * 0.2) then 'test' else 'train' end as split from r""")
+def q_train_test_split_exact(spark, sf):
+    """A shuffled split with exactly ceil(0.2 n) test rows."""
+    return pos.exact_split(u_samples(spark, sf).select("location", "timestamp"), ["location", "timestamp"])
+
+
+@query("one_hot_sparse", """with v as (select distinct 0 as place, event_type as value from events union select distinct 1, cast(user_id as varchar) from events where user_id % 9 <> 0),
+c as (select *, row_number() over (order by place, value) - 1 as code from v)
+select event_id, (select count(*) from c) as size, a.code as first_code, b.code as second_code, (a.code is not null)::int + (b.code is not null)::int as ones
+from events left join c a on a.place = 0 and a.value = event_type left join c b on b.place = 1 and b.value = cast(user_id as varchar) and user_id % 9 <> 0""")
+def q_one_hot_sparse(spark, sf):
+    """Event types and users as one sparse vector; no list of labels is
+    collected."""
+    e = table(spark, sf, "events").select("event_id", "event_type", F.when(F.col("user_id") % 9 != 0, F.col("user_id")).alias("user_id"))
+    x = F.col("one_hot")
+    return ix.one_hot_sparse(e, ["event_type", "user_id"]).select(
+        "event_id", x["size"].alias("size"), F.try_element_at(x["indices"], F.lit(1)).alias("first_code"), F.try_element_at(x["indices"], F.lit(2)).alias("second_code"),
+        F.aggregate(x["values"], F.lit(0.0), lambda a, v: a + v).cast("int").alias("ones"))
+
+
+@query("page_by_directory", """with e as (select event_id, ts, event_type as location, round(value, 6) as value, row_number() over (order by event_id) - 1 as rn, count(*) over () as n from events)
+select event_id, ts, location, value, 4 as page, cast(ceil(n / 25.0) as bigint) as n_pages from e where rn between 75 and 99""")
+def q_page_by_directory(spark, sf):
+    """The fourth page of 25, read as a range of keys."""
+    e = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("location"), "value")
+    directory = pos.page_directory(e, "event_id", 25)
+    page = pos.read_page(e, directory, "event_id", 4)
+    return rounded(attach_row(page.withColumn("page", F.lit(4)), directory.agg(F.max("n_pages").alias("n_pages"))))
+
+
+@query("zip_stored_rows", """with c as (select c_custkey, row_number() over (order by c_custkey) - 1 as row_pos from customer),
+s as (select s_suppkey, row_number() over (order by s_suppkey) - 1 as row_pos from supplier)
+select row_pos, c_custkey, s_suppkey from c full join s using (row_pos)""")
+def q_zip_stored_rows(spark, sf):
+    """Customers and suppliers side by side as they are stored (their
+    files are in key order)."""
+    return pos.zip_stored(table(spark, sf, "customer").select("c_custkey", "_metadata"), table(spark, sf, "supplier").select("s_suppkey", "_metadata")).select("row_pos", "c_custkey", "s_suppkey")
