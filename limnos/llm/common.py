@@ -15,7 +15,7 @@ from limnos.llm.words import mix64
 from limnos.operators.common import materialize, q
 from limnos.session import scratch_path
 
-__all__ = ["bitmap", "bitmap_has", "importable", "materialize", "materialize_by", "partitions", "q", "running_sum"]
+__all__ = ["bitmap", "bitmap_has", "free", "importable", "materialize", "materialize_by", "numbered", "partitions", "q", "running_sum"]
 
 
 #: of the C library in Python workers, unless the job sets its own: arrays of some megabytes go back to the system when freed
@@ -35,6 +35,21 @@ def importable(spark: SparkSession) -> None:
         env.setdefault(k, v)
 
 
+def free(columns: Sequence[str], name: str) -> str:
+    """``name``, with underscores behind it until no column has it (Spark
+    doesn't tell upper from lower case in names)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ... for mapInArrow, which takes a dot in a
+    name for a field of a struct."""
+    return df.select(*[F.col(q(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session (the cluster's choice for its data)."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

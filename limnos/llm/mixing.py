@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.common import materialize, running_sum
+from limnos.llm.common import free, materialize, numbered, q, running_sum
 from limnos.llm.words import Words
 
 
@@ -56,12 +56,19 @@ def mix(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), factor: float = 1.
 
     Defined cases: null or empty text has size 0 and gives nothing; a null
     source is a source, a null doc_id a document, repeated rows are separate
-    documents; an empty table gives an empty one; other columns pass through.
+    documents; an empty table gives an empty one; other columns pass through,
+    whatever their names. Texts behind ``sizes`` are counted once: it is
+    written first.
     """
+    sizes = materialize(sizes, "sizes")
     targets = source_targets(sizes, weights, factor, most).select(
         F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
     drop = [c for c in ("source_size", "target", "taken") if c in sizes.columns]
-    keyed = sizes.drop(*drop).withColumn("__shuffle", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    own = ("doc_id", "source", "size")
+    rest = [c for c in sizes.columns if c not in drop and c not in own]
+    # other columns travel inside a struct, where no name of ours meets theirs
+    keyed = sizes.select(*own, *([F.struct(*[F.col(q(c)) for c in rest]).alias("__rest")] if rest else []))
+    keyed = keyed.withColumn("__shuffle", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     queue = running_sum(keyed, ["source"], ["__shuffle", "doc_id", "size"], {"__before": "size"})
     queue = queue.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     queue = materialize(queue.withColumn("__row", F.monotonically_increasing_id()), "queue")
@@ -76,7 +83,8 @@ def mix(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), factor: float = 1.
     got = line.withColumn("__got", F.least(F.col("__part"), budget - F.col("__position"))).filter("__got > 0")
     taken = got.groupBy("__row").agg(F.sum("__got").alias("taken"))
     out = queue.join(taken, "__row", "left")
-    return out.select(*[c for c in sizes.columns if c not in drop], F.col("__source_size").alias("source_size"),
+    kept = [F.col("__rest").getField(c).alias(c) if c in rest else F.col(c) for c in sizes.columns if c not in drop]
+    return out.select(*kept, F.col("__source_size").alias("source_size"),
                       F.col("__target").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -84,27 +92,33 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), factor:
     """The mix as documents: the columns of ``docs``; each document as often
     as its words are taken, a last partial copy cut behind its last word
     taken. n_chars, where there is one, is the new text's length. ``docs``
-    must be a written table, read again here by row."""
-    rows = docs.withColumn("__id", F.monotonically_increasing_id())
-    plan = mix(word_sizes(rows, ["__id", "doc_id", "source"]), weights, factor, most).select("__id", "size", "taken").filter("taken > 0")
+    must be a written table, read again here by row. Null and empty texts have
+    no words, so they are in no mix; a null source is a source; an empty table
+    gives an empty one; other columns may have any name."""
     cols = docs.columns
-    joined = rows.join(plan, "__id").select(*cols, F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    text = cols.index("text")
+    id_, size_, taken_ = (free(cols, name) for name in ("__id", "__size", "__taken"))
+    rows = docs.withColumn(id_, F.monotonically_increasing_id())
+    plan = mix(word_sizes(rows, [id_, "doc_id", "source"]), weights, factor, most).filter("taken > 0")
+    plan = plan.select(id_, F.col("size").alias(size_), F.col("taken").alias(taken_))
+    joined = rows.join(plan, id_).select(*[F.col(q(c)) for c in cols], size_, taken_)
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = Words(b.column("text"))
+            *columns, sizes, counts = b.columns
+            words = Words(columns[text])
             at, texts = [], []
-            for i, (text, size, taken) in enumerate(zip(b.column("text").to_pylist(), b.column("__size").to_pylist(), b.column("__taken").to_pylist(), strict=True)):
+            for i, (whole_text, size, taken) in enumerate(zip(columns[text].to_pylist(), sizes.to_pylist(), counts.to_pylist(), strict=True)):
                 whole, rest = divmod(taken, size)
                 at += [i] * (whole + (rest > 0))
-                texts += [text] * whole
+                texts += [whole_text] * whole
                 if rest:
                     end = words.end[words.first[i] + rest - 1]
                     texts.append(words.raw[words.borders[i]:end].tobytes().decode())
             at = pa.array(at, pa.int64())
-            out = {c: b.column(c).take(at) for c in cols}
-            out["text"] = pa.array(texts, b.schema.field("text").type)
+            out = {c: column.take(at) for c, column in zip(cols, columns, strict=True)}
+            out["text"] = pa.array(texts, out["text"].type)
             if "n_chars" in out:
-                out["n_chars"] = pa.array([len(t) for t in texts], b.schema.field("n_chars").type)
+                out["n_chars"] = pa.array([len(t) for t in texts], out["n_chars"].type)
             yield pa.RecordBatch.from_pydict(out)
-    return joined.mapInArrow(copies, docs.schema)
+    return numbered(joined).mapInArrow(copies, docs.schema)
