@@ -45,6 +45,36 @@ def unescape_role(role: str) -> str:
     return unescape(re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role))
 
 
+def _said(value) -> str:
+    """A value of a part as text; halves of surrogate pairs, which JSON may
+    hold alone, become ``?``."""
+    if value is None:
+        return ""
+    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, default=str)
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
+
+
+def _size(value, least: int) -> float:
+    try:
+        number = float(value)
+    except (TypeError, ValueError, OverflowError):
+        return least
+    return min(max(number, least), 2.0 ** 31) if math.isfinite(number) else least
+
+
+def _parts(content, text: str | None) -> list:
+    """The parts of a row: an array, JSON text of one (or of a single part),
+    else the row's text. Text that is no JSON is one text part."""
+    if isinstance(content, str):
+        try:
+            content = json.loads(content)
+        except (ValueError, RecursionError):
+            content = [{"type": "text", "text": content}]
+    if content is None:
+        return [{"type": "text", "text": text}]
+    return content if isinstance(content, list) else [content]
+
+
 @dataclass
 class Flattener:
     """Visitor over content parts; collects text, attachments and tokens.
@@ -52,6 +82,13 @@ class Flattener:
     A part is a mapping with ``type`` and, by type, ``text``; ``ref`` with
     ``width``/``height`` (image, a token per started 28 x 28 patch), ``seconds``
     (audio, 25 tokens a second) or ``pages`` (document, 256 tokens a page).
+
+    Defined cases: a part without a type is text; a null part says nothing;
+    text outside a mapping is a text part, any other value a text part of its
+    JSON; an unknown type becomes a placeholder ``unknown`` of no tokens whose
+    reference names the type; sizes that are missing, no number, not finite or
+    not above 0 count as the least size (audio: 0 s, others: 1), those above
+    2^31 as 2^31.
     """
 
     patch: int = 28
@@ -61,32 +98,37 @@ class Flattener:
     attachments: list[str] = field(default_factory=list)
     tokens: int = 0
 
-    def visit(self, part: dict) -> None:
+    def visit(self, part) -> None:
+        if part is None:
+            return
+        if not isinstance(part, dict):
+            part = {"text": part}
         kind = part.get("type") or "text"
-        method = getattr(self, f"visit_{kind}", None)
-        if method is None:
-            raise ValueError(f"unknown content part {kind!r}")
-        method(part)
+        known = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
+        (known.get(kind, self.visit_unknown) if isinstance(kind, str) else self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> None:
-        text = part.get("text") or ""
+        text = _said(part.get("text"))
         self.text.append(escape(text))
         self.tokens += len(_WORD.findall(text))
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         self.text.append(f"<|{kind}:{len(self.attachments)}|>")
-        self.attachments.append(f"{kind}:{part.get('ref') or ''}")
+        self.attachments.append(f"{kind}:{_said(part.get('ref'))}")
         self.tokens += tokens
 
     def visit_image(self, part: dict) -> None:
-        tiles = [math.ceil(max(1, part.get(side) or 0) / self.patch) for side in ("width", "height")]
+        tiles = [math.ceil(_size(part.get(side), 1) / self.patch) for side in ("width", "height")]
         self._attach("image", part, tiles[0] * tiles[1])
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, math.ceil((part.get("seconds") or 0) * self.audio_rate))
+        self._attach("audio", part, math.ceil(_size(part.get("seconds"), 0) * self.audio_rate))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, (part.get("pages") or 1) * self.page_tokens)
+        self._attach("document", part, math.ceil(_size(part.get("pages"), 1)) * self.page_tokens)
+
+    def visit_unknown(self, part: dict) -> None:
+        self._attach("unknown", {"ref": f"{_said(part['type'])}:{_said(part.get('ref'))}"}, 0)
 
 
 def format_turn(role: str, parts: list[dict]) -> tuple[str, int, int, list[str], int]:
@@ -120,8 +162,10 @@ def format_turns(turns: DataFrame) -> DataFrame:
     assistant), ``attachments`` and expanded ``tokens``.
 
     Content is the column ``parts`` (an array of structs, or JSON text of one)
-    where there is one and it isn't null, else ``text`` as one text part. A
-    null text is an empty one, a null role an empty role; every row is a turn.
+    where there is one and it isn't null, else ``text`` as one text part;
+    ``Flattener`` says what unknown and malformed parts become. A
+    null text is an empty one, a null role an empty role; every row is a turn,
+    repeated ones too; no rows give none; other columns are not read.
     """
     has_parts = "parts" in turns.columns
     schema = (turns.select("conv_id", "turn", "role").schema.add("formatted", "string").add("loss_start", "long")
@@ -133,8 +177,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
             parts = b.column("parts").to_pylist() if has_parts else [None] * len(texts)
             rows = []
             for role, text, p in zip(roles, texts, parts, strict=True):
-                content = json.loads(p) if isinstance(p, str) else p
-                done, a, z, refs, n = format_turn(role or "", content if content is not None else [{"type": "text", "text": text}])
+                done, a, z, refs, n = format_turn(role or "", _parts(p, text))
                 rows.append((done, a, z if role == "assistant" else a, refs, n))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             types = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64()]

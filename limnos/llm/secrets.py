@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from limnos.llm.common import numbered
 from limnos.llm.words import text_bytes
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -106,9 +107,13 @@ def scan_batch(texts: pa.Array) -> Iterator[list[tuple[str, int, int]]]:
             text = body.decode()
             plain = len(text) == len(body)
 
-            def at(byte: int, body=body, plain=plain) -> int:
-                return byte if plain else len(body[:byte].decode())
-            spans = [("hex", at(int(hex_start[r] - borders[i])), at(int(hex_end[r] - borders[i]))) for r in runs]
+            # runs come in order, so each decodes only what lies behind the last
+            last_byte = last_char = 0
+            for r in runs:
+                a, z = int(hex_start[r] - borders[i]), int(hex_end[r] - borders[i])
+                last_char += a - last_byte if plain else len(body[last_byte:a].decode())
+                spans.append(("hex", last_char, last_char + z - a))
+                last_byte, last_char = z, last_char + z - a
             done = dict.fromkeys(_RULES, 0)
             where = sorted((end + 1 - length, kind) for end, (kind, length) in hits)
             last_byte = last_char = 0
@@ -135,7 +140,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     Base kinds match leftmost without overlap within a kind, and matches too
     short are dropped. The method adds tokens with a right checksum (github,
     npm) and decodable JSON web tokens (jwt). Null and empty texts have no spans;
-    repeated rows give repeated results; other columns are not read.
+    repeated rows give repeated results, an empty table none; a text of any
+    length is scanned whole, in one pass; other columns are not read.
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,25 +172,27 @@ def merged(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``[KIND]``; n_chars,
-    where there is one, follows. Texts without a secret stay as they are."""
+    where there is one, follows. Texts without a secret stay as they are: null
+    and empty ones too. Rows, repeated ones included, and other columns stay."""
     cols = docs.columns
+    text = cols.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
+            texts = b.column(text).to_pylist()
             changed = {}
-            for i, spans in enumerate(scan_batch(b.column("text"))):
+            for i, spans in enumerate(scan_batch(b.column(text))):
                 if spans:
                     parts, end = [], 0
                     for kind, a, z in merged(spans):
                         parts += [texts[i][end:a], f"[{kind.upper()}]"]
                         end = z
                     changed[i] = "".join([*parts, texts[i][end:]])
-            out = {c: b.column(c) for c in cols}
+            out = dict(zip(cols, b.columns, strict=True))
             if changed:
-                out["text"] = pa.array([changed.get(i, t) for i, t in enumerate(texts)], b.schema.field("text").type)
+                out["text"] = pa.array([changed.get(i, t) for i, t in enumerate(texts)], out["text"].type)
                 if "n_chars" in out:
-                    n = b.column("n_chars").to_pylist()
-                    out["n_chars"] = pa.array([len(changed[i]) if i in changed else x for i, x in enumerate(n)], b.schema.field("n_chars").type)
+                    n = out["n_chars"].to_pylist()
+                    out["n_chars"] = pa.array([len(changed[i]) if i in changed else x for i, x in enumerate(n)], out["n_chars"].type)
             yield pa.RecordBatch.from_pydict(out)
-    return docs.mapInArrow(clean, docs.schema)
+    return numbered(docs).mapInArrow(clean, docs.schema)
