@@ -88,17 +88,16 @@ def describe(df: DataFrame, cols: list[str], exact: bool = True, accuracy: int =
 
 def box_stats(df: DataFrame, key: str, col: str, exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Five-number summary per location (exact, bounded memory; or
-    approximate), 1.5·IQR fences and the count of points outside them
-    (second pass: the counted values, or rows, against the fences). Rows
-    without a location are a group."""
+    approximate), 1.5·IQR fences and the count of points outside them (a
+    further scan of key and value against the fences, one row a location).
+    Rows without a location are a group."""
     from limnos.operators.common import materialize
-    from limnos.operators.quantiles import quantiles_of, value_counts
+    from limnos.operators.quantiles import exact_quantiles
     x = col_of(col).cast("double")
-    points = df.select(key, x.alias("_x"), F.lit(1).alias("_c"))
+    points = df.select(key, x.alias("_x")).where(F.col("_x").isNotNull())
     if exact:
-        points = value_counts(df, [key], col)
         # one row a location; read twice, so written once
-        q = materialize(quantiles_of(points, [key], [0.0, 0.25, 0.5, 0.75, 1.0]).drop("n"), "box")
+        q = materialize(exact_quantiles(df, [key], col, [0.0, 0.25, 0.5, 0.75, 1.0]).drop("n"), "box")
     else:
         q = df.groupBy(key).agg(F.array(F.min(x), *[F.percentile_approx(x, p, accuracy) for p in (0.25, 0.5, 0.75)],
                                         F.max(x)).alias("q"))
@@ -107,8 +106,8 @@ def box_stats(df: DataFrame, key: str, col: str, exact: bool = True, accuracy: i
     st = st.withColumns({"lower_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                          "upper_fence": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     outside = (F.col("_x") < F.col("lower_fence")) | (F.col("_x") > F.col("upper_fence"))
-    out = (stats_join(points.select(key, "_x", "_c"), st.select(key, "lower_fence", "upper_fence"), [key], "inner")
-             .groupBy(key).agg(F.sum(F.when(outside, F.col("_c"))).alias("outliers")))
+    out = (stats_join(points, st.select(key, "lower_fence", "upper_fence"), [key], "inner")
+             .groupBy(key).agg(F.count_if(outside).alias("outliers")))
     return stats_join(st, out, [key]).withColumn("outliers", F.coalesce("outliers", F.lit(0)).cast("bigint"))
 
 

@@ -3,6 +3,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,3 +280,45 @@ def test_free_text_column_names(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0), (2.0, 1.0, 5.0), (3.0, 0.5, 4.0)], "x double, y double, z double").toDF(*names)
     assert {r["column"] for r in pf.describe(df, names).collect()} == set(names)
     assert pf.corr_matrix(df, names).count() == 9
+
+
+def test_exact_quantiles_of_more_rows_than_the_sketch_has_steps(spark):
+    from limnos.operators import quantiles as qt
+    rng = np.random.default_rng(11)
+    big = 40 * qt.ACCURACY
+    values = {"flat": rng.random(big), "ties": rng.integers(0, 7, big).astype(float), "tail": np.exp(rng.normal(0, 6, big)),
+              None: np.concatenate([np.zeros(big // 2), rng.normal(0, 1, big // 4)]), "edge": rng.random(qt.ACCURACY + 1), "few": rng.random(5), "one": np.array([2.5])}
+    data = pd.concat([pd.DataFrame({"g": [g] * len(x), "x": x}) for g, x in values.items()])
+    df = spark.createDataFrame(data, "g string, x double").unionByName(spark.createDataFrame([("flat", None), ("empty", None)], "g string, x double"))
+    probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.9999, 1.0]
+    got = {r["g"]: (r["n"], r["q"]) for r in exact_quantiles(df.repartition(9), ["g"], "x", probs).collect()}
+    assert set(got) == set(values)
+    for g, x in values.items():
+        assert got[g][0] == len(x) and np.allclose(got[g][1], np.quantile(x, probs), rtol=1e-12), g
+
+
+def test_exact_quantiles_when_the_sketch_misses(spark, monkeypatch):
+    """Brackets that miss their ranks are found out and all values are ranked."""
+    from limnos.operators import quantiles as qt
+    monkeypatch.setattr(qt, "_REACH", -200)
+    x = np.random.default_rng(4).random(30000)
+    df = spark.createDataFrame(pd.DataFrame({"g": 1, "x": x}))
+    assert np.allclose(exact_quantiles(df, ["g"], "x", [0.25, 0.5]).first()["q"], np.quantile(x, [0.25, 0.5]), rtol=1e-12)
+
+
+def test_exact_quantiles_shuffle_little(spark):
+    """Only brackets' values are range-sorted: far fewer than the rows."""
+    from limnos.operators import quantiles as qt
+    seen = {}
+    write = qt.materialize
+
+    def spy(df, name="stage"):
+        seen[name] = write(df, name)
+        return seen[name]
+    qt.materialize = spy
+    try:
+        n = 200000
+        exact_quantiles(spark.range(n).select(F.lit("k").alias("g"), F.xxhash64("id").alias("x")), ["g"], "x", [0.25, 0.5, 0.75]).collect()
+    finally:
+        qt.materialize = write
+    assert seen["value_counts"].count() < n * 3 * 2 * 6 / qt.ACCURACY and seen["brackets"].count() == 1
