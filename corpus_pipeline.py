@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.llm import jaccard, langid, mixing, packing, secrets
-from limnos.llm.common import importable, materialize
+from limnos.llm.common import free, importable, materialize, q
 
 #: languages predicted with less than this are rejected
 LEAST_SCORE = 0.02
@@ -32,19 +32,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates stays: the least doc_id (null
     is the largest), then the least hash of the whole row. Rows are documents
-    of their own, whatever their doc_id; a row without words stays."""
+    of their own, whatever their doc_id; a row without words stays; other
+    columns may have any name."""
     importable(spark)
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0d]"), F.lit(False))
     # nulls don't change the hash, so where they are is hashed too
-    row = F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())])
-    numbered = docs.filter(has_words).withColumn("__row", row)
-    name = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("__row").alias("row"))
+    row = F.xxhash64(*[x for c in docs.columns for x in (F.col(q(c)), F.col(q(c)).isNull())])
+    row_ = free(docs.columns, "__row")
+    numbered = docs.filter(has_words).withColumn(row_, row)
+    name = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(row_).alias("row"))
     # rows of measured lists have no name, so its column must allow null
-    named = numbered.select(F.when(F.col("__row").isNotNull(), name).alias("doc_id"), "text")
+    named = numbered.select(F.when(F.col(row_).isNotNull(), name).alias("doc_id"), "text")
     groups = jaccard.components(named, SHINGLE_WORDS, SHINGLE_PERCENT)
-    least = groups.select("component_id.row").withColumnRenamed("row", "__row").distinct()
+    least = groups.select("component_id.row").withColumnRenamed("row", row_).distinct()
     # rows with one hash are equal, so one of them stays
-    kept = numbered.join(least, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    kept = numbered.join(least, row_, "left_semi").dropDuplicates([row_]).select(*[F.col(q(c)) for c in docs.columns])
     return kept.unionByName(docs.filter(~has_words))
 
 
