@@ -87,3 +87,13 @@ def test_many_hex_runs_in_one_text(spark):
     text = "é ".join(f"{i:040x}" + "日" for i in range(3000)) + " deadbeef" * 4
     spans = next(secrets.scan_batch(__import__("pyarrow").array([text])))
     assert spans == [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]{32,}", text)]
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, 5, 1), (2, long + " end", 6, 2), (None, "another text of its own here", 7, 3), (3, None, 8, 4), (4, " ", 9, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__row` int, `a.b` int")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r["__row"], r["a.b"]) for r in kept.collect()) == [(5, 1), (7, 3), (8, 4), (9, 5)]
