@@ -95,7 +95,8 @@ def _similar(overlap, m, n, percent: int):
 def _sized(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]]:
     for whole in batches:
         for b in slices(whole):
-            sets = shingle_sets(Words(b.column("text"), lower=True), k)
+            # words and their hashes take many times a text's bytes, so they are made of a quarter at a time
+            sets = [s for part in slices(b, most=1 << 21) for s in shingle_sets(Words(part.column("text"), lower=True), k)]
             yield b, sets, class_ids(sets)
 
 
