@@ -425,3 +425,29 @@ def test_long_lists_in_blocks(spark, monkeypatch, longest):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_components(rows)
     assert len(merged) == (2 if longest == 3 else 1)
     assert max(r["count"] for r in dealt[0].groupBy("block").count().collect()) < 25
+
+
+def test_language_model_learns_from_all(spark, monkeypatch):
+    """Weights from every training word, class centres from every training text."""
+    importable(spark)
+    rng = np.random.default_rng(8)
+    alphabets = ["abcd", "efgh", "ijkl", "mnop", "αβγδ", "ежзи"]
+    rows = [(i, " ".join("".join(rng.choice(list(alphabets[i % 6]), 6)) for _ in range(4))) for i in range(4200)]
+    for name, value in (("LEARN", 64), ("SEQUENCE", 1 << 10), ("_PIECE", 1 << 14)):
+        monkeypatch.setattr(lm, name, value, raising=False)
+    stages, write = {}, lm.materialize
+    monkeypatch.setattr(lm, "materialize", lambda df, name: stages.setdefault(name, write(df, name)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.col("doc_id") % 10 == 0)
+    assert lm.score(docs).count() == len(rows)
+    train = [t for i, t in rows if i % 10]
+    assert stages["trained"].agg(F.sum("n")).first()[0] == len({w for t in train for w in t.split()})
+    centres = lm._classes(docs.filter("not held_out").select("text"))
+    letters = {c for t in train for c in t if c.isascii() and c != " "}
+    root = {c: np.array([math.sqrt(t.count(c) / max(1, len(t.replace(" ", "").encode()))) for t in train]) for c in letters}
+    own = [next(i for i, a in enumerate(alphabets) if t[0] in a) for t in train]
+    for k, alphabet in enumerate(alphabets[:4]):  # the class that holds an alphabet's texts has their mean
+        near = [c for c in centres if sum(c[ord(x) - 97] for x in alphabet) > 0.5]
+        size = sum(o == k for o in own)
+        assert near and size
+        if len(near) == 1:
+            assert [near[0][ord(x) - 97] for x in alphabet] == pytest.approx([root[x].sum() / size for x in alphabet], abs=1e-5)
