@@ -83,3 +83,26 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0].keys() == got[1].keys() and all(got[1][d] == pytest.approx(x, rel=1e-6) for d, x in got[0].items())
+
+
+def test_words_are_encoded_together():
+    """Many words to a text, with the ids that each has alone, marks and special tokens included."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = np.random.default_rng(4)
+    words = list(dict.fromkeys("".join(rng.choice(list("abcdé'S!7-"), 9)) for _ in range(9000)))
+    odd = ["<|endoftext|>", "x<|startoftext|>y", "\u0301x", "\u00ad", "\u0130", "a\u3000", "\u3000", "\u2028b", "日本語", "\ufeff", "it's", "\0"]
+    tok = Tokenizer.from_file(path)
+
+    class Counted:
+        texts = 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.texts += len(texts)
+            return tok.encode_batch_fast(texts, **more)
+    for extra, most in ((odd, 9), ([*odd, "\x01", "a\x01b", "\x01\x01"], 5000)):
+        encoder = packing.WordIds(path)
+        encoder.tokenizer = Counted()
+        ids, borders = encoder.encode(pa.array([" ".join(words), None, "\n".join(extra), " ".join(extra[::-1])]))
+        for text, a, z in zip((words, [], extra, extra[::-1]), borders[:-1], borders[1:], strict=True):
+            assert ids[a:z].tolist() == [i for w in text for i in tok.encode(w, add_special_tokens=False).ids] == tok.encode(" ".join(text), add_special_tokens=False).ids
+        assert encoder.tokenizer.texts < most
