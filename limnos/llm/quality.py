@@ -134,8 +134,12 @@ class Model:
             features[lo:hi, :FILTERS] = seen[:, 0]
         chunks, first = _chunks(features, count)
         w = self.weights
-        hidden = np.maximum(chunks @ w["hidden"] + w["hidden_bias"], 0)
-        return _sigmoid((np.maximum.reduceat(hidden, first, axis=0) @ w["out"] + w["out_bias"]).astype(np.float64)).ravel()
+        # not by matrix products, whose rounding may vary with a row's place
+        hidden = np.tile(w["hidden_bias"], (len(chunks), 1))
+        for feature, weight in zip(chunks.T, w["hidden"], strict=True):
+            hidden += feature[:, None] * weight
+        pooled = np.maximum.reduceat(np.maximum(hidden, 0), first, axis=0)
+        return _sigmoid(((pooled * w["out"].T).sum(axis=1) + w["out_bias"]).astype(np.float64))
 
 
 def _windows(padded: np.ndarray) -> np.ndarray:
