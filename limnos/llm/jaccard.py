@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limnos.llm.common import bitmap, bitmap_has, materialize, partitions
+from limnos.llm.common import batches_of, bitmap, bitmap_has, materialize, partitions
 from limnos.llm.components import connected
 from limnos.llm.words import Words, mix64, sequence_hashes, shingle_sets, slices
 
@@ -41,6 +41,8 @@ BLOCK, BLOCK_SHINGLES = 1 << 10, 1 << 20
 MEETINGS = 12
 #: bytes of shingles that are dealt to blocks at once
 DEALT_BYTES = 1 << 22
+#: bytes of rows that a task hands to its Python worker at once: pairs carry both sets, so 10,000 of them can be far more
+BATCH_BYTES = 1 << 23
 
 
 def least_overlap(n: int | np.ndarray, percent: int):
@@ -475,6 +477,11 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     null doc_id links as others do, but names no component (null if alone);
     an empty table gives no rows; other columns are not read.
     """
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        return _components(docs, k, percent)
+
+
+def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     pieces = partitions(docs)
     lists = _Lists(max(1, min(16, (pieces - 1).bit_length())))
     measured = materialize(_measure(docs, k, lists), "measured")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("limnos.llm.queries")
 
-from limnos.llm import chat, mixing, secrets
+from limnos.llm import chat, common, jaccard, mixing, secrets
 from limnos.llm.common import free, importable, materialize
 from limnos.llm.queries import QUERIES
 
@@ -97,3 +97,37 @@ def test_near_duplicates_keep_columns_of_any_name(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted((r["__row"], r["a.b"]) for r in kept.collect()) == [(5, 1), (7, 3), (8, 4), (9, 5)]
+
+
+def test_near_duplicate_workers_get_bounded_batches(spark, monkeypatch):
+    importable(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    seen, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda *a: seen.append(spark.conf.get(key)) or verified(*a))
+    long = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "of its own"), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.components(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert seen and set(seen) == {str(jaccard.BATCH_BYTES)} and spark.conf.get(key, None) is None
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes], "pool": [pa.default_memory_pool().backend_name]})
+    wide = spark.range(0, 500, 1, 1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+
+    def run():
+        return wide.mapInArrow(sizes, "rows long, bytes long, pool string").collect()
+    with common.batches_of(spark, 1 << 16):
+        small = run()
+    assert sum(r["rows"] for r in small) == 500 and max(r["bytes"] for r in small) < 1 << 17 and {r["pool"] for r in small} == {"system"}
+    spark.conf.set(key, str(1 << 18))  # a session's own bound stays
+    try:
+        with common.batches_of(spark, 1 << 16):
+            assert max(r["bytes"] for r in run()) > 1 << 17
+        assert spark.conf.get(key) == str(1 << 18)
+    finally:
+        spark.conf.unset(key)
+    with pytest.raises(ZeroDivisionError), common.batches_of(spark, 1 << 16):
+        raise ZeroDivisionError
+    assert spark.conf.get(key, None) is None
