@@ -451,3 +451,66 @@ def test_language_model_learns_from_all(spark, monkeypatch):
         assert near and size
         if len(near) == 1:
             assert [near[0][ord(x) - 97] for x in alphabet] == pytest.approx([root[x].sum() / size for x in alphabet], abs=1e-5)
+
+
+def test_language_model_reads_over_words(spark):
+    """A text is likelier than its words in another order, however they are cut into rows and texts."""
+    importable(spark)
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(40)]
+
+    def chain():  # a word is followed by one of two
+        at, out = int(rng.integers(40)), []
+        for _ in range(60):
+            out.append(vocabulary[at])
+            at = (3 * at + int(rng.integers(2))) % 40
+        return out
+    train, held = [chain() for _ in range(300)], [chain() for _ in range(20)]
+    rows = [(i, " ".join(w), False) for i, w in enumerate(train)]
+    for i, w in enumerate(held):
+        rows += [(1000 + i, " ".join(w), True), (2000 + i, " ".join(rng.permutation(w).tolist()), True), (3000 + i, "\n ".join(w).upper(), True)]
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    for i in range(20):
+        assert got[1000 + i]["score"] > got[2000 + i]["score"] + 3
+        assert got[1000 + i]["score"] == pytest.approx(got[3000 + i]["score"], rel=1e-9)
+        assert got[1000 + i]["base_score"] == pytest.approx(got[2000 + i]["base_score"], rel=1e-9)
+
+
+def test_contexts_hold_the_bytes_before(monkeypatch):
+    """Contexts and counts against brute force, with zero bytes, long words, copies and empty texts."""
+    texts = [b"the cat sat ", b"", b"a ", b"the cat \0\0 b ", b"x" * 300 + b" y ", b"the cat sat ", b"\0\0\0\0\0\0\0\0 ", b"the dog sat "]
+    text, length = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    contexts = lm._contexts(*lm._windows(text, length))
+    before = [(t, i) for t in texts for i in range(len(t))]
+    for order, context in zip(lm.ORDERS, contexts, strict=True):
+        said = [t[:i].rsplit(b" ", 1)[-1] if order is None else t[max(0, i - order):i] for t, i in before]
+        assert len(set(zip(said, context.tolist(), strict=True))) == len(set(said)) == len(set(context.tolist()))
+    weight = np.array([1.0, 2, 1, 3, 1, 1, 2, 1])
+    want = np.zeros((len(lm.ORDERS), 2, 1 << lm.SLOT_BITS))
+    for _, node, bit in lm._bits(text):
+        for k, context in enumerate(contexts):
+            np.add.at(want[k], (bit, lm._slots(context, node)), np.repeat(weight, length))
+    assert np.array_equal(lm.count_tables(text, length, weight), want)
+    whole = lm._windows(text, length)
+    for most in (1, 4, 7, 40):  # long texts are looked at in parts
+        monkeypatch.setattr(lm, "_SLICE", most)
+        parts = list(lm._parts(text, length))
+        assert len(parts) > 2 and [p[0].start for p in parts[1:]] == [p[0].stop for p in parts[:-1]]
+        assert all(np.array_equal(np.concatenate([p[1 + i] for p in parts]), whole[i]) for i in (0, 1))
+
+
+def test_bytes_of_texts_sum_to_one():
+    """All bytes after one context over words have probability 1 together, and equal texts equal scores."""
+    rng = np.random.default_rng(3)
+    text = np.frombuffer(" ".join(rng.choice(["ab", "cab", "b"], 500)).encode() + b" ", np.uint8)
+    length = np.array([len(text)])
+    tables = lm.count_tables(text, length, np.ones(1)).astype(np.float32).transpose(0, 2, 1)
+    centre, ways = (np.arange(33) - 16) / 2.0, np.array([0, 0, 1.0])
+    model = lm.Model(np.ascontiguousarray(tables), np.full((lm._GATES, len(lm.ORDERS) + 1), 1 / 6), np.tile(centre, (lm._GATES, 1)), ways, 1, 4, 3, np.array([1]), np.array([3]))
+    weights, cells, met = lm.learn(model, text, length)
+    ones, every = cells.reshape(2, lm._GATES, 33)
+    assert every.sum() == pytest.approx(8 * len(text)) and ones.sum() == pytest.approx(np.unpackbits(text).sum()) and len(met) == len(text)
+    model = lm.Model(model.tables, weights, model.refine, ways, 1, 4, 3, np.array([1]), np.array([3]))
+    raw = np.frombuffer(b"".join(b"cab b " + bytes([i]) for i in range(256)), np.uint8)
+    scores = model.byte_scores(raw, np.full(256, 7)).reshape(256, 7)
+    assert (10 ** scores[:, -1]).sum() == pytest.approx(1, rel=1e-9) and np.ptp(scores[:, :-1], axis=0).max() == 0
